@@ -10,6 +10,18 @@ def js_round(c: Column) -> Column:
     return F.floor(c + F.lit(0.5)).cast("long")
 
 
+def py_round(c: Column, digits: int) -> Column:
+    """Round on the binary value, ties to even: 2.675 gives 2.67, not 2.68."""
+    scale = 10.0**digits
+    return F.rint(c * scale) / scale
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """Fixed number of decimals as text, rounding on the binary value."""
+    scale = 10.0**digits
+    return F.format_string(f"%.{digits}f", F.floor(c * scale + F.lit(0.5)) / scale)
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), c))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from stockcast.functions.calendar import (
     days_to_event_sql, festival_anchors, festival_score_sql, same_day_years_ago, weekday,
 )
-from stockcast.functions.numbers import percent_change, signed_percent
+from stockcast.functions.numbers import percent_change, py_round, signed_percent
 
 CATEGORY = ("category",)
 FEATURES = (
@@ -210,7 +210,7 @@ def same_day_history(daily: DataFrame, requests: DataFrame, keys: Sequence[str]
     seen = F.col("sales_volume").isNotNull()
     return joined.select(
         *keys, "request_date", "year",
-        F.round(F.col("sales_volume").cast("double"), 2).alias("sales_volume"),
+        py_round(F.col("sales_volume").cast("double"), 2).alias("sales_volume"),
         F.when(seen, trend).alias("demand_trend"),
         F.when(seen, change).alias("change_percent"),
         F.when(seen, signed_percent(change)).alias("percent_change"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
+from stockcast.functions.numbers import py_round
 from stockcast.functions.text import params_hash, strip
 from stockcast.operators.keep import keep_last
 
@@ -96,6 +97,13 @@ def touched_categories(changes: DataFrame, skus: DataFrame, uploaded_at: Column)
     return categories.distinct().withColumn("uploaded_at", uploaded_at)
 
 
+def stamp_items(skus: DataFrame, changes: DataFrame, uploaded_at: Column) -> DataFrame:
+    """The item-level form of the log: each touched item with its upload time."""
+    return skus.join(changes.select("sku_id").distinct(), "sku_id", "left_semi").withColumn(
+        "last_upload_timestamp", uploaded_at
+    )
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
@@ -198,7 +206,7 @@ def cache_rows(payload: DataFrame, generated_at: Column) -> DataFrame:
 def log_rows(rows: DataFrame, timestamp: Column) -> DataFrame:
     """Audit-log rows from (category, risk_score, insight)."""
     return rows.select(
-        "category", timestamp.alias("timestamp"), F.round("risk_score", 3).alias("risk_score"), "insight"
+        "category", timestamp.alias("timestamp"), py_round(F.col("risk_score"), 3).alias("risk_score"), "insight"
     )
 
 
