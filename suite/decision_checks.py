@@ -294,7 +294,7 @@ def _(t):
 
 def _grouped_sql(x: str) -> str:
     """Thousands separators and up to two decimals of a value rounded to cents."""
-    cents = f"CAST(round({x} * 100) AS BIGINT)"
+    cents = f"CAST(round(({x}) * 100) AS BIGINT)"
     return f"""(format('{{:,}}', {cents} // 100) || CASE WHEN {cents} % 100 = 0 THEN '' WHEN {cents} % 10 = 0 THEN '.' || ({cents} % 100 // 10)
                ELSE '.' || lpad(CAST({cents} % 100 AS VARCHAR), 2, '0') END)"""
 
