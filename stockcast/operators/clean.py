@@ -7,11 +7,12 @@ rows, normalising, rules, logical duplicates, unknown items, outliers.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockcast.functions.text import norm_category, norm_sku, norm_text, to_day, to_number
-from stockcast.operators.keep import keep_last
 from stockcast.schemas import SALES_COLUMNS, SKU_COLUMNS
 from stockcast.sources.upload import ROW_ORDER, UploadError
 
@@ -29,9 +30,14 @@ def drop_exact_duplicates(raw: DataFrame, order: str = ROW_ORDER) -> DataFrame:
     return raw.groupBy(*data).agg(F.max(order).alias(order), F.count("*").alias("copies"))
 
 
-def _rules(**failed: Column) -> Column:
+def _failed_names(rules: dict[str, Column]) -> Column:
     """Names of the failed rules of a row, an empty array for a valid row."""
-    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in failed.items()]))
+    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()]))
+
+
+def _passes(rules: dict[str, Column]) -> Column:
+    """The same as one flag, for rows whose reasons nobody asks for."""
+    return ~reduce(or_, [F.coalesce(cond, F.lit(False)) for cond in rules.values()])
 
 
 def _blank(column: str) -> Column:
@@ -65,35 +71,38 @@ def type_sales(raw: DataFrame) -> DataFrame:
     )
 
 
+def sku_rules() -> dict[str, Column]:
+    """Rules on typed item rows; true means the row breaks the rule."""
+    return {
+        "blank_sku": _blank("sku_id"),
+        "blank_name": _blank("product_name"),
+        "blank_category": _blank("category"),
+        "bad_mrp": F.col("mrp").isNull(),
+        "bad_cost": F.col("cost").isNull(),
+        "bad_inventory": F.col("current_inventory").isNull(),
+        "fractional_inventory": _not_whole("current_inventory"),
+        "negative_inventory": F.col("current_inventory") < 0,
+        "cost_not_below_mrp": F.col("cost") >= F.col("mrp"),
+    }
+
+
+def sales_rules() -> dict[str, Column]:
+    """Rules on typed sales rows. Dates in the future are allowed."""
+    return {
+        "blank_sku": _blank("sku_id"),
+        "bad_date": F.col("date").isNull(),
+        "bad_units": F.col("units_sold").isNull(),
+        "fractional_units": _not_whole("units_sold"),
+        "negative_units": F.col("units_sold") < 0,
+    }
+
+
 def check_skus(typed: DataFrame) -> DataFrame:
-    return typed.withColumn(
-        "failed_rules",
-        _rules(
-            blank_sku=_blank("sku_id"),
-            blank_name=_blank("product_name"),
-            blank_category=_blank("category"),
-            bad_mrp=F.col("mrp").isNull(),
-            bad_cost=F.col("cost").isNull(),
-            bad_inventory=F.col("current_inventory").isNull(),
-            fractional_inventory=_not_whole("current_inventory"),
-            negative_inventory=F.col("current_inventory") < 0,
-            cost_not_below_mrp=F.col("cost") >= F.col("mrp"),
-        ),
-    )
+    return typed.withColumn("failed_rules", _failed_names(sku_rules()))
 
 
 def check_sales(typed: DataFrame) -> DataFrame:
-    """Dates in the future are allowed."""
-    return typed.withColumn(
-        "failed_rules",
-        _rules(
-            blank_sku=_blank("sku_id"),
-            bad_date=F.col("date").isNull(),
-            bad_units=F.col("units_sold").isNull(),
-            fractional_units=_not_whole("units_sold"),
-            negative_units=F.col("units_sold") < 0,
-        ),
-    )
+    return typed.withColumn("failed_rules", _failed_names(sales_rules()))
 
 
 def valid(rows: DataFrame) -> DataFrame:
@@ -119,17 +128,30 @@ def checked(raw: DataFrame, kind: str) -> DataFrame:
     return check_skus(type_skus(distinct)) if kind == "sku" else check_sales(type_sales(distinct))
 
 
+def _last_valid(raw: DataFrame, kind: str, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The last valid row per key, from one aggregation over the raw rows.
+
+    The last row of a key is the same whether exact duplicates are dropped
+    first (last copy kept) or not, so they need no step of their own here.
+    Validity is decided inside the aggregate, not by a filter below it: Spark
+    would push that filter down and run the cleaning expressions twice.
+    """
+    rest = [c for c in columns if c not in keys]
+    typed, rules = (type_skus(raw), sku_rules()) if kind == "sku" else (type_sales(raw), sales_rules())
+    rows = typed.select(*columns, F.when(_passes(rules), F.col(ROW_ORDER)).alias("_order"))
+    best = rows.groupBy(*keys).agg(F.max(F.when(F.col("_order").isNotNull(), F.struct("_order", *rest))).alias("best"))
+    return best.filter("best is not null").select(*keys, *[F.col(f"best.{c}").alias(c) for c in rest])
+
+
 def clean_skus(raw: DataFrame) -> DataFrame:
     """Valid item rows, one per sku_id, the last row of the upload winning."""
-    rows = valid(checked(raw, "sku")).select(*SKU_COLUMNS, ROW_ORDER)
-    last = keep_last(rows, ["sku_id"], ROW_ORDER)
+    last = _last_valid(raw, "sku", ["sku_id"], SKU_COLUMNS)
     return last.withColumn("current_inventory", F.col("current_inventory").cast("int")).select(*SKU_COLUMNS)
 
 
 def clean_sales(raw: DataFrame, skus: DataFrame) -> DataFrame:
     """Valid sales rows of known items, one per (date, sku_id)."""
-    rows = valid(checked(raw, "sales")).select(*SALES_COLUMNS, ROW_ORDER)
-    last = keep_last(rows, ["date", "sku_id"], ROW_ORDER)
+    last = _last_valid(raw, "sales", ["date", "sku_id"], SALES_COLUMNS)
     typed = last.withColumn("units_sold", F.col("units_sold").cast("bigint"))
     return known_items(typed, skus).select(*SALES_COLUMNS)
 
@@ -143,7 +165,7 @@ def require_valid(cleaned: DataFrame, message: str) -> DataFrame:
 def _row_metrics(raw: DataFrame, kind: str, keys: Sequence[str], skus: DataFrame | None) -> DataFrame:
     """Counts per key first, so the unknown-item test sees each key once."""
     is_valid = F.size("failed_rules") == 0
-    per_key = checked(raw, kind).withColumn("is_valid", is_valid).groupBy("is_valid", *keys).agg(
+    per_key = checked(raw, kind).select(*keys, "copies", is_valid.alias("is_valid")).groupBy("is_valid", *keys).agg(
         F.sum("copies").alias("received"), F.count("*").alias("distinct_rows")
     )
     if skus is None:
@@ -152,8 +174,13 @@ def _row_metrics(raw: DataFrame, kind: str, keys: Sequence[str], skus: DataFrame
     return per_key.join(marks, "sku_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def ingestion_metrics(raw: DataFrame, kind: str, skus: DataFrame | None = None) -> DataFrame:
-    """rows_received, rows_cleaned, duplicates_removed, invalid_rows_dropped, outliers_detected."""
+def ingestion_metrics(
+    raw: DataFrame, kind: str, skus: DataFrame | None = None, cleaned: DataFrame | None = None
+) -> DataFrame:
+    """rows_received, rows_cleaned, duplicates_removed, invalid_rows_dropped, outliers_detected.
+
+    ``cleaned`` saves a second cleaning for the outliers where it is at hand.
+    """
     keys = ["sku_id"] if kind == "sku" else ["date", "sku_id"]
     rows = _row_metrics(raw, kind, keys, skus if kind == "sales" else None)
     ok = F.col("is_valid")
@@ -171,7 +198,7 @@ def ingestion_metrics(raw: DataFrame, kind: str, skus: DataFrame | None = None)
     )
     if kind == "sku":
         return summed.withColumn("outliers_detected", F.lit(0).cast("bigint"))
-    found = outliers(clean_sales(raw, skus)).agg(F.count("*"))
+    found = count_outliers(clean_sales(raw, skus) if cleaned is None else cleaned)
     return summed.withColumn("outliers_detected", found.scalar())
 
 
@@ -190,9 +217,16 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
     steps: over the bounded table of coarse slots, then inside each slot. No
     task sees all values, and the result is exact.
     """
+    return _quantiles_of(_histogram(df, column), probabilities)
+
+
+def _histogram(df: DataFrame, column: str) -> DataFrame:
     value = F.col(column).cast("double")
-    histogram = df.filter(value.isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
-    histogram = histogram.withColumn("slot", _coarse(F.col("v")))
+    return df.filter(value.isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
+
+
+def _quantiles_of(counts: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    histogram = counts.withColumn("slot", _coarse(F.col("v")))
     before_slot = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = histogram.groupBy("slot").agg(F.sum("n").alias("slot_n"))
     starts = slots.select("slot", F.coalesce(F.sum("slot_n").over(before_slot), F.lit(0)).alias("slot_start"))
@@ -218,7 +252,11 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
 
 def outlier_bound(sales: DataFrame, column: str = "units_sold") -> DataFrame:
     """q1, q3 and the bound ``q3 + 3·(q3 - q1)``; no bound below four rows."""
-    q = exact_quantiles(sales, column, [0.25, 0.75])
+    return _bound_of(_histogram(sales, column))
+
+
+def _bound_of(counts: DataFrame) -> DataFrame:
+    q = _quantiles_of(counts, [0.25, 0.75])
     bound = F.when(F.col("n") >= OUTLIER_MIN_ROWS, F.col("p1") + OUTLIER_SPREAD * (F.col("p1") - F.col("p0")))
     return q.select(F.col("p0").alias("q1"), F.col("p1").alias("q3"), bound.alias("upper_bound"), "n")
 
@@ -229,6 +267,13 @@ def outliers(sales: DataFrame, column: str = "units_sold") -> DataFrame:
     return sales.filter(F.col(column) > bound)
 
 
+def count_outliers(sales: DataFrame, column: str = "units_sold") -> DataFrame:
+    """Their number alone, from the value counts: the rows are read once."""
+    counts = _histogram(sales, column)
+    bound = _bound_of(counts).select("upper_bound").scalar()
+    return counts.filter(F.col("v") > bound).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("outliers"))
+
+
 def outliers_per_series(sales: DataFrame, keys: Sequence[str], column: str = "units_sold") -> DataFrame:
     """The same test with one bound per series.
 
