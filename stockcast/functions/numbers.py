@@ -11,13 +11,13 @@ def js_round(c: Column) -> Column:
 
 
 def py_round(c: Column, digits: int) -> Column:
-    """Round on the binary value, ties to even: 2.675 gives 2.67, not 2.68."""
+    """Round the scaled value, ties to even: 0.125 gives 0.12."""
     scale = 10.0**digits
     return F.rint(c * scale) / scale
 
 
 def fixed(c: Column, digits: int) -> Column:
-    """Fixed number of decimals as text, rounding on the binary value."""
+    """Fixed number of decimals as text, the scaled value rounded half up."""
     scale = 10.0**digits
     return F.format_string(f"%.{digits}f", F.floor(c * scale + F.lit(0.5)) / scale)
 
