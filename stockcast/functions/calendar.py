@@ -139,35 +139,108 @@ def _years_sql(d: str) -> str:
 
 # Yearly occurrences of anchor a; the smallest struct is the nearest one, and a
 # tie goes to the earlier year.
-_NEAREST_SQL = f"""array_min(transform(b.years, y -> named_struct(
+_NEAREST_SQL = f"""array_min(transform(years, y -> named_struct(
     'size', IF(NOT a.leap_only OR y.leap, abs(y.start + a.offset + IF(y.leap, a.leap_shift, 0)), {NEVER}),
     'i', y.i,
     'delta', y.start + a.offset + IF(y.leap, a.leap_shift, 0))))"""
 
 
-def festival_score_sql(d: str, category: str, anchors: str, k: float = 0.2) -> str:
-    """``1 - exp(-sum)`` of the contributions of all festivals within their window.
-
-    Given as SQL text so that it also serves inside a lambda over dates. The
-    one-element arrays bind a value once for several uses.
-    """
-    cases = " ".join(f"WHEN '{name}' THEN {i}" for i, name in enumerate(CATEGORY_ORDER[:-1]))
-    kind = f"CASE lower(trim({category})) {cases} ELSE {len(CATEGORY_ORDER) - 1} END"
+def _score_sql(kind: int, k: float) -> str:
+    """``1 - exp(-sum)`` of the contributions of all festivals within their window."""
     contribution = f"""IF(n.size <= a.window,
-        a.reach[b.kind] * exp(-greatest({MIN_DECAY}D, {float(k)!r}D * a.decay_scale) * n.size), 0D)"""
-    per_anchor = f"transform({anchors}, a -> transform(array({_NEAREST_SQL}), n -> {contribution})[0])"
-    total = f"""transform(array(named_struct('years', {_years_sql(d)}, 'kind', {kind})),
-        b -> aggregate({per_anchor}, 0D, (total, x) -> total + x))[0]"""
-    return f"IF({d} IS NULL, 0D, 1D - exp(-{total}))"
+        a.reach[{kind}] * exp(-greatest({MIN_DECAY}D, {float(k)!r}D * a.decay_scale) * n.size), 0D)"""
+    parts = f"zip_with(anchors, nearest, (a, n) -> {contribution})"
+    return f"1D - exp(-aggregate({parts}, 0D, (total, x) -> total + x))"
+
+
+# Signed distance to the nearest festival; between equally near ones the first
+# in the anchor list counts.
+_DISTANCE_SQL = """array_min(zip_with(anchors, nearest,
+    (a, n) -> named_struct('size', n.size, 'position', a.position, 'delta', n.delta))).delta"""
 
 
-def days_to_event_sql(d: str, anchors: str) -> str:
-    """Signed distance to the nearest modelled festival; 999 without a date.
+# Scores depend on a date only through its day of the year and on which of the
+# year before, the year itself and the year after is a leap year (at most one
+# is). One sample year stands for each of the four cases, in this order:
+# none, the year before, the year itself, the year after.
+SAMPLE_YEARS = (2002, 2001, 2004, 2003)
+YEAR_SLOTS = 366
+BLOCK = len(SAMPLE_YEARS) * YEAR_SLOTS
 
-    Between equally near festivals the first in the anchor list counts.
+
+def _sample_days(festivals: DataFrame) -> DataFrame:
+    """One row per slot of the tables below (1464 rows, whatever the data) with
+    the nearest occurrence of every anchor."""
+    years = ", ".join(map(str, SAMPLE_YEARS))
+    slots = festivals.sparkSession.range(BLOCK)
+    dated = slots.selectExpr(
+        "id", f"date_add(make_date(array({years})[CAST(id DIV {YEAR_SLOTS} AS INT)], 1, 1), CAST(id % {YEAR_SLOTS} AS INT)) AS d"
+    )
+    return (
+        dated.withColumn("anchors", festival_anchors(festivals))
+        .withColumn("years", F.expr(_years_sql("d")))
+        .withColumn("nearest", F.expr(f"transform(anchors, a -> {_NEAREST_SQL})"))
+    )
+
+
+def score_table(festivals: DataFrame, k: float = 0.2) -> Column:
+    """All festival scores as one flat array: a block of slots per category kind.
+
+    An uncorrelated scalar subquery of fixed size (under 50 KB), worked out
+    once per query. Rows then look their score up by position, which is exact
+    for every date and costs neither a join nor the sums over festivals.
     """
-    option = f"""transform(array({_NEAREST_SQL}),
-        n -> named_struct('size', n.size, 'position', a.position, 'delta', n.delta))[0]"""
-    closest = f"""transform(array(named_struct('years', {_years_sql(d)})),
-        b -> array_min(transform({anchors}, a -> {option})).delta)[0]"""
-    return f"coalesce(IF({d} IS NULL, NULL, {closest}), {FAR_AWAY})"
+    scores = ", ".join(_score_sql(kind, k) for kind in range(len(CATEGORY_ORDER)))
+    rows = _sample_days(festivals).selectExpr("id", f"array({scores}) AS s")
+    ordered = "array_sort(collect_list(named_struct('id', id, 's', s)))"
+    blocks = ", ".join(f"transform(slots, x -> x.s[{kind}])" for kind in range(len(CATEGORY_ORDER)))
+    return rows.agg(F.expr(ordered).alias("slots")).selectExpr(f"concat({blocks}) AS score_table").scalar()
+
+
+def distance_table(festivals: DataFrame) -> Column:
+    """Signed distances to the nearest festival, one block of slots."""
+    rows = _sample_days(festivals).selectExpr("id", f"{_DISTANCE_SQL} AS s")
+    ordered = "array_sort(collect_list(named_struct('id', id, 's', s)))"
+    return rows.agg(F.expr(ordered).alias("slots")).selectExpr("slots.s AS distance_table").scalar()
+
+
+def _leap(year: Column) -> Column:
+    return ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+
+
+def _year_start(year: Column) -> Column:
+    """First slot of the sample year that stands for ``year``."""
+    sample = F.when(_leap(year), 2).when(_leap(year - 1), 1).when(_leap(year + 1), 3).otherwise(0)
+    return sample * YEAR_SLOTS
+
+
+def _kind_start(category: Column) -> Column:
+    normalized = F.lower(F.trim(category))
+    kind = F.lit(len(CATEGORY_ORDER) - 1)
+    for i, name in enumerate(CATEGORY_ORDER[:-1]):
+        kind = F.when(normalized == name, F.lit(i)).otherwise(kind)
+    return kind * BLOCK
+
+
+def festival_score(d: Column, category: Column, table: Column) -> Column:
+    slot = _kind_start(category) + _year_start(F.year(d)) + F.dayofyear(d) - 1
+    return F.coalesce(F.get(table, slot), F.lit(0.0))
+
+
+def days_to_event(d: Column, table: Column) -> Column:
+    """Signed distance to the nearest modelled festival; 999 without a date."""
+    return F.coalesce(F.get(table, _year_start(F.year(d)) + F.dayofyear(d) - 1), F.lit(FAR_AWAY))
+
+
+def festival_scores_ahead(last: Column, n_days: int, category: Column, table: Column) -> Column:
+    """Scores of the ``n_days`` after ``last`` as an array: one slice per year touched."""
+    first, end = F.date_add(last, 1), F.date_add(last, n_days)
+    parts = []
+    for ahead in range(n_days // 365 + 2):
+        year = F.year(first) + ahead
+        start = F.greatest(first, F.make_date(year, F.lit(1), F.lit(1)))
+        stop = F.least(end, F.make_date(year, F.lit(12), F.lit(31)))
+        length = F.greatest(F.lit(0), F.datediff(stop, start) + 1)
+        slot = _kind_start(category) + _year_start(year) + F.dayofyear(start)
+        parts.append(F.slice(table, slot, length))
+    return F.concat(*parts)

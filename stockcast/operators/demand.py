@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stockcast.functions.calendar import (
-    days_to_event_sql, festival_anchors, festival_score_sql, same_day_years_ago, weekday,
+    days_to_event, distance_table, festival_score, same_day_years_ago, score_table, weekday,
 )
 from stockcast.functions.numbers import percent_change, py_round, signed_percent
 
@@ -57,12 +57,11 @@ def add_weekday(df: DataFrame, one_hot: bool = False) -> DataFrame:
 def add_festival_score(
     df: DataFrame, festivals: DataFrame, category: str = "category", k: float = 0.2, with_distance: bool = False
 ) -> DataFrame:
-    """Festival proximity per row as column expressions over eight anchors."""
-    out = df.withColumn("_anchors", festival_anchors(festivals))
-    columns = {"festival_score": F.expr(festival_score_sql("date", category, "_anchors", k))}
+    """Festival proximity per row, looked up by kind of category and day of the year."""
+    columns = {"festival_score": festival_score(F.col("date"), F.col(category), score_table(festivals, k))}
     if with_distance:
-        columns["days_to_event"] = F.expr(days_to_event_sql("date", "_anchors"))
-    return out.withColumns(columns).drop("_anchors")
+        columns["days_to_event"] = days_to_event(F.col("date"), distance_table(festivals))
+    return df.withColumns(columns)
 
 
 def add_lag_features(

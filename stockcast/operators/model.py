@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stockcast.functions import ridge
 from stockcast.functions.ridge import BAND, LAST_DAYS, fit_batch, recurse_batch
-from stockcast.functions.calendar import confidence, festival_anchors, festival_score_sql
+from stockcast.functions.calendar import confidence, festival_scores_ahead, score_table
 from stockcast.operators.demand import CATEGORY, FEATURES, check_horizon
 from stockcast.operators.keep import global_rank
 
@@ -201,16 +201,10 @@ def forecast(
     seven days, position in time), so there is no join and no shuffle here.
     """
     check_horizon(n_days)
-    dates = F.sequence(F.date_add("last_date", 1), F.date_add("last_date", n_days))
-    rows = models.withColumn("_anchors", festival_anchors(festivals)).withColumn("dates", dates)
-    rows = rows.withColumns(
-        {
-            "weekdays": F.expr("transform(dates, d -> CAST(weekday(d) AS DOUBLE))"),
-            "scores": F.expr(f"transform(dates, d -> {festival_score_sql('d', category, '_anchors', k)})"),
-        }
-    ).select(
+    scores = festival_scores_ahead(F.col("last_date"), n_days, F.col(category), score_table(festivals, k))
+    rows = models.select(
         *dict.fromkeys([*keys, category]), "coef", "sigma", "alpha", "intercept", "means", "scales", "tail",
-        "last_time_index", "dates", "weekdays", "scores",
+        "last_time_index", "last_date", F.weekday("last_date").alias("last_weekday"), scores.alias("scores"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,17 +218,17 @@ def forecast(
                 _matrix(batch, "means", P), _matrix(batch, "scales", P),
                 _matrix(batch, "tail", LAST_DAYS),
                 _vector(batch, "last_time_index"),
-                _matrix(batch, "weekdays", n_days), _matrix(batch, "scores", n_days),
+                (_vector(batch, "last_weekday")[:, None] + np.arange(1, n_days + 1)) % 7, _matrix(batch, "scores", n_days),
             )
             yield _with(batch, mean=_lists(mean), low=_lists(low), high=_lists(high))
 
     arrays = {name: T.ArrayType(T.DoubleType()) for name in ("mean", "low", "high")}
     done = rows.mapInArrow(run, _extended(rows, **arrays))
-    points = F.posexplode(F.arrays_zip("dates", "mean", "low", "high", "scores")).alias("pos", "p")
-    return done.select(*dict.fromkeys([*keys, category]), points).select(
+    points = F.posexplode(F.arrays_zip("mean", "low", "high", "scores")).alias("pos", "p")
+    return done.select(*dict.fromkeys([*keys, category]), "last_date", points).select(
         *dict.fromkeys([*keys, category]),
         (F.col("pos") + 1).alias("day_index"),
-        F.col("p.dates").alias("date"),
+        F.date_add("last_date", F.col("pos") + 1).alias("date"),
         F.col("p.mean").alias("predicted_mean"),
         F.col("p.low").alias("lower_95"),
         F.col("p.high").alias("upper_95"),

@@ -24,18 +24,17 @@ def cached_forecasts(requests: DataFrame, cache: DataFrame, events: DataFrame, a
 
     ``requests`` has one row per request_id. A payload is usable when its hash
     fits, its text is JSON, it is young enough and not older than the last
-    upload of the category. Each request keeps only its newest match while
-    aggregating, so a hot category never gathers its cache entries in one task.
+    upload of the category. The cache is reduced to the newest entry per
+    category and hash before the join, so many requests that share a hash never
+    meet more than one entry each.
     """
     young = cache.filter(within_age("generated_at", as_of, max_age)).filter(
         F.get_json_object("payload_json", "$").isNotNull()
     )
     wanted = requests.select("request_id", "category", F.explode(acceptable_hashes()).alias("params_hash"))
-    newest = (
-        wanted.join(young.select("category", "params_hash", "generated_at", "payload_json"), ["category", "params_hash"])
-        .groupBy("request_id")
-        .agg(F.max(F.struct("generated_at", "payload_json")).alias("hit"))
-    )
+    entry = F.struct("generated_at", "payload_json")
+    newest_per_hash = young.groupBy("category", "params_hash").agg(F.max(entry).alias("hit"))
+    newest = wanted.join(newest_per_hash, ["category", "params_hash"]).groupBy("request_id").agg(F.max("hit").alias("hit"))
     joined = requests.join(newest, "request_id", "left").join(last_uploads(events), "category", "left")
     fresh = F.col("last_upload").isNull() | (F.col("hit.generated_at") >= F.col("last_upload"))
     usable = F.col("hit").isNotNull() & fresh

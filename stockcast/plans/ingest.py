@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from stockcast.operators import clean
-from stockcast.schemas import SALES, SKUS
+from stockcast.schemas import DAILY, SALES, SKUS
 from stockcast.session import cut
 from stockcast.sources import store, upload
 
@@ -26,6 +26,10 @@ class Tables:
     def sales(self) -> str:
         return f"{self.root}/sales"
 
+    @property
+    def daily(self) -> str:
+        return f"{self.root}/daily_demand"
+
     @property
     def events(self) -> str:
         return f"{self.root}/upload_events"
@@ -44,6 +48,9 @@ class Tables:
     def read_sales(self, spark: SparkSession) -> DataFrame:
         return store.read_or_empty(spark, self.sales, SALES).select("date", "sku_id", "units_sold")
 
+    def read_daily(self, spark: SparkSession) -> DataFrame:
+        return store.read_or_empty(spark, self.daily, DAILY).select("category", "date", "units_sold")
+
 
 def ingest(
     spark: SparkSession, tables: Tables, raw: DataFrame, as_of: Column, file_name: str = "upload", archive: bool = True

@@ -4,6 +4,7 @@ SKUS = (
     "sku_id string, product_name string, category string, mrp double, cost double, current_inventory int"
 )
 SALES = "date date, sku_id string, units_sold bigint"
+DAILY = "category string, date date, units_sold bigint"
 FESTIVALS = "festival_name string, date date, category string, historical_uplift double"
 UPLOAD_EVENTS = "category string, uploaded_at timestamp"
 RECOMMENDATIONS = "category string, timestamp timestamp, risk_score double, insight string"

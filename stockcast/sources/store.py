@@ -10,6 +10,7 @@ from pyspark.sql.utils import AnalysisException
 from stockcast.functions.numbers import py_round
 from stockcast.functions.text import params_hash, strip
 from stockcast.operators.keep import keep_last
+from stockcast.session import cut
 
 SNAPSHOT = "snapshot"
 MONTH = "sales_month"
@@ -63,21 +64,19 @@ def with_month(sales: DataFrame) -> DataFrame:
     return sales.withColumn(MONTH, F.date_format("date", "yyyy-MM"))
 
 
-def upsert_sales(spark: SparkSession, path: str, changes: DataFrame, schema) -> None:
-    """Replace only the months an upload touches.
+def upsert_months(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], schema) -> None:
+    """Replace only the months the changes touch in a table with a date column.
 
-    The list of months is bounded by the calendar. Months that the upload does
-    not touch are neither read nor rewritten. ``changes`` is cut off from the
-    files it came from first, as it is needed for the list and for the merge.
+    The list of months is bounded by the calendar. Other months are neither
+    read nor rewritten. ``changes`` is cut off from the files it came from
+    first, as it is needed for the list and for the merge.
     """
-    from stockcast.session import cut
-
     fresh = cut(with_month(changes))
     months = [r[0] for r in fresh.select(MONTH).distinct().collect()]
     table = read_or_empty(spark, path, schema)
     if MONTH in table.columns:
         old = table.withColumn(MONTH, F.col(MONTH).cast("string")).filter(F.col(MONTH).isin(months))
-        merged = upsert(old.select(*fresh.columns), fresh, ["date", "sku_id"])
+        merged = upsert(old.select(*fresh.columns), fresh, keys)
     else:
         merged = fresh
     (
@@ -88,6 +87,10 @@ def upsert_sales(spark: SparkSession, path: str, changes: DataFrame, schema) ->
     )
 
 
+def upsert_sales(spark: SparkSession, path: str, changes: DataFrame, schema) -> None:
+    upsert_months(spark, path, changes, ["date", "sku_id"], schema)
+
+
 def touched_categories(changes: DataFrame, skus: DataFrame, uploaded_at: Column) -> DataFrame:
     """Upload-event rows: each category an upload touches, once."""
     if "category" in changes.columns:

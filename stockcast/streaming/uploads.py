@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stockcast.functions.text import category_from_file
 from stockcast.operators import clean, demand, model
 from stockcast.plans.ingest import Tables
-from stockcast.schemas import SALES, SALES_COLUMNS
+from stockcast.schemas import DAILY, SALES, SALES_COLUMNS
 from stockcast.session import cut
 from stockcast.sources import store
 from stockcast.sources.upload import ROW_ORDER, text_schema
@@ -52,6 +52,8 @@ def upsert_batch(spark: SparkSession, tables: Tables, festivals: DataFrame | Non
     if changes.isEmpty():
         return
     store.upsert_sales(spark, tables.sales, changes, SALES)
+    totals = touched_days(changes, skus, tables.read_sales(spark))
+    store.upsert_months(spark, tables.daily, totals, ["category", "date"], DAILY)
     named = rows.select(F.col("file_category").alias("category")).filter("category is not null")
     touched = cut(store.touched_categories(changes, skus, F.current_timestamp()))
     store.append(touched, tables.events)

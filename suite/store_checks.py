@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stockcast.functions import text as tx
 from stockcast.functions.calendar import is_stale
-from stockcast.operators import demand, reuse
+from stockcast.operators import reuse
 from stockcast.plans.ingest import Tables, ingest
 from stockcast.schemas import SALES, SKUS
 from stockcast.session import scratch_path
@@ -399,4 +399,4 @@ def _(t):
     )
     store.write_snapshot(spark, tables.skus, items)
     uploads.start(spark, folder + "/in", tables, folder + "/checkpoint").awaitTermination()
-    return plain(demand.daily_demand(tables.read_sales(spark), tables.read_skus(spark)))
+    return plain(tables.read_daily(spark))

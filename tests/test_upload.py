@@ -224,6 +224,7 @@ def test_stream_of_files(spark, tmp_path, festivals):
     daily = {(r["category"], r["date"]): r["units_sold"] for r in demand.daily_demand(tables.read_sales(spark), tables.read_skus(spark)).collect()}
     assert daily["Snacks", days[0]] == 500 and daily["Snacks", days[1]] == 11 and daily["Toys", days[1]] == 3
     assert len(daily) == 41
+    assert {(r["category"], r["date"]): r["units_sold"] for r in tables.read_daily(spark).collect()} == daily
     assert spark.read.parquet(tables.models).count() == 2  # Toys is too short to fit
 
 
