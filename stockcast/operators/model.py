@@ -160,8 +160,11 @@ def _extended(df: DataFrame, **types: T.DataType) -> T.StructType:
 
 # --- fit and forecast ------------------------------------------------------
 
-def fit(stats: DataFrame) -> DataFrame:
-    """Adds coef, sigma, alpha, lambda and n_passes to each row of statistics."""
+def fit(stats: DataFrame, keep_statistics: bool = False) -> DataFrame:
+    """Adds coef, sigma, alpha, lambda and n_passes to each row of statistics.
+
+    The Gram sums are dropped from the result unless they are to be kept.
+    """
     rows = eligible(stats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +187,8 @@ def fit(stats: DataFrame) -> DataFrame:
         "coef": T.ArrayType(T.DoubleType()), "sigma": T.ArrayType(T.DoubleType()),
         "alpha": T.DoubleType(), "lam": T.DoubleType(), "n_passes": T.IntegerType(),
     }
-    return rows.mapInArrow(run, _extended(rows, **kinds)).drop("gram", "xty", "yy")
+    fitted = rows.mapInArrow(run, _extended(rows, **kinds))
+    return fitted if keep_statistics else fitted.drop("gram", "xty", "yy")
 
 
 def train_models(train: DataFrame, keys: Sequence[str] = CATEGORY, carry: Sequence[str] = ()) -> DataFrame:

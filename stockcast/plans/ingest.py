@@ -74,6 +74,6 @@ def ingest(
             clean.require_valid(clean.clean_sales(rows, skus), "No valid Sales rows reference known SKU IDs")
         )
         metrics = cut(clean.ingestion_metrics(rows, kind, skus, changes))
-        store.upsert_sales(spark, tables.sales, changes, SALES)
+        store.upsert_sales(spark, tables.sales, changes, SALES, is_cut=True)
     store.append(store.touched_categories(changes, skus, as_of), tables.events)
     return kind, metrics

@@ -64,14 +64,16 @@ def with_month(sales: DataFrame) -> DataFrame:
     return sales.withColumn(MONTH, F.date_format("date", "yyyy-MM"))
 
 
-def upsert_months(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], schema) -> None:
+def upsert_months(
+    spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], schema, is_cut: bool = False
+) -> None:
     """Replace only the months the changes touch in a table with a date column.
 
     The list of months is bounded by the calendar. Other months are neither
-    read nor rewritten. ``changes`` is cut off from the files it came from
-    first, as it is needed for the list and for the merge.
+    read nor rewritten. ``changes`` is needed for the list and for the merge, so
+    it is cut first unless the caller has done so.
     """
-    fresh = cut(with_month(changes))
+    fresh = with_month(changes) if is_cut else cut(with_month(changes))
     months = [r[0] for r in fresh.select(MONTH).distinct().collect()]
     table = read_or_empty(spark, path, schema)
     if MONTH in table.columns:
@@ -87,8 +89,8 @@ def upsert_months(spark: SparkSession, path: str, changes: DataFrame, keys: Sequ
     )
 
 
-def upsert_sales(spark: SparkSession, path: str, changes: DataFrame, schema) -> None:
-    upsert_months(spark, path, changes, ["date", "sku_id"], schema)
+def upsert_sales(spark: SparkSession, path: str, changes: DataFrame, schema, is_cut: bool = False) -> None:
+    upsert_months(spark, path, changes, ["date", "sku_id"], schema, is_cut)
 
 
 def touched_categories(changes: DataFrame, skus: DataFrame, uploaded_at: Column) -> DataFrame:

@@ -20,12 +20,14 @@ def _tidy_header(df: DataFrame) -> DataFrame:
     return df.toDF(*[name.lstrip("﻿").strip().lower() for name in df.columns])
 
 
-def read_upload(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_upload(spark: SparkSession, paths: str | list[str], latest_file_wins: bool = False) -> DataFrame:
     """All columns as text, header names trimmed and lower-cased.
 
-    ``row_order`` grows with file time, file, position of the split in the file
-    and line, so "keep last" means what it says although the file is read in
-    parallel. All files of one call must share one header; Spark checks that.
+    ``row_order`` grows with file name, position of the split in the file and
+    line, so "keep last" means what it says although the file is read in
+    parallel. With ``latest_file_wins`` the time of a file counts before its
+    name (the parts of one written dataset finish in any order, so that is not
+    the default). All files of one call must share one header; Spark checks it.
     """
     try:
         raw = spark.read.option("header", True).option("enforceSchema", False).csv(paths)
@@ -38,7 +40,7 @@ def read_upload(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     ordered = raw.select(
         "*",
         F.struct(
-            F.col("_metadata.file_modification_time").alias("t"),
+            (F.col("_metadata.file_modification_time") if latest_file_wins else F.lit(None).cast("timestamp")).alias("t"),
             F.col("_metadata.file_path").alias("p"),
             F.col("_metadata.file_block_start").alias("b"),
             F.monotonically_increasing_id().alias("i"),

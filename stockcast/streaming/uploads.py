@@ -51,7 +51,7 @@ def upsert_batch(spark: SparkSession, tables: Tables, festivals: DataFrame | Non
     changes = cut(clean.clean_sales(rows.select(*SALES_COLUMNS, ROW_ORDER), skus))
     if changes.isEmpty():
         return
-    store.upsert_sales(spark, tables.sales, changes, SALES)
+    store.upsert_sales(spark, tables.sales, changes, SALES, is_cut=True)
     totals = touched_days(changes, skus, tables.read_sales(spark))
     store.upsert_months(spark, tables.daily, totals, ["category", "date"], DAILY)
     named = rows.select(F.col("file_category").alias("category")).filter("category is not null")

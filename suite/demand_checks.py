@@ -411,6 +411,38 @@ def _(t):
     return plain(m.select("category", "n_samples", "intercept", "alpha", "lam", "n_passes"), 6)
 
 
+@query(
+    "fitted_models_solve_their_equations",
+    """SELECT category, count(*) AS n_samples, round(avg(units_sold), 6) AS intercept, true AS solves_equations, CAST(max(date) AS VARCHAR) AS last_date
+       FROM train GROUP BY 1""",
+    ("train",),
+)
+def _(t):
+    """(G + lambda/alpha · I) coef = b must hold for every fitted model."""
+    m = model.fit(model.series_statistics(demand.training_frame(t.daily, t.festivals)), keep_statistics=True)
+    p = len(FEATURES)
+    gaps = [
+        f"abs({' + '.join(f'gram[{p * i + j}] * coef[{j}]' for j in range(p))} + lam / alpha * coef[{i}] - xty[{i}])" for i in range(p)
+    ]
+    size = " + ".join(f"abs(xty[{i}])" for i in range(p))
+    return plain(m.selectExpr(
+        "category", "n_samples", "intercept", f"greatest({', '.join(gaps)}) <= 1e-9 * ({size}) AS solves_equations", "last_date"
+    ), 6)
+
+
+@query(
+    "forecast_calendar",
+    """SELECT e.category, CAST(i AS INTEGER) AS day_index, CAST(CAST(e.d + to_days(CAST(i AS INTEGER)) AS DATE) AS VARCHAR) AS date,
+              CASE WHEN i <= 7 THEN 'high' WHEN i <= 14 THEN 'medium' ELSE 'low' END AS confidence_level, true AS band_is_ordered
+       FROM (SELECT category, max(date) AS d FROM train GROUP BY 1) e, range(1, 401) AS r(i)""",
+    ("train",),
+)
+def _(t):
+    out = model.forecast(_models(t), t.festivals, 400)
+    ordered = (F.col("lower_95") >= 0) & (F.col("lower_95") <= F.col("predicted_mean")) & (F.col("predicted_mean") <= F.col("upper_95"))
+    return plain(out.select("category", "day_index", "date", "confidence_level", ordered.alias("band_is_ordered")))
+
+
 @query("fitted_coefficients")
 def _(t):
     return plain(model.coefficients(_models(t)))

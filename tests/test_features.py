@@ -122,3 +122,16 @@ def test_same_day_history_of_leap_day(spark, series):
 def test_confidence_levels(spark):
     df = spark.createDataFrame([(1,), (7,), (8,), (14,), (15,)], "d int").select(cal.confidence(F.col("d")).alias("c"))
     assert [r["c"] for r in df.collect()] == ["high", "high", "medium", "medium", "low"]
+
+
+def test_scores_ahead_match_single_days(spark, festivals):
+    """Array of a horizon over several years against the per-day lookup."""
+    ends = spark.createDataFrame([("Snacks", dt.date(2023, 12, 28)), ("Staples", dt.date(2024, 2, 28))], "category string, last_date date")
+    n = 800
+    ahead = ends.withColumn("s", cal.festival_scores_ahead(F.col("last_date"), n, F.col("category"), cal.score_table(festivals)))
+    for r in ahead.collect():
+        assert len(r["s"]) == n
+        days = [(r["category"], r["last_date"] + dt.timedelta(days=i + 1)) for i in range(n)]
+        rows_ = demand.add_festival_score(spark.createDataFrame(days, "category string, date date"), festivals)
+        single = {x["date"]: x["festival_score"] for x in rows_.collect()}
+        assert [single[d] for _, d in days] == r["s"]
