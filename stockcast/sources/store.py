@@ -81,8 +81,9 @@ def upsert_months(
         merged = upsert(old.select(*fresh.columns), fresh, keys)
     else:
         merged = fresh
+    # few files per month, while a month with very many rows is still split
     (
-        merged.write.mode("overwrite")
+        merged.hint("rebalance", F.col(MONTH)).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(MONTH)
         .parquet(path)

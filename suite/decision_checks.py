@@ -237,15 +237,12 @@ def _(t):
     "scenario_report",
     """SELECT category, scenario_id, base_recommended_action, recommended_action, CAST(order_quantity AS BIGINT) AS order_quantity,
               risk_score, data_stale_warning, round(avg_uplift, 4) AS avg_uplift, round(interval_scale, 4) AS interval_scale,
-              round(raw_total_delta, 1) AS forecast_total_delta, risk_delta, order_quantity_delta,
-              round(raw_index, 1) AS supply_stability_index, array_to_string(warnings, '|') AS warnings FROM report""",
+              round_even(raw_total_delta * 100, 0) / 100 AS forecast_total_delta, risk_delta, order_quantity_delta,
+              round_even(raw_index * 100, 0) / 100 AS supply_stability_index, array_to_string(warnings, '|') AS warnings FROM report""",
     ("report",),
 )
 def _(t):
     out = scenario.scenario_report(t.forecast, t.scenarios, t.params, as_of())
-    out = out.withColumn("forecast_total_delta", F.round("forecast_total_delta", 1)).withColumn(
-        "supply_stability_index", F.round("supply_stability_index", 1)
-    )
     return plain(out.drop("reorder_point", "safety_stock", "reorder_point_delta"))
 
 
