@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 spec = importlib.util.spec_from_file_location("entry_module", Path(__file__).resolve().parent.parent / "__spark_entry__.py")
 entry_module = importlib.util.module_from_spec(spec)
 spec.loader.exec_module(entry_module)
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = entry_module.QUERIES, entry_module.ORACLES
 
 pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="test tables are missing")
 
