@@ -107,10 +107,15 @@ def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def of_kind(kind: str) -> Column:
+    number = F.lit(KINDS.index(kind))
+    return F.transform(F.col(kind), lambda x: F.struct(x["s"].alias("s"), number.alias("k"), x["e"].alias("e")))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """Per row: id, base (array of kind, start, end by start and kind), spans (base and linked ones)."""
     found, _ = cut(parts(docs, id_col, text_col))
-    numbered = F.concat(*[F.transform(F.col(k), lambda x, i=i: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))) for i, k in enumerate(KINDS)])
+    numbered = F.concat(*[of_kind(k) for k in KINDS])
     flat = found.select("id", "key", F.explode(numbered).alias("p")).select("id", "key", "p.*").distinct()
     flat, _ = cut(flat)
     role = F.when(F.col("k").isin(0, 2, 4), "S").when(F.col("k").isin(1, 3), "I").otherwise("E")
@@ -133,7 +138,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
         F.max((F.col("orole") == "S").cast("int")).alias("with_s"), F.max((F.col("orole") == "I").cast("int")).alias("with_i"), F.max((F.col("orole") == "E").cast("int")).alias("with_e"))
     linked = met.filter("(role = 'I' AND with_s = 1) OR (role = 'S' AND with_i + with_e > 0) OR (role = 'E' AND with_s + with_i = 2)").groupBy("id", "key").agg(
         F.collect_list(F.struct("s", "k", "e")).alias("more")).withColumnsRenamed({"id": "lid", "key": "lkey"})
-    base = F.array_sort(F.concat(*[F.transform(F.col(k), lambda x, i=i: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))) for i, k in enumerate(KINDS[:3])]))
+    base = F.array_sort(F.concat(*[of_kind(k) for k in KINDS[:3]]))
     joined = found.select("id", "key", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]], base.alias("base")).join(
         linked, F.col("id").eqNullSafe(F.col("lid")) & (F.col("key") == F.col("lkey")), "left")
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")

@@ -5,10 +5,11 @@ word's letters to the next mark, and none holds a line break, so words are
 segmented one by one without any loss. The distinct words of a block of texts are
 sorted, which lays them out as the depth-first order of their trie; the forward
 scores and back pointers of a common prefix are kept on a stack and reused by
-the next word. The piece scores are those of the model file and the best sum
-wins; of equal sums the segmentation with the longest last piece wins, as in the
-SentencePiece library's unigram encoder. A character without piece costs 10
-more than the worst piece and is written as its UTF-8 bytes.
+the next word. The best sum of piece scores wins, of equal sums the one with the
+longest last piece. A unigram model's scores are taken as they are; a BPE model
+holds ranks instead of log-probabilities, which Zipf's law turns into them:
+-log(1 + rank). A character without piece costs 10 more than the worst piece and
+is written as its UTF-8 bytes.
 
 A block's words are encoded where its texts lie: nothing is shuffled. A mark
 that the text itself holds counts as a character without piece, so decoding
@@ -21,6 +22,7 @@ repeated rows get equal results; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
@@ -52,17 +54,18 @@ def load(path: str) -> Vocabulary:
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
-    pieces, at, lowest = {}, [0] * 256, 0.0
+    pieces, at = {}, [0] * 256
     for i in range(model.vocab_size()):
         piece = model.id_to_piece(i)
         if model.is_byte(i):
             at[int(piece[3:5], 16)] = i
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             pieces[piece] = (i, model.get_score(i))
-            lowest = min(lowest, model.get_score(i))
+    if all(s == int(s) for _, s in pieces.values()):
+        pieces = {p: (i, -math.log1p(max(0.0, -s))) for p, (i, s) in pieces.items()}
     if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
         raise ValueError("pieces span words, so words can't be encoded one by one")
-    return Vocabulary(pieces, tuple(at), lowest - 10.0, max(map(len, pieces)))
+    return Vocabulary(pieces, tuple(at), min(s for _, s in pieces.values()) - 10.0, max(map(len, pieces)))
 
 
 def encode_words(words: Iterable[str], v: Vocabulary) -> dict[str, bytes]:
@@ -117,15 +120,15 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         parts, done = self.units(text), []
         for at in range(0, len(parts), WORDS_PER_BLOCK):
-            done.append(b"".join(map(self.known.__getitem__, self.learn(parts[at:at + WORDS_PER_BLOCK]))))
+            block = self.learn(parts[at:at + WORDS_PER_BLOCK])
+            done.append(b"".join(map(self.known.__getitem__, block)))
         return b"".join(done)
 
     def learn(self, parts: list[str]) -> list[str]:
         new = set(parts).difference(self.known)
         if new:
             if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = set(parts)
+                self.known, new = {}, set(parts)
             self.known.update(encode_words(new, self.vocabulary))
         return parts
 

@@ -40,6 +40,8 @@ def integers(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str,
 
 
 def matrix(column: pa.ListArray, dim: int) -> np.ndarray:
+    if not dim:
+        return np.zeros((len(column), 0))
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
@@ -138,7 +140,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, i
             if not chosen.num_rows:
                 continue
             ids = chosen.column(0).to_numpy()
-            block_matrix = matrix(chosen.column(1).combine_chunks(), dim) if dim else np.zeros((len(ids), 0))
+            block_matrix = matrix(chosen.column(1).combine_chunks(), dim)
             least = kth_values(candidates, block_matrix, ids, -bound, 2 * bound + 1, k)
             found = candidates.mapInArrow(reaching(block_matrix, ids, least, k), "q int, id long, score long")
             w = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
