@@ -5,8 +5,8 @@ fewer than an exact match would need: one segment then differs by at most one
 bit. Each segment is indexed under its 32 one-wildcard variants (one bit
 deleted), so such segments share a variant; fingerprints that meet under one are
 verified by their bit distance. Only distinct fingerprints are indexed, however
-many copies they have. A variant shared by more than ``BUCKET`` fingerprints is
-not paired out: its fingerprints are joined through the points at one bit's
+many copies they have. A variant shared by more than ``BUCKET`` fingerprints, or
+by so many that they would fill a task, is not paired out: its fingerprints are joined through the points at one bit's
 distance instead. Two fingerprints within 2 bits share such a point, and a point
 has 65 neighbours at most, so this is exact and bounded.
 
@@ -21,14 +21,14 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from stockcast.llm.common import carried, cut, drop
+from stockcast.llm.common import carried, cut, drop, fair_share
 
 SEED = 42
 BUCKET = 64
@@ -94,17 +94,24 @@ def near(a: str, b: str, bits: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
 
 
+def crowded_keys(fps: DataFrame, rows: int) -> DataFrame:
+    """Keys that would fill a task, told from every 64th fingerprint: a few per partition at most. Balance rests on it, results don't."""
+    limit = max(16, fair_share(fps.sparkSession, 64 * rows) // 128)
+    return variants(fps.filter(F.pmod(F.xxhash64("fp"), F.lit(64)) == 0)).groupBy("key").count().filter(F.col("count") > limit).select("key")
+
+
 def links(fps: DataFrame, bits: int = 2, bucket: int = BUCKET) -> DataFrame:
     """Distinct (a, b) of linked fingerprints, enough to connect each component; ``fps`` is distinct. ``bits`` is 1 or 2."""
     if bits not in (1, 2):
         raise ValueError("two segments with one wildcard cover a distance of 1 or 2")
-    met = variants(fps).groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
+    full, _ = cut(crowded_keys(fps, fps.count()))
+    # one shuffle of the variants; what is alone under its key, nearly all, ends here
+    met = variants(fps).join(F.broadcast(full), "key", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
     met, _ = cut(met)
-    pairs = met.filter("n = 2").select("a", "b")
-    several = variants(fps).join(met.filter(f"n > 2 AND n <= {bucket}").select("key"), "key")
-    mid = several.select("key", F.col("fp").alias("a")).join(several.select("key", F.col("fp").alias("b")), "key").filter("a < b").select("a", "b")
-    checked = pairs.unionByName(mid).filter(near("a", "b", bits))
-    crowd = variants(fps).join(met.filter(f"n > {bucket}").select("key"), "key").select("fp").distinct()
+    few = met.filter(F.col("n") <= bucket)
+    checked = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter("a < b").select("a", "b")
+    checked = checked.filter(near("a", "b", bits))
+    crowd = met.filter(F.col("n") > bucket).select("fp").unionByName(variants(fps).join(F.broadcast(full), "key").select("fp")).distinct()
     flips = F.expr("transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))")
     points = crowd.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("point"))
     if bits == 2:  # all fingerprints around a point are within 2 bits of each other: a star connects them
