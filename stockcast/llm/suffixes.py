@@ -12,6 +12,9 @@ document with a smaller identifier. Suffixes are compared by their first
 2. Blocks. The suffixes left are dealt into buckets by a hash of their string, and
    one bucket is sorted at a time; equal neighbours are ordered by document.
 
+Documents whose whole text also belongs to a smaller identifier lose it all and
+take no part; they are found by their SHA-256.
+
 Texts are shuffled once, into chunks of bounded bytes and consecutive
 identifiers. All else that travels are sorted lists of hashes, delta-coded, from
 each chunk to each bucket, and one bit per entry back; within a chunk equals are
@@ -33,10 +36,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from stockcast.llm.common import whole
+from stockcast.llm.common import cut, whole
 
 #: perfect difference covers: modulus and residues (fixed values)
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
@@ -146,13 +151,17 @@ def unpacked(body: bytes, n: int, width: int) -> tuple[np.ndarray, np.ndarray |
 class Chunk:
     """Documents of one chunk, by identifier, and what can be told from them alone."""
 
-    def __init__(self, table: pa.Table, plan: Plan):
+    def __init__(self, table: pa.Table, replies: pa.Table, plan: Plan):
         self.plan = plan
         table = table.sort_by("id")
         self.ids = table.column("id")
-        texts = table.column("text").combine_chunks().cast(pa.large_binary())
-        self.lengths = np.array(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), np.int64)
-        self.data = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
+        texts = table.column("text").combine_chunks().cast(pa.large_binary()).to_pylist()
+        copies = {pair for r in replies.filter(pa.compute.equal(replies.column("stage"), 0)).to_pylist()
+                  for pair in map(tuple, np.frombuffer(r["bits"], np.int64).reshape(-1, 2).tolist())}
+        known = {i for i, _ in copies}
+        self.copy = np.array([i in known and (i, signed(xxhash.xxh64_intdigest(t, 42))) in copies for i, t in zip(self.ids.to_pylist(), texts)], bool)
+        self.lengths = np.array(list(map(len, texts)), np.int64)
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
         ids = self.ids.combine_chunks()
@@ -166,8 +175,8 @@ class Chunk:
     def sample(self) -> tuple[np.ndarray, Sorted]:
         """Sampled positions and their sorted strings."""
         plan, places = self.plan, []
-        for start, length in zip(self.starts.tolist(), self.lengths.tolist()):
-            if length >= plan.window:
+        for start, length, copy in zip(self.starts.tolist(), self.lengths.tolist(), self.copy.tolist()):
+            if length >= plan.window and not copy:
                 whole = np.arange(0, length - plan.anchor + 1, plan.period)[:, None] + np.array(plan.cover)
                 places.append(start + whole.ravel()[whole.ravel() <= length - plan.anchor])
         at = np.concatenate(places) if places else np.empty(0, np.int64)
@@ -182,7 +191,7 @@ class Chunk:
         depth = np.bincount(low, minlength=len(self.data) + 1) - np.bincount(hit + 1, minlength=len(self.data) + 1)[:len(self.data) + 1]
         found = np.flatnonzero(np.cumsum(depth)[:len(self.data)] > 0)
         doc = self.doc(found)
-        fits = found + plan.window <= self.ends[doc]
+        fits = (found + plan.window <= self.ends[doc]) & ~self.copy[doc]
         found, doc = found[fits], doc[fits]
         extra = None
         if plan.extra:
@@ -190,6 +199,10 @@ class Chunk:
         return found, Sorted(Hasher(17).at(self.data, found, plan.window), extra, self.rank[doc])
 
 
+def signed(h: int) -> int:
+    return h - 2**64 if h >= 2**63 else h
+
+
 def lists(chunk: int, plan: Plan, s: Sorted, width: int) -> pa.Table:
     """One message per bucket that the chunk has keys for."""
     edges = np.searchsorted(bucket_of(s.keys, plan.buckets), np.arange(plan.buckets + 1))
@@ -256,6 +269,13 @@ def answer(plan: Plan, stage: int, width: int):
     return run
 
 
+def listed(table: pa.Table) -> pa.Table:
+    """Copies of one chunk as one message of stage 0: (identifier, hash) pairs."""
+    pairs = np.column_stack([table.column("id").to_numpy(), table.column("h").to_numpy()]).astype(np.int64)
+    return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "stage": pa.array([0], pa.int32()), "bucket": pa.array([0], pa.int32()),
+                     "n": pa.array([len(pairs)], pa.int32()), "bits": pa.array([pairs.tobytes()], pa.binary())})
+
+
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -291,15 +311,23 @@ def repeated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col
     dealt = base.withColumn("chunk", F.when(F.col("id").isNull(), spread).otherwise(chunk_of("id"))).repartition("chunk")
     by_chunk = dealt.groupBy("chunk")
 
+    named = base.filter("id IS NOT NULL").select("id", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("sha"))
+    least = named.groupBy("sha").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most")
+    copies = named.join(least, "sha").filter("id > least").select(chunk_of("id").alias("chunk"), "id", "h").distinct()
+    whole_copies = copies.groupBy("chunk").applyInArrow(listed, REPLY)
+    whole_copies, _ = cut(whole_copies)
+
     def number(table: pa.Table) -> int:
         return table.column("chunk")[0].as_py()
 
-    def sampled(table: pa.Table) -> pa.Table:
-        _, s = Chunk(table, plan).sample()
+    def sampled(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return lists(0, plan, Sorted(np.empty(0, U), None, np.empty(0, np.int64)), 0)
+        _, s = Chunk(table, replies, plan).sample()
         return lists(number(table), plan, s, 0)
 
     def narrowed(table: pa.Table, replies: pa.Table) -> tuple[Chunk, np.ndarray, Sorted]:
-        chunk = Chunk(table, plan)
+        chunk = Chunk(table, replies, plan)
         at, s = chunk.sample()
         shared = (flags(replies, 1, s, plan) | s.shared)[s.group]
         found, t = chunk.candidates(at, shared)
@@ -316,6 +344,8 @@ def repeated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col
         depth = np.bincount(gone, minlength=len(chunk.data) + 1)[:len(chunk.data) + 1]
         depth = depth - np.bincount(gone + window, minlength=len(chunk.data) + 1)[:len(chunk.data) + 1]
         mask = np.cumsum(depth)[:len(chunk.data)] > 0
+        for d in np.flatnonzero(chunk.copy & (chunk.lengths >= window)).tolist():
+            mask[chunk.starts[d]:chunk.ends[d]] = True
         spans, hashes, left = [], [], []
         for a, b in zip(chunk.starts.tolist(), chunk.ends.tolist()):
             s, e = runs(mask[a:b])
@@ -330,7 +360,8 @@ def repeated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col
             "kept_sha256": pa.array(hashes, pa.string()), "kept": pa.array(left, pa.binary()),
         })
 
-    first = by_chunk.applyInArrow(sampled, LISTS).groupBy("bucket").applyInArrow(answer(plan, 1, 0), REPLY)
+    first = by_chunk.cogroup(whole_copies.groupBy("chunk")).applyInArrow(sampled, LISTS).groupBy("bucket").applyInArrow(answer(plan, 1, 0), REPLY)
+    first = first.unionByName(whole_copies)
     second = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(left_over, LISTS).groupBy("bucket").applyInArrow(answer(plan, 2, plan.extra), REPLY)
     return by_chunk.cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(
         removed, "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary"
