@@ -9,7 +9,8 @@ Cutting the positions evenly gives shards whose row counts differ by one at most
 Ranks and positions are counted per bucket (a bucket's offset, plus the place
 inside it), so no window ever spans a source or the table: buckets of the hash,
 then buckets of the fractional rank, both of which are even by construction,
-whatever a source's share. Texts are reduced to their size and CRC-32 before the
+whatever a source's share. A bucket holds about the root of the number of rows, and
+so does the table of offsets. Texts are reduced to their size and CRC-32 before the
 first shuffle. The method knows no groups: equal texts may lie in different shards.
 
 Defined cases: a null text has no bytes and the CRC-32 of the empty text; a null
@@ -25,7 +26,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockcast.llm.common import cut, whole
 
-ROWS_PER_BUCKET = 20_000
 HASHED = 2**60
 
 
@@ -42,7 +42,7 @@ def counted(df: DataFrame, keys: list[str], bucket: str) -> DataFrame:
 
 
 def interleaved(docs: DataFrame, shards: int = 40, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                rows_per_bucket: int | None = None) -> DataFrame:
     """(id, source, size, crc, position, shard, slot) per row; positions and slots from 0."""
     text = F.encode(whole(text_col), "UTF-8")
     slim = docs.select(
@@ -52,7 +52,7 @@ def interleaved(docs: DataFrame, shards: int = 40, seed: int = 7, id_col: str =
     )
     slim, _ = cut(slim)
     rows = slim.count()
-    buckets = max(1, math.ceil(rows / rows_per_bucket))
+    buckets = max(1, math.ceil(rows / (rows_per_bucket or max(1, math.isqrt(rows)))))
     slim = slim.withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
     ties = ["id", "crc", "size"]
     first = slim.withColumn("b", F.floor(F.col("k") / (HASHED // buckets)))
