@@ -33,7 +33,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns without the text, and the text's piece numbers as ``ids``."""
-    return pieces.encoded(docs, MODEL).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "ids")], "ids")
+    return pieces.encoded(docs, MODEL, keep_text=False).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "ids")], "ids")
 
 
 STAGES = [

@@ -30,7 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from stockcast.llm.common import carried
 
@@ -38,8 +38,9 @@ MARK = "▁"
 #: stands for a mark in the text itself; a lone surrogate can't be in one
 OWN_MARK = "\ud800"
 UNITS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-WORDS_PER_BLOCK = 200_000
-REMEMBERED = 400_000
+WORDS_PER_BLOCK = 100_000
+REMEMBERED = 200_000
+ROWS_AT_ONCE = 256
 
 
 class Vocabulary(NamedTuple):
@@ -168,15 +169,19 @@ def decoder(v: Vocabulary) -> Callable[[np.ndarray], str]:
     return decode
 
 
-def encode_arrow(v: Vocabulary):
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def encode_batches(v: Vocabulary):
+    """Appends the piece numbers as the last column; batches are cut small, as numbers take more room than text."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(v)
-        for texts in batches:
-            found = encoder.encode_all([x or "" for x in texts.to_pylist()])
-            ends = np.cumsum([0, *map(len, found)]) // 4
-            if ends[-1] >= 2**31:
-                raise ValueError("too many pieces for one Arrow batch; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                found = encoder.encode_all([x or "" for x in part.column("text").to_pylist()])
+                ends = np.cumsum([0, *map(len, found)]) // 4
+                if ends[-1] >= 2**31:
+                    raise ValueError("too many pieces for one Arrow batch")
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("row"), ids], ["row", "ids"])
 
     return of
 
@@ -195,10 +200,12 @@ def decode_arrow(v: Vocabulary):
     return of
 
 
-def encoded(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """(row, ids): all columns of each row in a struct, and its piece numbers."""
-    udf = F.arrow_udf(encode_arrow(load(model)), "array<int>")
-    return docs.select(carried(docs).alias("row"), udf(F.col(text_col)).alias("ids"))
+def encoded(docs: DataFrame, model: str, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """(row, ids): the columns of each row in a struct, with or without the text, and its piece numbers."""
+    row = carried(docs if keep_text else docs.drop(text_col))
+    slim = docs.select(row.alias("row"), F.col(text_col).alias("text"))
+    schema = T.StructType([slim.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return slim.mapInArrow(encode_batches(load(model)), schema)
 
 
 def decoded(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
