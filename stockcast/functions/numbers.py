@@ -11,9 +11,28 @@ def js_round(c: Column) -> Column:
 
 
 def py_round(c: Column, digits: int) -> Column:
-    """Round the scaled value, ties to even: 0.125 gives 0.12."""
+    """Round the exact binary value, as Python does: 0.125 gives 0.12 (a true tie), 1.115 gives 1.11 (it lies below).
+
+    A product that looks like a tie is decided by what its rounding dropped.
+    """
     scale = 10.0**digits
-    return F.rint(c * scale) / scale
+    value, scaled = c.cast("double"), c.cast("double") * scale
+    low = F.floor(scaled).cast("double")
+    dropped = _product_error(value, scale, scaled)
+    tie = F.when(dropped > 0, low + 1.0).when(dropped < 0, low).otherwise(F.rint(scaled))
+    whole = F.when(scaled - low == 0.5, tie).otherwise(F.rint(scaled))
+    return F.when(F.abs(scaled) < 2.0**52, whole / scale).otherwise(value)
+
+
+def _product_error(value: Column, factor: float, product: Column) -> Column:
+    """``value * factor - product`` exactly: both factors in halves of 26 bits, whose products have no rounding."""
+    def halves(x):
+        big = x * 134217729.0
+        high = big - (big - x)
+        return high, x - high
+
+    (a, b), (c, d) = halves(value), halves(factor)
+    return ((a * c - product) + a * d + b * c) + b * d
 
 
 def fixed(c: Column, digits: int) -> Column:

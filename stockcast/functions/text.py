@@ -15,13 +15,20 @@ SPACES = (
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 TIME_OF_DAY = r"([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?"
 ISO_DAY = rf"^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}{TIME_OF_DAY}$"
-# other accepted day forms and how their parts make an ISO day
-DAY_FORMS = {
-    rf"^([0-9]{{4}})/([0-9]{{1,2}})/([0-9]{{1,2}}){TIME_OF_DAY}$": "$1-$2-$3",
-    rf"^([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{4}}){TIME_OF_DAY}$": "$3-$1-$2",
-}
+# other accepted day forms and how their parts make an ISO day; where a form fits, the first that gives a day wins
+DAY_FORMS = (
+    (rf"^([0-9]{{4}})/([0-9]{{1,2}})/([0-9]{{1,2}}){TIME_OF_DAY}$", "$1-$2-$3"),
+    (rf"^([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}}){TIME_OF_DAY}$", "$3-$1-$2"),
+    (rf"^([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}}){TIME_OF_DAY}$", "$3-$2-$1"),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3"),
+)
+# day, month name, year; and month name, day, year: which group holds what
+NAMED_FORMS = (
+    (r"^([0-9]{1,2})[ -]([A-Za-z]{3})[a-z]*\.?,?[ -]([0-9]{4})$", (3, 2, 1)),
+    (r"^([A-Za-z]{3})[a-z]*\.? ([0-9]{1,2}),? ([0-9]{4})$", (3, 1, 2)),
+)
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 BLOCKED_TOKENS = ("<system>", "</system>", "<|", "|>", "\\n\\nHuman:", "\\n\\nAssistant:")
-CONTEXT_CHARS = 4000
 CATEGORY_PREFIXES = {
     "snacks": "Snacks",
     "staples": "Staples",
@@ -68,16 +75,24 @@ def to_number(c: Column) -> Column:
     return F.nanvl(value % F.lit(float("inf")), F.lit(None).cast("double"))
 
 
-def to_day(c: Column, forms: dict[str, str] = DAY_FORMS) -> Column:
+def to_day(c: Column, day_first: bool = False) -> Column:
     """Text to date; a time of day is dropped, unreadable text becomes null.
 
+    ``01/02/2024`` is 2 January, or 1 February with ``day_first``; the other
+    reading is tried where the first gives no day.
+
     The text is matched and cast: format parsers signal a misfit by an
     exception per row, which costs far more than the parsing itself.
     """
     text = strip(c.cast("string"))
     options = [F.when(text.rlike(ISO_DAY), text.try_cast("date"))]
-    for pattern, iso in forms.items():
+    forms = DAY_FORMS if not day_first else (DAY_FORMS[0], DAY_FORMS[2], DAY_FORMS[1], *DAY_FORMS[3:])
+    for pattern, iso in forms:
         options.append(F.when(text.rlike(pattern), F.regexp_replace(text, pattern, iso).try_cast("date")))
+    for pattern, (year, month, day) in NAMED_FORMS:
+        number = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(text, pattern, month)))
+        iso = F.concat_ws("-", F.regexp_extract(text, pattern, year), number.cast("string"), F.regexp_extract(text, pattern, day))
+        options.append(F.when(text.rlike(pattern), iso.try_cast("date")))
     return F.coalesce(*options)
 
 
@@ -93,9 +108,9 @@ def slug(c: Column) -> Column:
     return F.when(bare == "", "unknown").otherwise(F.coalesce(bare, F.lit("unknown")))
 
 
-def prompt_safe(c: Column) -> Column:
-    """First 4000 characters without the blocked tokens."""
-    safe = F.substring(c, 1, CONTEXT_CHARS)
+def prompt_safe(c: Column, limit: int | None = None) -> Column:
+    """The text without the blocked tokens; cut to ``limit`` characters before, if one is given."""
+    safe = c if limit is None else F.substring(c, 1, limit)
     for token in BLOCKED_TOKENS:
         safe = F.replace(safe, F.lit(token), F.lit(""))
     return safe

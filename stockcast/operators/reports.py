@@ -327,6 +327,6 @@ def scenario_text(report: DataFrame) -> DataFrame:
     return report.withColumn("explanation", text)
 
 
-def context_text(record: Column) -> Column:
-    """A struct as JSON text, cut to the allowed length, blocked tokens removed."""
-    return prompt_safe(F.to_json(record))
+def context_text(record: Column, limit: int | None = None) -> Column:
+    """A struct as JSON text, blocked tokens removed; cut to ``limit`` characters if a service asks for it."""
+    return prompt_safe(F.to_json(record), limit)

@@ -18,7 +18,7 @@ UPLIFT_CAP = 1.2
 WEEKEND_BOOST = 1.05
 FESTIVAL_BOOST_CAP = 0.2
 WIDENING_CAP = 0.35
-MAX_DISCOUNT, MAX_DAYS = 70, 90
+MAX_DISCOUNT = 70
 COVER_DAYS = 14
 NO_DEMAND_COVER = 999.0
 
@@ -44,8 +44,23 @@ def interval_scale() -> Column:
     return F.lit(1.0) + F.least(F.lit(WIDENING_CAP), discount_ratio() / 2.0)
 
 
+def checked_scenarios(scenarios: DataFrame) -> DataFrame:
+    """Scenarios with the reasons against them, an empty array for those that can be simulated."""
+    discount, mode = F.col("discount_percent"), F.col("elasticity_mode")
+    wrong = {
+        f"discount_percent must lie between 0 and {MAX_DISCOUNT}": ~F.coalesce(discount.between(0, MAX_DISCOUNT), F.lit(False)),
+        f"elasticity_mode must be one of {', '.join(ELASTICITY)}": ~F.coalesce(mode.isin(*ELASTICITY), F.lit(False)),
+    }
+    return scenarios.withColumn("reasons", F.array_compact(F.array(*[F.when(c, F.lit(text)) for text, c in wrong.items()])))
+
+
 def valid_scenarios(scenarios: DataFrame) -> DataFrame:
-    return scenarios.filter(F.col("discount_percent").between(0, MAX_DISCOUNT) & F.col("elasticity_mode").isin(*ELASTICITY))
+    return checked_scenarios(scenarios).filter(F.size("reasons") == 0).drop("reasons")
+
+
+def rejected_scenarios(scenarios: DataFrame) -> DataFrame:
+    """What ``valid_scenarios`` leaves out, with the reasons."""
+    return checked_scenarios(scenarios).filter(F.size("reasons") > 0)
 
 
 def apply_scenarios(

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stockcast.operators import clean
+from stockcast.operators import clean, demand
 from stockcast.schemas import DAILY, SALES, SKUS
-from stockcast.session import cut
+from stockcast.session import cut, scratch
 from stockcast.sources import store, upload
 
 
@@ -45,6 +46,11 @@ class Tables:
     def read_skus(self, spark: SparkSession) -> DataFrame:
         return store.read_snapshot(spark, self.skus, SKUS)
 
+    def scan_sales(self, spark: SparkSession) -> DataFrame:
+        """Sales with their month, by which the files are laid out."""
+        table = store.read_or_empty(spark, self.sales, store.with_month(spark.createDataFrame([], SALES)).schema)
+        return table.withColumn(store.MONTH, F.col(store.MONTH).cast("string"))
+
     def read_sales(self, spark: SparkSession) -> DataFrame:
         return store.read_or_empty(spark, self.sales, SALES).select("date", "sku_id", "units_sold")
 
@@ -57,23 +63,65 @@ def ingest(
 ) -> tuple[str, DataFrame]:
     """Take in one upload; returns its kind and the metrics row.
 
-    The raw rows are cut to the shared folder once, as the file order they
-    carry must be the same for the rows kept and for the metrics.
+    The file is read once: its rows are cut to the shared folder before any
+    check, as the file order they carry must be the same for the rows kept and
+    for the metrics. What was cut is removed when the tables are written. An
+    archive that fails is told in ``archive_error`` and does not stop the upload.
+    """
+    with scratch(spark):
+        upload.detect_kind([c for c in raw.columns if c != upload.ROW_ORDER])
+        kind, rows = upload.accept(cut(raw))
+        error = archived(rows, kind, file_name, as_of, tables.archive) if archive else None
+        skus = tables.read_skus(spark)
+        if kind == "sku":
+            changes = clean.require_valid(cut(clean.clean_skus(rows)), "No valid SKU rows found after validation")
+            metrics = clean.ingestion_metrics(rows, kind)
+            moved = cut(moved_items(skus, changes))
+            store.upsert_skus(spark, tables.skus, changes, SKUS)
+            refresh_categories(spark, tables, moved)
+        else:
+            changes = clean.require_valid(cut(clean.clean_sales(rows, skus)), "No valid Sales rows reference known SKU IDs")
+            metrics = clean.ingestion_metrics(rows, kind, skus, changes)
+            store.upsert_sales(spark, tables.sales, changes, SALES, is_cut=True)
+            store.upsert_months(spark, tables.daily, touched_days(changes, skus, tables.scan_sales(spark)), ["category", "date"], DAILY)
+        store.append(store.touched_categories(changes, skus, as_of), tables.events)
+        metrics = metrics.withColumn("archive_error", F.lit(error).cast("string"))
+        return kind, spark.createDataFrame(metrics.collect(), metrics.schema)  # one row
+
+
+def archived(rows: DataFrame, kind: str, file_name: str, as_of: Column, path: str) -> str | None:
+    """Write the archive; the reason if that fails."""
+    try:
+        upload.write_archive(upload.archive_rows(rows, kind, file_name, as_of), path)
+    except (PySparkException, OSError) as exc:
+        return str(exc).splitlines()[0]
+    return None
+
+
+def touched_days(changes: DataFrame, skus: DataFrame, sales: DataFrame) -> DataFrame:
+    """New daily totals of the (category, date) pairs that changed sales touch.
+
+    ``sales`` has its month column: the join on it prunes the months read.
     """
-    kind, rows = upload.accept(raw)
-    rows = cut(rows)
-    if archive:
-        upload.write_archive(upload.archive_rows(rows, kind, file_name, as_of), tables.archive)
-    skus = tables.read_skus(spark)
-    if kind == "sku":
-        changes = cut(clean.require_valid(clean.clean_skus(rows), "No valid SKU rows found after validation"))
-        metrics = cut(clean.ingestion_metrics(rows, kind))
-        store.upsert_skus(spark, tables.skus, changes, SKUS)
-    else:
-        changes = cut(
-            clean.require_valid(clean.clean_sales(rows, skus), "No valid Sales rows reference known SKU IDs")
-        )
-        metrics = cut(clean.ingestion_metrics(rows, kind, skus, changes))
-        store.upsert_sales(spark, tables.sales, changes, SALES, is_cut=True)
-    store.append(store.touched_categories(changes, skus, as_of), tables.events)
-    return kind, metrics
+    pairs = changes.join(skus.select("sku_id", "category"), "sku_id").select("category", "date").distinct()
+    days = store.with_month(changes.select("date").distinct())
+    sales = sales if store.MONTH in sales.columns else store.with_month(sales)
+    current = demand.daily_demand(sales.join(days, [store.MONTH, "date"], "left_semi"), skus)
+    return current.join(pairs, ["category", "date"], "left_semi")
+
+
+def moved_items(skus: DataFrame, changes: DataFrame) -> DataFrame:
+    """Categories that lose or gain an item by an upload of items."""
+    new = changes.select("sku_id", F.col("category").alias("new_category"))
+    moved = skus.select("sku_id", "category").join(new, "sku_id").filter("category <> new_category")
+    return moved.select(F.explode(F.array("category", "new_category")).alias("category")).distinct()
+
+
+def refresh_categories(spark: SparkSession, tables: Tables, categories: DataFrame) -> None:
+    """Daily totals of some categories worked out anew; the table is one row per category and day, so it is rewritten."""
+    if categories.isEmpty():
+        return
+    skus = tables.read_skus(spark).join(categories, "category", "left_semi")
+    totals = demand.daily_demand(tables.read_sales(spark), skus)
+    others = tables.read_daily(spark).join(categories, "category", "left_anti")
+    store.with_month(cut(others.unionByName(totals.select(*others.columns)))).write.mode("overwrite").partitionBy(store.MONTH).parquet(tables.daily)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,21 +31,11 @@ def build_session(app: str = "stockcast", master: str | None = None, **conf: obj
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that setting is missing (tests on one machine) a temporary
-    folder is used instead.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = tempfile.mkdtemp(prefix="stockcast-checkpoint-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+    """The folder named by ``spark.checkpoint.dir`` or ``setCheckpointDir``; all executors must share it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return named
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -51,11 +43,32 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read on from there.
+    """Write ``df`` as Parquet to the shared folder and read on from there.
 
     Used where one result feeds several later branches: the fit is not run
-    again per branch, and a lost executor costs no recomputation.
+    again per branch, a lost executor costs no recomputation, and later reads
+    keep column pruning and statistics. Inside ``scratch`` the files go when the
+    block ends; else they stay for the readers that are still to come.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    if (opened := _scope.get()) is not None:
+        opened.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes what ``cut`` wrote inside the block, once all that reads it has been written elsewhere."""
+    token = _scope.set(written := [])
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in written:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

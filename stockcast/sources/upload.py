@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -20,7 +21,13 @@ def _tidy_header(df: DataFrame) -> DataFrame:
     return df.toDF(*[name.lstrip("﻿").strip().lower() for name in df.columns])
 
 
-def read_upload(spark: SparkSession, paths: str | list[str], latest_file_wins: bool = False) -> DataFrame:
+# quotes are doubled inside quotes, and a backslash is a character like any other
+DIALECT = {"quote": '"', "escape": '"'}
+
+
+def read_upload(
+    spark: SparkSession, paths: str | list[str], latest_file_wins: bool = False, multi_line: bool = True
+) -> DataFrame:
     """All columns as text, header names trimmed and lower-cased.
 
     ``row_order`` grows with file name, position of the split in the file and
@@ -28,9 +35,11 @@ def read_upload(spark: SparkSession, paths: str | list[str], latest_file_wins: b
     parallel. With ``latest_file_wins`` the time of a file counts before its
     name (the parts of one written dataset finish in any order, so that is not
     the default). All files of one call must share one header; Spark checks it.
+    Quoted fields may hold line breaks; without ``multi_line`` they may not, and
+    large files are split over tasks.
     """
     try:
-        raw = spark.read.option("header", True).option("enforceSchema", False).csv(paths)
+        raw = spark.read.options(header=True, enforceSchema=False, multiLine=multi_line, **DIALECT).csv(paths)
     except Exception as exc:
         if "UNABLE_TO_INFER_SCHEMA" in str(exc):
             raise UploadError("Uploaded file is empty") from exc
@@ -84,10 +93,9 @@ def missing_column_arrays(columns: Column) -> tuple[Column, Column]:
 
 
 def wrong_version(df: DataFrame, column: str = "schema_version") -> DataFrame:
-    """Rows whose non-blank version differs; ``1.00`` counts as ``1.0``."""
+    """Rows whose non-blank version differs; more zeros may follow, so ``1.00`` counts as ``1.0``, but ``1`` does not."""
     version = strip(F.col(column))
-    same = (version == SCHEMA_VERSION) | F.coalesce(to_number(version) == float(SCHEMA_VERSION), F.lit(False))
-    return df.filter(version.isNotNull() & (version != "") & ~same)
+    return df.filter(version.isNotNull() & (version != "") & ~version.rlike(f"^{re.escape(SCHEMA_VERSION)}0*$"))
 
 
 def check_version(df: DataFrame) -> DataFrame:

@@ -9,18 +9,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stockcast.functions.text import category_from_file
 from stockcast.operators import clean, demand, model
-from stockcast.plans.ingest import Tables
+from stockcast.plans.ingest import Tables, touched_days
 from stockcast.schemas import DAILY, SALES, SALES_COLUMNS
-from stockcast.session import cut
+from stockcast.session import cut, scratch
 from stockcast.sources import store
-from stockcast.sources.upload import ROW_ORDER, text_schema
+from stockcast.sources.upload import DIALECT, ROW_ORDER, text_schema
 
 
 def read_stream(spark: SparkSession, folder: str, columns: Sequence[str] = SALES_COLUMNS) -> DataFrame:
     """Rows of CSV files as they arrive, as text, with file name and row order."""
     raw = (
         spark.readStream.schema(text_schema(columns))
-        .option("header", True).option("pathGlobFilter", "*.csv").option("enforceSchema", False)
+        .options(header=True, pathGlobFilter="*.csv", enforceSchema=False, multiLine=True, **DIALECT)
         .csv(folder)
     )
     return raw.filter(F.col("_metadata.file_size") > 0).select(
@@ -33,40 +33,31 @@ def read_stream(spark: SparkSession, folder: str, columns: Sequence[str] = SALES
     )
 
 
-def touched_days(changes: DataFrame, skus: DataFrame, sales: DataFrame) -> DataFrame:
-    """New daily totals of the (category, date) pairs a batch touches."""
-    pairs = changes.join(skus.select("sku_id", "category"), "sku_id").select("category", "date").distinct()
-    days = changes.select("date").distinct()
-    current = demand.daily_demand(sales.join(days, "date", "left_semi"), skus)
-    return current.join(pairs, ["category", "date"], "left_semi")
-
-
 def upsert_batch(spark: SparkSession, tables: Tables, festivals: DataFrame | None, batch: DataFrame) -> None:
     """One micro-batch. Running it again gives the same tables, so a restart
     after a failure is harmless; late corrections always win, so there is no
     watermark."""
-    skus = tables.read_skus(spark)
-    line = F.monotonically_increasing_id()
-    rows = cut(batch.select("*", F.struct("place.*", line.alias("i")).alias(ROW_ORDER)).drop("place"))
-    changes = cut(clean.clean_sales(rows.select(*SALES_COLUMNS, ROW_ORDER), skus))
-    if changes.isEmpty():
-        return
-    store.upsert_sales(spark, tables.sales, changes, SALES, is_cut=True)
-    totals = touched_days(changes, skus, tables.read_sales(spark))
-    store.upsert_months(spark, tables.daily, totals, ["category", "date"], DAILY)
-    named = rows.select(F.col("file_category").alias("category")).filter("category is not null")
-    touched = cut(store.touched_categories(changes, skus, F.current_timestamp()))
-    store.append(touched, tables.events)
-    if festivals is None:
-        return
-    refresh = touched.select("category").unionByName(named).distinct()
-    store.save_models(refit(spark, tables, festivals, refresh), tables.models, F.current_timestamp())
+    with scratch(spark):
+        skus = tables.read_skus(spark)
+        line = F.monotonically_increasing_id()
+        rows = cut(batch.select("*", F.struct("place.*", line.alias("i")).alias(ROW_ORDER)).drop("place"))
+        changes = cut(clean.clean_sales(rows.select(*SALES_COLUMNS, ROW_ORDER), skus))
+        if changes.isEmpty():
+            return
+        store.upsert_sales(spark, tables.sales, changes, SALES, is_cut=True)
+        store.upsert_months(spark, tables.daily, touched_days(changes, skus, tables.scan_sales(spark)), ["category", "date"], DAILY)
+        named = rows.select(F.col("file_category").alias("category")).filter("category is not null")
+        touched = cut(store.touched_categories(changes, skus, F.current_timestamp()))
+        store.append(touched, tables.events)
+        if festivals is None:
+            return
+        refresh = touched.select("category").unionByName(named).distinct()
+        store.save_models(refit(spark, tables, festivals, refresh), tables.models, F.current_timestamp())
 
 
 def refit(spark: SparkSession, tables: Tables, festivals: DataFrame, categories: DataFrame) -> DataFrame:
-    """New models for the given categories only; the semi-join prunes the rest."""
-    skus = tables.read_skus(spark).join(categories, "category", "left_semi")
-    daily = demand.daily_demand(tables.read_sales(spark), skus)
+    """New models for the given categories only, from the daily totals that are kept up to date."""
+    daily = tables.read_daily(spark).join(categories, "category", "left_semi")
     return model.train_models(demand.training_frame(daily, festivals))
 
 

@@ -6,6 +6,7 @@ common table expression for the comparison engine.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from functools import cached_property
 
@@ -14,6 +15,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+
+def ensure_scratch(spark: SparkSession) -> None:
+    """For checks on one machine: a folder of their own where the session names none. A cluster has to name one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checks-"))
+
+
 AS_OF = "2024-01-31 00:00:00"
 FESTIVAL_DAY = "2001-09-15"
 HORIZON = 60
@@ -142,6 +152,7 @@ class Domain:
     """Domain tables as DataFrames over one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        ensure_scratch(spark)
         self.spark = spark
         self.sf_dir = sf_dir
 

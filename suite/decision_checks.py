@@ -38,7 +38,7 @@ register_cte("decided", decision_sql("forecast", "params", "category", "last_upl
 register_cte(
     "decisions",
     """SELECT category, current_inventory, lead_time_days, supplier_pack_size, last_upload, recommended_action, order_quantity,
-              round_even(raw_reorder * 100, 0) / 100 AS reorder_point, round_even(raw_safety * 100, 0) / 100 AS safety_stock, round_even(raw_risk * 1000, 0) / 1000 AS risk_score,
+              CAST(printf('%.2f', raw_reorder) AS DOUBLE) AS reorder_point, CAST(printf('%.2f', raw_safety) AS DOUBLE) AS safety_stock, CAST(printf('%.3f', raw_risk) AS DOUBLE) AS risk_score,
               festive AS festival_buffer_applied, data_stale_warning, pack_size_applied FROM decided""",
     "decided",
 )
@@ -79,11 +79,11 @@ register_cte(
     "report",
     """
     SELECT sd.category, sd.scenario_id, sc.discount_percent, b.recommended_action AS base_recommended_action, sd.recommended_action,
-           sd.order_quantity, sd.raw_reorder, round_even(sd.raw_risk * 1000, 0) / 1000 AS risk_score, sd.data_stale_warning, m.avg_uplift, m.scale AS interval_scale,
+           sd.order_quantity, sd.raw_reorder, CAST(printf('%.3f', sd.raw_risk) AS DOUBLE) AS risk_score, sd.data_stale_warning, m.avg_uplift, m.scale AS interval_scale,
            m.total - t.total AS raw_total_delta,
-           round_even((round_even(sd.raw_risk * 1000, 0) / 1000 - b.risk_score) * 1000, 0) / 1000 AS risk_delta,
+           CAST(printf('%.3f', CAST(printf('%.3f', sd.raw_risk) AS DOUBLE) - b.risk_score) AS DOUBLE) AS risk_delta,
            CAST(sd.order_quantity - b.order_quantity AS BIGINT) AS order_quantity_delta,
-           least(100, greatest(0, 100 - least(100, 65 * round_even(sd.raw_risk * 1000, 0) / 1000)
+           least(100, greatest(0, 100 - least(100, 65 * CAST(printf('%.3f', sd.raw_risk) AS DOUBLE))
                  - CASE WHEN m.mean <= 0 OR sd.current_inventory / m.mean >= 14 THEN 0 ELSE 2 * (14 - sd.current_inventory / m.mean) END
                  - 80 * (m.scale - 1))) AS raw_index,
            list_sort(list_distinct(list_concat(bw.warnings, sw.warnings))) AS warnings
@@ -222,6 +222,19 @@ def _(t):
     return plain(out.select("category", "scenario_id", "day_index", "date", "uplift", "interval_scale", "predicted_mean", "lower_95", "upper_95"), 7)
 
 
+@query(
+    "rejected_scenarios",
+    """SELECT o_orderkey, concat_ws('|', CASE WHEN o_orderkey % 100 > 70 THEN 'discount_percent must lie between 0 and 70' END,
+              CASE WHEN o_orderpriority <> '1-URGENT' THEN 'elasticity_mode must be one of conservative, balanced, aggressive' END) AS reasons
+       FROM orders WHERE o_orderkey % 100 > 70 OR o_orderpriority <> '1-URGENT'""",
+)
+def _(t):
+    asked = t.table("orders").selectExpr(
+        "o_orderkey", "CAST(o_orderkey % 100 AS double) AS discount_percent", "IF(o_orderpriority = '1-URGENT', 'balanced', o_orderpriority) AS elasticity_mode"
+    )
+    return plain(scenario.rejected_scenarios(asked).select("o_orderkey", "reasons"))
+
+
 @query(
     "baseline_beside_simulation",
     """SELECT f.category, s.scenario_id, CAST(f.date AS VARCHAR) AS date, f.predicted_mean, round(s.predicted_mean, 7) AS simulated_mean
@@ -237,8 +250,8 @@ def _(t):
     "scenario_report",
     """SELECT category, scenario_id, base_recommended_action, recommended_action, CAST(order_quantity AS BIGINT) AS order_quantity,
               risk_score, data_stale_warning, round(avg_uplift, 4) AS avg_uplift, round(interval_scale, 4) AS interval_scale,
-              round_even(raw_total_delta * 100, 0) / 100 AS forecast_total_delta, risk_delta, order_quantity_delta,
-              round_even(raw_index * 100, 0) / 100 AS supply_stability_index, array_to_string(warnings, '|') AS warnings FROM report""",
+              CAST(printf('%.2f', raw_total_delta) AS DOUBLE) AS forecast_total_delta, risk_delta, order_quantity_delta,
+              CAST(printf('%.2f', raw_index) AS DOUBLE) AS supply_stability_index, array_to_string(warnings, '|') AS warnings FROM report""",
     ("report",),
 )
 def _(t):
@@ -336,7 +349,7 @@ def _(t):
     "model_health",
     f"""SELECT category, strftime(last_upload, '%Y-%m-%d %H:%M:%S') AS last_upload, coalesce(last_upload < TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY, false) AS stale,
                CAST(n AS BIGINT) AS training_points,
-               CASE WHEN round_even(raw_risk * 1000, 0) / 1000 >= 0.7 THEN 'degraded' WHEN round_even(raw_risk * 1000, 0) / 1000 >= 0.4 THEN 'watch' ELSE 'healthy' END AS health FROM decided""",
+               CASE WHEN CAST(printf('%.3f', raw_risk) AS DOUBLE) >= 0.7 THEN 'degraded' WHEN CAST(printf('%.3f', raw_risk) AS DOUBLE) >= 0.4 THEN 'watch' ELSE 'healthy' END AS health FROM decided""",
     ("decided",),
 )
 def _(t):
@@ -490,10 +503,10 @@ def _(t):
 
 @query(
     "light_prediction",
-    """SELECT r.category, CAST(r.date AS VARCHAR) AS date, round_even(greatest(0, m * (1 + coalesce(u, 0))) * 100, 0) / 100 AS predicted_demand,
-              least(1, round_even(s / m * 1000, 0) / 1000) AS risk_score,
-              CASE WHEN least(1, round_even(s / m * 1000, 0) / 1000) >= 0.8 THEN 'low' WHEN least(1, round_even(s / m * 1000, 0) / 1000) >= 0.4 THEN 'medium' ELSE 'high' END AS confidence_level,
-              CASE WHEN u >= 0.3 THEN 'Increase inventory before festival demand spike.' WHEN least(1, round_even(s / m * 1000, 0) / 1000) >= 0.6 THEN 'Monitor inventory closely and plan a buffer restock.'
+    """SELECT r.category, CAST(r.date AS VARCHAR) AS date, CAST(printf('%.2f', greatest(0, m * (1 + coalesce(u, 0)))) AS DOUBLE) AS predicted_demand,
+              least(1, CAST(printf('%.3f', s / m) AS DOUBLE)) AS risk_score,
+              CASE WHEN least(1, CAST(printf('%.3f', s / m) AS DOUBLE)) >= 0.8 THEN 'low' WHEN least(1, CAST(printf('%.3f', s / m) AS DOUBLE)) >= 0.4 THEN 'medium' ELSE 'high' END AS confidence_level,
+              CASE WHEN u >= 0.3 THEN 'Increase inventory before festival demand spike.' WHEN least(1, CAST(printf('%.3f', s / m) AS DOUBLE)) >= 0.6 THEN 'Monitor inventory closely and plan a buffer restock.'
                    ELSE 'Maintain regular replenishment plan.' END AS suggested_action
        FROM daily r JOIN (SELECT category, avg(units_sold) AS m, stddev_samp(units_sold) AS s FROM recent WHERE age <= 30 GROUP BY 1) l USING (category)
        LEFT JOIN (SELECT date, arg_min(historical_uplift, row_order) AS u FROM festivals GROUP BY 1) f ON f.date = r.date""",

@@ -292,7 +292,7 @@ def _(t):
 
 @query(
     "wrong_schema_versions",
-    "SELECT schema_version, count(*) AS n FROM raw_sales WHERE trim(schema_version) = '2' GROUP BY 1",
+    "SELECT schema_version, count(*) AS n FROM raw_sales WHERE trim(schema_version) NOT IN ('1.0', '1.00', '') GROUP BY 1",
     ("raw_sales",),
 )
 def _(t):
@@ -379,21 +379,42 @@ def _(t):
 
 @query(
     "prompt_context",
-    """SELECT conv_id, turn, md5(replace(replace(replace(replace(replace(replace(substr('{"n":' || turn || ',"text":"' || role || ' <system>x</system> <|a|>"}', 1, 4000),
+    """SELECT conv_id, turn, md5(replace(replace(replace(replace(replace(replace(text || role || ' <system>x</system> <|a|>' || text,
               '<system>', ''), '</system>', ''), '<|', ''), '|>', ''), '\\n\\nHuman:', ''), '\\n\\nAssistant:', '')) AS digest,
-              length(substr(text, 1, 4000)) AS kept_chars
+              md5('{"n":' || turn || ',"text":"' || role || ' x a"}') AS record_digest
        FROM conversations""",
 )
 def _(t):
+    """Whole texts without the blocked tokens."""
     from stockcast.operators.reports import context_text
 
     record = F.struct(F.col("turn").alias("n"), F.concat("role", F.lit(" <system>x</system> <|a|>")).alias("text"))
+    whole = F.concat("text", "role", F.lit(" <system>x</system> <|a|>"), "text")
     return t.table("conversations").select(
-        "conv_id", "turn", F.md5(context_text(record)).alias("digest"),
-        F.length(F.substring("text", 1, tx.CONTEXT_CHARS)).cast("bigint").alias("kept_chars"),
+        "conv_id", "turn", F.md5(tx.prompt_safe(whole)).alias("digest"), F.md5(context_text(record)).alias("record_digest")
     )
 
 
+@query(
+    "csv_dialect_round_trip",
+    """SELECT 'd' || doc_id AS id, length(text) AS n, md5(text) AS digest FROM documents
+       UNION ALL SELECT 'c' || conv_id || '-' || turn, length(text), md5(text) FROM conversations
+       UNION ALL SELECT 'q' || doc_id, length(text) + 18, md5('"' || text || '",' || chr(10) || ' "two' || chr(10) || 'lines" \\') FROM documents""",
+)
+def _(t):
+    """Whole texts, also with quotes, line breaks and a last backslash, written as CSV and read back by the upload reader."""
+    from stockcast.session import scratch_path
+
+    docs = t.table("documents")
+    rows = docs.select(F.concat(F.lit("d"), "doc_id").alias("id"), "text").unionByName(
+        t.table("conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text")
+    ).unionByName(docs.select(F.concat(F.lit("q"), "doc_id").alias("id"), F.concat(F.lit('"'), "text", F.lit('",\n "two\nlines" \\')).alias("text")))
+    path = scratch_path(t.spark, "dialect")
+    rows.write.options(header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **upload.DIALECT).csv(path)
+    back = upload.read_upload(t.spark, path)
+    return back.select("id", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("digest"))
+
+
 @query(
     "category_from_file_name",
     """SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'Snacks' WHEN 1 THEN 'Staples' WHEN 2 THEN 'Edible Oil' WHEN 3 THEN 'Edible Oil' WHEN 4 THEN 'Edible Oil' END AS category FROM part""",
@@ -424,3 +445,17 @@ def _(t):
 def _(t):
     rows = t.table("lineitem").selectExpr(*_items(SALES_RAW.format(**SPARK)))
     return plain(rows.select("row_order", tx.to_day(F.col("date")).alias("day")))
+
+
+@query(
+    "date_forms",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 9 = 8 THEN NULL ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS day FROM lineitem""",
+)
+def _(t):
+    """One day in eight forms, and a text that is none."""
+    d = F.to_date("l_shipdate")
+    forms = [F.date_format(d, p) for p in ("yyyy-MM-dd", "yyyy/M/d", "M/d/yyyy", "MM-dd-yyyy", "yyyyMMdd", "d MMM yyyy", "MMMM d, yyyy")]
+    forms.append(F.when(F.dayofmonth(d) > 12, F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")))
+    forms.append(F.date_format(d, "yyyy-13-dd"))
+    text = F.get(F.array(*forms), F.col("l_orderkey").cast("int") % 9)
+    return plain(t.table("lineitem").select("l_orderkey", "l_linenumber", tx.to_day(text).alias("day")))

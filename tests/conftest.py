@@ -7,6 +7,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from stockcast.session import build_session  # noqa: E402
+from suite.base import ensure_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -17,6 +18,7 @@ def spark():
            "spark.driver.memory": "6g"},
     )
     session.sparkContext.setLogLevel("ERROR")
+    ensure_scratch(session)
     yield session
     session.stop()
 

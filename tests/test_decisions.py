@@ -113,7 +113,8 @@ def test_scenario_report(spark, forecast, params):
 def test_rounding_takes_ties_to_even(spark):
     from stockcast.functions.numbers import py_round
 
-    values = [0.125, 0.375, 2.5, 1.234567, -0.125, 99.999, 1e9 + 0.126]
+    values = [0.125, 0.375, 2.5, 1.234567, -0.125, 99.999, 1e9 + 0.126, 1.115, 2.675, -2.675, 1.005, 5e15 + 0.5, 0.0]
+    values += [k / 200 for k in range(-5000, 5000)] + [k / 1000 + 0.0005 for k in range(300)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r["r"] for r in df.select(py_round(F.col("v"), 2).alias("r")).collect()]
     assert got == [round(v, 2) for v in values]

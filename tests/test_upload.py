@@ -171,7 +171,7 @@ def test_order_within_a_file_read_in_pieces(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", 20000)
     spark.conf.set("spark.sql.files.openCostInBytes", 0)
     try:
-        raw = upload.read_upload(spark, str(path))
+        raw = upload.read_upload(spark, str(path), multi_line=False)
         assert raw.rdd.getNumPartitions() > 5
         items = spark.createDataFrame([(f"A{i:02d}",) for i in range(50)], "sku_id string")
         out = {r["sku_id"]: r["units_sold"] for r in clean.clean_sales(raw, items).collect()}
