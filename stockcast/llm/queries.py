@@ -76,4 +76,62 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding, op9_sentencepiece, op10_quality,
     )
 }
-ORACLES: dict[str, str] = {}
+
+OP1_SQL = rf"""
+WITH slim AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents
+), src AS (
+    SELECT source, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE / sum(sum(tokens)) OVER () AS p FROM slim GROUP BY source
+), powered AS (
+    SELECT j, tokens, pow(p, j / {mixing.GRID}::DOUBLE) AS x FROM src, range({mixing.GRID + 1}) AS r(j) WHERE tokens > 0
+), steps AS (
+    SELECT j, ln(sum(x)) - sum(x * ln(x)) / sum(x) AS entropy, max(x / tokens) / min(x / tokens) AS repetition FROM powered GROUP BY j
+), chosen AS (
+    SELECT greatest(
+        coalesce(max(j) FILTER (entropy >= {ENTROPY_SHARE} * (SELECT entropy FROM steps WHERE j = 0) - 1e-9), 0),
+        coalesce(max(j) FILTER (repetition > {REPETITION} + 1e-9), -1) + 1) / {mixing.GRID}::DOUBLE AS a FROM steps
+), raised AS (
+    SELECT source, tokens, CASE WHEN tokens > 0 THEN pow(p, a) ELSE 0 END AS x FROM src, chosen
+), sums AS (
+    SELECT sum(x) AS z, sum(x) / min(x / tokens) AS spread FROM raised WHERE tokens > 0
+), plan AS (
+    SELECT source, tokens, round(x / z, 9) AS weight, round(x / z * spread)::BIGINT AS budget FROM raised, sums
+), keyed AS (
+    SELECT doc_id, s.source, s.tokens, weight,
+        CASE WHEN p.tokens > 0 THEN budget // p.tokens ELSE 1 END AS whole, CASE WHEN p.tokens > 0 THEN budget % p.tokens ELSE 0 END AS rest
+    FROM slim s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
+), placed AS (
+    SELECT *, ('0x' || substr(md5(concat_ws('|', '7', coalesce(source, ''), whole, coalesce(doc_id::VARCHAR, ''))), 1, 15))::BIGINT AS k FROM keyed
+), counted AS (
+    SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY k RANGE UNBOUNDED PRECEDING) AS upto FROM placed
+), edges AS (
+    SELECT *, min(k) FILTER (rest > 0 AND upto >= rest) OVER (PARTITION BY source) AS edge FROM counted
+), drawn AS (
+    SELECT doc_id, source, tokens, weight, unnest(range(whole + CASE WHEN k <= edge THEN 1 ELSE 0 END)) AS block FROM edges
+)
+SELECT doc_id, source, tokens, weight, block,
+    ('0x' || substr(md5(concat_ws('|', '7', coalesce(source, ''), block, coalesce(doc_id::VARCHAR, ''))), 1, 15))::BIGINT AS place
+FROM drawn
+"""
+
+OP4_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+    sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+OP6_SQL = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+#: the rest need hashes, patterns or loops that this SQL has not; tests hold them against plain versions
+ORACLES: dict[str, str] = {"op1_temperature_mixing": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_exact_topk": OP6_SQL}

@@ -5,6 +5,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -389,3 +390,15 @@ def test_dropping_operators_keep_all_columns(awkward):
     for found in (content_sort.drop_exact_copies(awkward), simhash.drop_near_copies(awkward), mixing.mixed(awkward, repetition=2.0)):
         assert found.columns == awkward.columns
         assert {r["kept"] for r in found.select("kept").collect()} == {"x"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql_counterparts(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS FROM '{SF}/{table}.parquet'")
+    found = queries.QUERIES[name](spark, SF)
+    cursor = con.execute(queries.ORACLES[name])
+    assert sorted(c[0] for c in cursor.description) == sorted(found.columns)
+    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want)
