@@ -153,25 +153,16 @@ def recent_level(daily: DataFrame, keys: Sequence[str] = CATEGORY, rows: int = 3
 def dataset_summary(sales: DataFrame, skus: DataFrame) -> DataFrame:
     """Spread of units per category over item-day rows, unknown items included."""
     joined = sales.join(skus.select("sku_id", "category"), "sku_id", "left")
-    per_item = joined.groupBy("category", "sku_id").agg(
-        F.sum("units_sold").alias("s"),
-        F.sum(F.col("units_sold") * F.col("units_sold")).alias("sq"),
-        F.count("units_sold").alias("n"),
-        F.min("units_sold").alias("lo"), F.max("units_sold").alias("hi"),
-        F.min("date").alias("first"), F.max("date").alias("last"),
-    )
-    n, s = F.sum("n"), F.sum("s")
-    mean = s / n
-    variance = (F.sum("sq") - s * mean) / (n - 1)
-    std = F.when(n > 1, F.sqrt(F.greatest(variance, F.lit(0.0))))
-    return per_item.groupBy("category").agg(
+    # the distinct count makes Spark aggregate per item first; moments are merged around their means, so nothing cancels
+    mean, std = F.avg("units_sold"), F.stddev_samp("units_sold")
+    return joined.groupBy("category").agg(
         mean.alias("mean_units"),
-        F.min("lo").alias("min_units"), F.max("hi").alias("max_units"),
-        std.alias("std_units"), s.alias("total_units"),
-        (std / mean * 100).alias("cv_percent"),
-        F.count("*").alias("n_items"),
-        F.min("first").alias("first_date"), F.max("last").alias("last_date"),
-        n.alias("n_rows"),
+        F.min("units_sold").alias("min_units"), F.max("units_sold").alias("max_units"),
+        std.alias("std_units"), F.sum("units_sold").alias("total_units"),
+        (std / F.nullif(mean, F.lit(0.0)) * 100).alias("cv_percent"),
+        F.count_distinct("sku_id").alias("n_items"),
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.count("units_sold").alias("n_rows"),
     )
 
 

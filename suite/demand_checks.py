@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from stockcast.functions import calendar as cal
 from stockcast.operators import demand, model
 from stockcast.operators.demand import FEATURES
 from suite.base import Domain, query, register_cte
@@ -29,13 +28,18 @@ register_cte(
     FROM daily""",
     "daily",
 )
-_anchor_rows = ", ".join(
-    f"({i}, '{name}', {m}, {d}, {cal.TIERS[t].decay_scale}::DOUBLE, {cal.TIERS[t].window_days}, {cal.TIERS[t].weight}::DOUBLE)"
-    for i, (name, (t, m, d)) in enumerate(cal.ANCHORS.items())
-)
-_weight_rows = ", ".join(
-    f"('{category}', '{name}', {w}::DOUBLE)" for category, ws in cal.CATEGORY_WEIGHTS.items() for name, w in ws.items()
-)
+# written out, so that a wrong value in the library shows: position, name, month, day, decay, span, weight
+_anchor_rows = """
+    (0, 'pongal', 1, 15, 0.7::DOUBLE, 32, 1.0::DOUBLE), (1, 'holi', 3, 25, 1.0, 22, 0.3), (2, 'eid', 4, 10, 0.9, 26, 0.6),
+    (3, 'independence day', 8, 15, 1.0, 22, 0.3), (4, 'navratri', 10, 3, 0.9, 26, 0.6), (5, 'diwali', 11, 1, 0.7, 32, 1.0),
+    (6, 'christmas', 12, 25, 0.9, 26, 0.6), (7, 'new year', 12, 31, 1.0, 22, 0.3)"""
+_weight_rows = """
+    ('edible oil', 'diwali', 1.0::DOUBLE), ('edible oil', 'pongal', 0.95), ('edible oil', 'eid', 0.85), ('edible oil', 'navratri', 0.5),
+    ('edible oil', 'christmas', 0.45), ('edible oil', 'holi', 0.4), ('edible oil', 'independence day', 0.35), ('edible oil', 'new year', 0.4),
+    ('staples', 'diwali', 0.95), ('staples', 'pongal', 0.9), ('staples', 'eid', 0.85), ('staples', 'navratri', 0.55),
+    ('staples', 'christmas', 0.45), ('staples', 'holi', 0.4), ('staples', 'independence day', 0.35), ('staples', 'new year', 0.4),
+    ('snacks', 'diwali', 1.0), ('snacks', 'pongal', 0.55), ('snacks', 'eid', 0.5), ('snacks', 'navratri', 0.75),
+    ('snacks', 'christmas', 0.85), ('snacks', 'holi', 0.45), ('snacks', 'independence day', 0.4), ('snacks', 'new year', 0.5)"""
 register_cte(
     "anchors",
     f"""

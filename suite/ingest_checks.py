@@ -21,7 +21,7 @@ SALES_RAW = """
     CASE WHEN l_orderkey % 17 = 0 THEN concat('-', CAST(CAST(l_quantity AS INTEGER) AS {text})) WHEN l_orderkey % 19 = 0 THEN concat(CAST(CAST(l_quantity AS INTEGER) AS {text}), '.5')
          WHEN l_orderkey % 23 = 0 THEN 'many' WHEN l_orderkey % 29 = 0 THEN '1d' WHEN l_orderkey % 37 = 0 THEN '9e2'
          ELSE CAST(CAST(l_quantity AS INTEGER) AS {text}) END AS units_sold,
-    CASE WHEN l_suppkey % 3 = 0 THEN '1.0' WHEN l_suppkey % 3 = 1 THEN ' 1.00 ' ELSE '2' END AS schema_version,
+    CASE WHEN l_suppkey % 3 = 0 THEN '1.0' WHEN l_suppkey % 3 = 1 THEN ' 1.00 ' WHEN l_suppkey % 6 = 2 THEN '1' ELSE '2' END AS schema_version,
     ((l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey) * 100 + CAST(l_quantity AS BIGINT) AS row_order"""
 SKUS_RAW = """
     CASE WHEN p_partkey % 41 = 0 THEN '' WHEN p_partkey % 4 = 0 THEN concat(' sku', CAST(p_partkey AS {text}), {hidden}) ELSE concat('SKU', CAST(p_partkey AS {text})) END AS sku_id,

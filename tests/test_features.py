@@ -135,3 +135,10 @@ def test_scores_ahead_match_single_days(spark, festivals):
         rows_ = demand.add_festival_score(spark.createDataFrame(days, "category string, date date"), festivals)
         single = {x["date"]: x["festival_score"] for x in rows_.collect()}
         assert [single[d] for _, d in days] == r["s"]
+
+
+def test_spread_of_large_and_close_units(spark):
+    sales = spark.createDataFrame([(f"s{i % 2}", dt.date(2024, 1, 1 + i), 4 * 10**9 + i) for i in range(3)], "sku_id string, date date, units_sold bigint")
+    skus = spark.createDataFrame([("s0", "a"), ("s1", "a")], "sku_id string, category string")
+    row = demand.dataset_summary(sales, skus).first()
+    assert abs(row["std_units"] - 1) < 1e-6 and row["n_items"] == 2 and row["n_rows"] == 3
