@@ -1,8 +1,8 @@
 """License scanning by ordered signature rules.
 
 Rules are regular expressions over the lower-cased text, written per license:
-its tags, titles, grants and clauses. A rule is tried only if its keyword occurs
-in the text. Detections overlap: they are resolved in order of priority, and one
+its tags, titles, grants and clauses. A rule is tried only if each word of its
+keyword, which every match holds, occurs somewhere in the text. Detections overlap: they are resolved in order of priority, and one
 whose interval lies inside that of an accepted one is suppressed. Word phrases
 are found besides the rules, and their labels always stay.
 
@@ -66,12 +66,12 @@ TAGS = (
     ("osl-3.0", "osl-3.0", r"open software"), ("ecl-2.0", "ecl-2.0", r"educational community"), ("blueoak-1.0.0", "blueoak", r"blue oak model"), ("mulanpsl-2.0", "mulan", r"mulan psl"),
     ("busl-1.1", "busl-1.1", r"business source(?: license)? ?1\.1|busl"), ("sspl-1.0", "sspl-1.0", r"server side public"), ("elastic-2.0", "elastic-2.0", r"elastic(?: license)? ?(?:v|version )?2(?:\.0)?"),
 )
-# clauses and addresses written out: label, keyword, pattern, priority
+# clauses and addresses written out: label, keyword (words or parts of words in every match), pattern, priority
 CLAUSES = (
     ("mit", "hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", 90),
     ("mit", "opensource.org", r"https?://(?:www\.)?opensource\.org/licenses/mit\b", 85), ("mit", "mit", r"\bmit[- ]licen[cs]ed?\b", 60), ("mit", "released under", r"released under the mit licen[cs]e", 75),
     ("apache-2.0", "apache.org", r"https?://(?:www\.)?apache\.org/licenses/license-2\.0(?:\.txt|\.html)?", 85),
-    ("apache-2.0", "apache license", r"licensed under the apache license, version 2\.0 \(the \"license\"\)", 90), ("apache", "apache license", r"\bapache licen[cs]e\b", 40), ("apache", "apache", r"\bapache[- ]licensed\b", 40),
+    ("apache-2.0", "apache license", r"licensed under the apache license, version 2\.0 \(the \"license\"\)", 90), ("apache", "apache licen", r"\bapache licen[cs]e\b", 40), ("apache", "apache", r"\bapache[- ]licensed\b", 40),
     ("bsd-2-clause", "redistribution", r"redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", 70),
     ("bsd-3-clause", "endorse", r"neither the name of .{1,120}? nor the names of its contributors may be used to endorse or promote products", 80),
     ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 85), ("bsd", "bsd", r"\bbsd(?:[- ]style)? licen[cs]ed?\b", 40),
@@ -79,7 +79,7 @@ CLAUSES = (
     ("zlib", "express or implied", r"this software is provided 'as-is', without any express or implied warranty", 75), ("bsl-1.0", "boost", r"https?://(?:www\.)?boost\.org/license_1_0\.txt", 85),
     ("unlicense", "public domain", r"this is free and unencumbered software released into the public domain", 90), ("unlicense", "unlicense", r"https?://unlicense\.org", 80),
     ("public-domain", "public domain", r"\b(?:in|into|to) the public domain\b", 50), ("public-domain", "public domain", r"\bpublic domain dedication\b", 55),
-    ("gpl", "general public license", r"\bgnu general public licen[cs]e\b", 50), ("gpl", "general public license", r"\bgeneral public licen[cs]e\b", 40), ("gpl-2.0-or-later", "either version", r"either version 2 of the license, or \(at your option\) any later version", 88),
+    ("gpl", "general public licen", r"\bgnu general public licen[cs]e\b", 50), ("gpl", "general public licen", r"\bgeneral public licen[cs]e\b", 40), ("gpl-2.0-or-later", "either version", r"either version 2 of the license, or \(at your option\) any later version", 88),
     ("gpl-3.0-or-later", "either version", r"either version 3 of the license, or \(at your option\) any later version", 88), ("lgpl-2.1-or-later", "either version", r"either version 2\.1 of the license, or \(at your option\) any later version", 89),
     ("gpl", "gnu.org", r"https?://(?:www\.)?gnu\.org/licenses/gpl(?:\.html|\.txt)?", 60), ("lgpl", "gnu.org", r"https?://(?:www\.)?gnu\.org/licenses/lgpl(?:\.html|\.txt)?", 60), ("agpl", "gnu.org", r"https?://(?:www\.)?gnu\.org/licenses/agpl(?:\.html|\.txt)?", 60),
     ("lgpl", "lesser general", r"\bgnu lesser general public licen[cs]e\b", 55), ("lgpl", "library general", r"\bgnu library general public licen[cs]e\b", 55), ("agpl", "affero", r"\bgnu affero general public licen[cs]e\b", 56), ("agpl", "agpl", r"\bagpl\b", 35),
@@ -93,16 +93,16 @@ CLAUSES = (
     ("wtfpl", "wtfpl", r"https?://(?:www\.)?wtfpl\.net", 80), ("ofl-1.1", "scripts.sil.org", r"https?://scripts\.sil\.org/ofl", 80), ("psf", "psf", r"\bpsf license agreement\b", 70), ("beerware", "beer", r"\bbeer-?ware license\b", 70), ("json", "good, not evil", r"shall be used for good, not evil", 85),
 )
 # how a license is spoken of: before and after its name, and the priority
-FORMS = ((r"spdx-license-identifier:\s*{tag}(?:-only|-or-later|\+)?\b", "spdx", 100), (r"licen[cs]ed under (?:the )?(?:terms of )?(?:the )?(?:{name})(?: licen[cs]e)?\b", "under", 78),
+FORMS = ((r"spdx-license-identifier:\s*{tag}(?:-only|-or-later|\+)?\b", "spdx", 100), (r"licen[cs]ed under (?:the )?(?:terms of )?(?:the )?(?:{name})(?: licen[cs]e)?\b", "licen under", 78),
          (r"\b(?:{name})(?: public)? licen[cs]e\b", "licen", 65), (r"\"?licen[cs]e\"?\s*[:=]\s*\"?(?:{name}|{tag})\b", "licen", 72))
 
 
 @cache
-def rules() -> tuple[tuple[bytes, re.Pattern, str, int], ...]:
-    """(keyword, pattern, label, priority) in order of priority; words may be parted by any white space."""
+def rules() -> tuple[tuple[tuple[bytes, ...], re.Pattern, str, int], ...]:
+    """(words of the keyword, pattern, label, priority) in order of priority; words may be parted by any white space."""
     found = [(k, p, label, n) for label, k, p, n in CLAUSES]
     found += [(k, form.format(tag=re.escape(tag), name=name), label, n) for form, k, n in FORMS for tag, label, name in TAGS]
-    found = [(k.encode(), re.compile(p.replace(" ", r"\s+").encode(), re.S), label, n) for k, p, label, n in found]
+    found = [(tuple(k.encode().split()), re.compile(p.replace(" ", r"\s+").encode(), re.S), label, n) for k, p, label, n in found]
     return tuple(sorted(found, key=lambda r: -r[3]))
 
 
@@ -119,10 +119,13 @@ def detections(low: bytes) -> list[tuple[int, int, str, int]]:
     """Accepted (start, end, label, priority) in bytes of a lower-cased text."""
     gates: dict[bytes, bool] = {}
     hits = []
-    for order, (keyword, pattern, label, priority) in enumerate(rules()):
-        if keyword not in gates:
-            gates[keyword] = keyword in low
-        if gates[keyword]:
+    for order, (words, pattern, label, priority) in enumerate(rules()):
+        for word in words:
+            if word not in gates:
+                gates[word] = word in low
+            if not gates[word]:
+                break
+        else:
             hits += [(-priority, m.start() - m.end(), m.start(), order, m.end(), label) for m in pattern.finditer(low)]
     kept: list[tuple[int, int, str, int]] = []
     reach: list[tuple[int, int]] = []  # accepted intervals that no other contains, by start: ends rise too

@@ -151,6 +151,50 @@ def test_license_rules_overlap():
         assert label and not pattern.match(b"")
 
 
+def ungated(low):
+    """Detections with every rule tried."""
+    hits = sorted((-n, m.start() - m.end(), m.start(), o, m.end(), label) for o, (_, p, label, n) in enumerate(licenses.rules()) for m in p.finditer(low))
+    kept = []
+    for n, _, s, _, e, label in hits:
+        if not any(a <= s and e <= b for a, b, _, _ in kept):
+            kept.append((s, e, label, -n))
+    return sorted(kept)
+
+
+#: a text that each written clause with a keyword of several words matches, and others with hyphens and both spellings
+CLAUSE_TEXTS = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "released under the MIT license", "MIT-licensed", "apache license", "apache licence", "apache-licensed", 'licensed under the apache license, version 2.0 (the "license")',
+    "all advertising materials mentioning features or use of this software must display the following acknowledgment",
+    "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "this software is provided 'as-is', without any express or implied warranty", "this is free and unencumbered software released into the public domain",
+    "in the public domain", "public domain dedication", "GNU general public license", "general public licence", "GNU general public licence",
+    "either version 2 of the license, or (at your option) any later version", "either version 2.1 of the license, or (at your option) any later version",
+    "either version 3 of the license, or (at your option) any later version", "GNU Lesser General Public License", "GNU library general public licence",
+    "common development and distribution license", "creative commons licence", "all rights reserved", "end user license agreement", "end-user licence agreement",
+    "shall be used for good, not evil", "licenced under the terms of the MIT licence", "licensed under the mit license", "redistribution and use in source and binary "
+    "forms, with or without modification, are permitted provided that the following conditions are met", "neither the name of x nor the names of its "
+    "contributors may be used to endorse or promote products", "beer-ware license", "unauthorised, unauthorized copying of it is strictly prohibited",
+)
+
+
+@pytest.mark.parametrize("gap", [" ", "\n", "\t", "  ", "\r\n   "])
+def test_license_gates_close_on_no_match(gap):
+    for text in CLAUSE_TEXTS:
+        low = text.lower().replace(" ", gap).encode()
+        assert licenses.detections(low) == ungated(low), low
+    labels = lambda text: {x[2] for x in licenses.detections(text.lower().replace(" ", gap).encode())}
+    assert labels("GNU Lesser General Public License") == {"lgpl"}
+    assert labels("either version 3 of the License, or (at your option) any later version") == {"gpl-3.0-or-later"}
+    assert labels("apache licence") == {"apache"} and labels("all rights reserved") == {"proprietary"}
+
+
+def test_license_gates_on_the_given_table(given):
+    for _, text in rows(given)[::50]:
+        low = (text or "").encode().lower()
+        assert licenses.detections(low) == ungated(low)
+
+
 def test_license_suppression_against_all_pairs():
     kept = []
     text = (" mit license apache license 2.0 gnu general public license version 3 gpl lgpl v2.1 all rights reserved " * 5).encode()
