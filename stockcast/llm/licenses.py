@@ -33,38 +33,38 @@ PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general publi
 # tag of a license, label, its names and versions as patterns
 TAGS = (
     ("mit", "mit", r"mit(?:/x11| expat)?"), ("mit-0", "mit-0", r"mit no attribution"), ("x11", "x11", r"x11"),
-    ("apache-1.1", "apache-1.1", r"apache(?: software)?[ -]?(?:license)?,? ?v?(?:ersion )?1\.1"),
+    ("apache-1.1", "apache-1.1", r"apache(?: software)?(?:[ -]?license)?,?-? ?v?(?:ersion )?1\.1"),
     ("apache-2.0", "apache-2.0", r"apache(?: software)?(?: license)?,? ?-?v?(?:ersion )?2(?:\.0)?"),
     ("bsd-2-clause", "bsd-2-clause", r"(?:2-clause|simplified|freebsd) bsd|bsd[ -]2[ -]clause"),
     ("bsd-3-clause", "bsd-3-clause", r"(?:3-clause|new|modified|revised) bsd|bsd[ -]3[ -]clause"),
     ("bsd-4-clause", "bsd-4-clause", r"(?:4-clause|original) bsd|bsd[ -]4[ -]clause"),
     ("0bsd", "0bsd", r"zero[ -]clause bsd|0bsd"), ("isc", "isc", r"isc"), ("zlib", "zlib", r"zlib(?:/libpng)?"),
-    ("bsl-1.0", "bsl-1.0", r"boost software(?: license)?,? ?(?:v(?:ersion )?)?1\.0|boost software"),
+    ("bsl-1.0", "bsl-1.0", r"boost software(?: license)?,? ?-?v?(?:ersion )?1\.0|boost software"),
     ("unlicense", "unlicense", r"unlicense"), ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public"),
-    ("gpl-1.0", "gpl-1.0", r"(?:gnu )?(?:gpl|general public license),? ?v?(?:ersion )?1(?:\.0)?"),
+    ("gpl-1.0", "gpl-1.0", r"(?:gnu )?(?:gpl|general public license),? ?-?v?(?:ersion )?1(?:\.0)?"),
     ("gpl-2.0", "gpl-2.0", r"(?:gnu )?(?:gpl|general public license),? ?-?v?(?:ersion )?2(?:\.0)?"),
     ("gpl-3.0", "gpl-3.0", r"(?:gnu )?(?:gpl|general public license),? ?-?v?(?:ersion )?3(?:\.0)?"),
-    ("lgpl-2.0", "lgpl-2.0", r"(?:gnu )?(?:lgpl|library general public license),? ?v?(?:ersion )?2(?:\.0)?"),
+    ("lgpl-2.0", "lgpl-2.0", r"(?:gnu )?(?:lgpl|library general public license),? ?-?v?(?:ersion )?2(?:\.0)?"),
     ("lgpl-2.1", "lgpl-2.1", r"(?:gnu )?(?:lgpl|lesser general public license),? ?-?v?(?:ersion )?2\.1"),
     ("lgpl-3.0", "lgpl-3.0", r"(?:gnu )?(?:lgpl|lesser general public license),? ?-?v?(?:ersion )?3(?:\.0)?"),
     ("agpl-3.0", "agpl-3.0", r"(?:gnu )?(?:agpl|affero general public license),? ?-?v?(?:ersion )?3(?:\.0)?"),
-    ("mpl-1.1", "mpl-1.1", r"(?:mozilla public(?: license)?|mpl),? ?v?(?:ersion )?1\.1"),
+    ("mpl-1.1", "mpl-1.1", r"(?:mozilla public(?: license)?|mpl),? ?-?v?(?:ersion )?1\.1"),
     ("mpl-2.0", "mpl-2.0", r"(?:mozilla public(?: license)?|mpl),? ?-?v?(?:ersion )?2\.0"),
     ("epl-1.0", "epl-1.0", r"(?:eclipse public(?: license)?|epl),? ?-?v?(?:ersion )?1\.0"),
     ("epl-2.0", "epl-2.0", r"(?:eclipse public(?: license)?|epl),? ?-?v?(?:ersion )?2\.0"),
-    ("cddl-1.0", "cddl-1.0", r"(?:common development and distribution(?: license)?|cddl),? ?v?(?:ersion )?1\.0"),
-    ("cpl-1.0", "cpl-1.0", r"common public(?: license)?,? ?v?(?:ersion )?1\.0"), ("eupl-1.2", "eupl-1.2", r"(?:european union public(?: licen[cs]e)?|eupl),? ?v?(?:ersion |\. ?)?1\.2"),
-    ("artistic-1.0", "artistic-1.0", r"artistic(?: license)?,? ?v?(?:ersion )?1\.0"), ("artistic-2.0", "artistic-2.0", r"artistic(?: license)?,? ?v?(?:ersion )?2\.0"),
-    ("psf-2.0", "psf", r"python software foundation|psf"), ("ofl-1.1", "ofl-1.1", r"(?:sil open font(?: license)?|ofl),? ?v?(?:ersion )?1\.1"),
+    ("cddl-1.0", "cddl-1.0", r"(?:common development and distribution(?: license)?|cddl),? ?-?v?(?:ersion )?1\.0"),
+    ("cpl-1.0", "cpl-1.0", r"common public(?: license)?,? ?-?v?(?:ersion )?1\.0"), ("eupl-1.2", "eupl-1.2", r"(?:european union public(?: licen[cs]e)?|eupl),? ?-?v?(?:ersion |\. ?)?1\.2"),
+    ("artistic-1.0", "artistic-1.0", r"artistic(?: license)?,? ?-?v?(?:ersion )?1\.0"), ("artistic-2.0", "artistic-2.0", r"artistic(?: license)?,? ?-?v?(?:ersion )?2\.0"),
+    ("psf-2.0", "psf", r"python software foundation|psf"), ("ofl-1.1", "ofl-1.1", r"(?:sil open font(?: license)?|ofl),? ?-?v?(?:ersion )?1\.1"),
     ("ms-pl", "ms-pl", r"microsoft public|ms-pl"), ("ms-rl", "ms-rl", r"microsoft reciprocal|ms-rl"), ("postgresql", "postgresql", r"postgresql"),
     ("cc0-1.0", "cc0-1.0", r"cc0(?: 1\.0)?(?: universal)?"), ("cc-by-4.0", "cc-by-4.0", r"(?:creative commons attribution|cc[ -]by)(?: international)?[ -]4\.0"),
     ("cc-by-3.0", "cc-by-3.0", r"(?:creative commons attribution|cc[ -]by)[ -]3\.0"), ("cc-by-sa-4.0", "cc-by-sa-4.0", r"(?:creative commons attribution[- ]sharealike|cc[ -]by-sa)[ -]4\.0"),
     ("cc-by-sa-3.0", "cc-by-sa-3.0", r"(?:creative commons attribution[- ]sharealike|cc[ -]by-sa)[ -]3\.0"), ("cc-by-nc-4.0", "cc-by-nc-4.0", r"(?:creative commons attribution[- ]noncommercial|cc[ -]by-nc)[ -]4\.0"),
     ("cc-by-nd-4.0", "cc-by-nd-4.0", r"(?:creative commons attribution[- ]noderivatives|cc[ -]by-nd)[ -]4\.0"), ("cc-by-nc-sa-4.0", "cc-by-nc-sa-4.0", r"cc[ -]by-nc-sa[ -]4\.0"),
-    ("ncsa", "ncsa", r"university of illinois/ncsa(?: open source)?|ncsa"), ("openssl", "openssl", r"openssl"), ("php-3.01", "php-3.01", r"php,? ?v?(?:ersion )?3\.01"),
+    ("ncsa", "ncsa", r"university of illinois/ncsa(?: open source)?|ncsa"), ("openssl", "openssl", r"openssl"), ("php-3.01", "php-3.01", r"php,? ?-?v?(?:ersion )?3\.01"),
     ("ruby", "ruby", r"ruby"), ("vim", "vim", r"vim"), ("w3c", "w3c", r"w3c(?: software)?"), ("upl-1.0", "upl-1.0", r"universal permissive"), ("afl-3.0", "afl-3.0", r"academic free"),
     ("osl-3.0", "osl-3.0", r"open software"), ("ecl-2.0", "ecl-2.0", r"educational community"), ("blueoak-1.0.0", "blueoak", r"blue oak model"), ("mulanpsl-2.0", "mulan", r"mulan psl"),
-    ("busl-1.1", "busl-1.1", r"business source(?: license)? ?1\.1|busl"), ("sspl-1.0", "sspl-1.0", r"server side public"), ("elastic-2.0", "elastic-2.0", r"elastic(?: license)? ?(?:v|version )?2(?:\.0)?"),
+    ("busl-1.1", "busl-1.1", r"business source(?: license)?,? ?-?v?(?:ersion )?1\.1|busl(?:,? ?-?v?(?:ersion )?1\.1)?"), ("sspl-1.0", "sspl-1.0", r"server side public"), ("elastic-2.0", "elastic-2.0", r"elastic(?: license)?,? ?-?v?(?:ersion )?2(?:\.0)?"),
 )
 # clauses and addresses written out: label, keyword (words or parts of words in every match), pattern, priority
 CLAUSES = (
@@ -89,7 +89,7 @@ CLAUSES = (
     ("cc-by-sa-4.0", "creativecommons", r"https?://creativecommons\.org/licenses/by-sa/4\.0", 86), ("cc-by-sa-3.0", "creativecommons", r"https?://creativecommons\.org/licenses/by-sa/3\.0", 86), ("cc-by-nc-4.0", "creativecommons", r"https?://creativecommons\.org/licenses/by-nc/4\.0", 86),
     ("cc-by-nd-4.0", "creativecommons", r"https?://creativecommons\.org/licenses/by-nd/4\.0", 86), ("cc-by-nc-sa-4.0", "creativecommons", r"https?://creativecommons\.org/licenses/by-nc-sa/4\.0", 86), ("cc", "creative commons", r"\bcreative commons licen[cs]e\b", 40),
     ("artistic", "artistic", r"\bartistic licen[cs]e\b", 40), ("proprietary", "all rights reserved", r"\ball rights reserved\b", 20), ("proprietary", "proprietary", r"\bproprietary and confidential\b", 60), ("proprietary", "unauthorized", r"unauthorized (?:copying|use|distribution) .{0,60}?(?:is )?(?:strictly )?prohibited", 60),
-    ("commercial", "commercial", r"\bcommercial licen[cs]e(?: agreement)?\b", 45), ("eula", "end user", r"\bend[- ]user licen[cs]e agreement\b", 60), ("copyright", "copyright", r"\bcopyright (?:\(c\)|\xc2\xa9)? ?[12][0-9]{3}\b", 15),
+    ("commercial", "commercial", r"\bcommercial licen[cs]e(?: agreement)?\b", 45), ("eula", "end user", r"\bend[- ]user licen[cs]e agreement\b", 60), ("copyright", "copyright", r"\bcopyright (?:(?:\(c\)|\xc2\xa9) ?)?[12][0-9]{3}\b", 15),
     ("wtfpl", "wtfpl", r"https?://(?:www\.)?wtfpl\.net", 80), ("ofl-1.1", "scripts.sil.org", r"https?://scripts\.sil\.org/ofl", 80), ("psf", "psf", r"\bpsf license agreement\b", 70), ("beerware", "beer", r"\bbeer-?ware license\b", 70), ("json", "good, not evil", r"shall be used for good, not evil", 85),
 )
 # how a license is spoken of: before and after its name, and the priority
@@ -97,12 +97,18 @@ FORMS = ((r"spdx-license-identifier:\s*{tag}(?:-only|-or-later|\+)?\b", "spdx",
          (r"\b(?:{name})(?: public)? licen[cs]e\b", "licen", 65), (r"\"?licen[cs]e\"?\s*[:=]\s*\"?(?:{name}|{tag})\b", "licen", 72))
 
 
+def spaced(pattern: str) -> str:
+    """The pattern with any white space for each space: " ?" may be none, "[ -]" is a hyphen or white space."""
+    pattern = pattern.replace("[- ]", r"(?:-|\s+)").replace("[ -]", r"(?:-|\s+)")
+    return pattern.replace(" ?", r"\s*").replace(" ", r"\s+")
+
+
 @cache
 def rules() -> tuple[tuple[tuple[bytes, ...], re.Pattern, str, int], ...]:
     """(words of the keyword, pattern, label, priority) in order of priority; words may be parted by any white space."""
     found = [(k, p, label, n) for label, k, p, n in CLAUSES]
     found += [(k, form.format(tag=re.escape(tag), name=name), label, n) for form, k, n in FORMS for tag, label, name in TAGS]
-    found = [(tuple(k.encode().split()), re.compile(p.replace(" ", r"\s+").encode(), re.S), label, n) for k, p, label, n in found]
+    found = [(tuple(k.encode().split()), re.compile(spaced(p).encode(), re.S), label, n) for k, p, label, n in found]
     return tuple(sorted(found, key=lambda r: -r[3]))
 
 
