@@ -91,6 +91,27 @@ CLAUSES = (
     ("artistic", "artistic", r"\bartistic licen[cs]e\b", 40), ("proprietary", "all rights reserved", r"\ball rights reserved\b", 20), ("proprietary", "proprietary", r"\bproprietary and confidential\b", 60), ("proprietary", "unauthorized", r"unauthorized (?:copying|use|distribution) .{0,60}?(?:is )?(?:strictly )?prohibited", 60),
     ("commercial", "commercial", r"\bcommercial licen[cs]e(?: agreement)?\b", 45), ("eula", "end user", r"\bend[- ]user licen[cs]e agreement\b", 60), ("copyright", "copyright", r"\bcopyright (?:(?:\(c\)|\xc2\xa9) ?)?[12][0-9]{3}\b", 15),
     ("wtfpl", "wtfpl", r"https?://(?:www\.)?wtfpl\.net", 80), ("ofl-1.1", "scripts.sil.org", r"https?://scripts\.sil\.org/ofl", 80), ("psf", "psf", r"\bpsf license agreement\b", 70), ("beerware", "beer", r"\bbeer-?ware license\b", 70), ("json", "good, not evil", r"shall be used for good, not evil", 85),
+    # bodies and notices of licenses, without their address
+    ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public licen[cs]e, v\. ?2\.0", 90),
+    ("mpl-2.0", "covered software", r"covered software is provided under this license on an (?:\"|')as is(?:\"|') basis, without warranty of any kind", 82),
+    ("mpl-1.1", "contents subject mozilla", r"the contents of this file are subject to the mozilla public licen[cs]e version 1\.1", 90),
+    ("epl", "accompanying eclipse", r"the accompanying program is provided under the terms of this eclipse public licen[cs]e", 82),
+    ("epl-2.0", "accompanying materials eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e (?:v|version )?2\.0", 88),
+    ("epl-1.0", "accompanying materials eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e (?:v|version )?1\.0", 88),
+    ("cddl", "contents subject development", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e", 82),
+    ("artistic-1.0", "intent document", r"the intent of this document is to state the conditions under which a package may be copied", 82),
+    ("artistic-2.0", "establishes package", r"this license establishes the terms under which a given free software package may be copied, modified, distributed, and/or redistributed", 82),
+    ("cc", "defined creative commons", r"the work \(as defined below\) is provided under the terms of this creative commons public licen[cs]e", 82),
+    ("cc-by-4.0", "exercising licensed rights", r"by exercising the licensed rights \(defined below\), you accept and agree to be bound by the terms and conditions of this creative commons attribution 4\.0 international public licen[cs]e", 90),
+    ("cc-by-sa-4.0", "exercising licensed rights", r"by exercising the licensed rights \(defined below\), you accept and agree to be bound by the terms and conditions of this creative commons attribution-sharealike 4\.0 international public licen[cs]e", 90),
+    ("cc-by-nc-4.0", "exercising licensed rights", r"by exercising the licensed rights \(defined below\), you accept and agree to be bound by the terms and conditions of this creative commons attribution-noncommercial 4\.0 international public licen[cs]e", 90),
+    ("cc0-1.0", "affirmer waives", r"affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives, abandons, and surrenders all of affirmer's copyright", 88),
+    ("lgpl", "incorporates terms conditions", r"this version of the gnu lesser general public licen[cs]e incorporates the terms and conditions of version 3 of the gnu general public licen[cs]e", 82),
+    ("isc", "disclaims", r"the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", 70),
+    ("bsd", "contributors express", r"this software is provided by the (?:copyright holders and contributors|regents and contributors) (?:\"|')as is(?:\"|') and any express or implied warranties", 55),
+    ("bsl-1.0", "machine-executable", r"unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor", 85),
+    ("ofl-1.1", "reserved font name", r"no modified version of the font software may use the reserved font name", 85),
+    ("wtfpl", "fuck", r"you just do what the fuck you want to", 85),
 )
 # how a license is spoken of: before and after its name, and the priority
 FORMS = ((r"spdx-license-identifier:\s*{tag}(?:-only|-or-later|\+)?\b", "spdx", 100), (r"licen[cs]ed under (?:the )?(?:terms of )?(?:the )?(?:{name})(?: licen[cs]e)?\b", "licen under", 78),

@@ -226,6 +226,31 @@ def test_license_forms_that_need_no_space():
     assert "mit" in labels("mit  license") and "mit" not in labels("mit+licensed")
 
 
+BODIES = {
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed",
+    "mpl-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the", "epl": "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC\nLICENSE",
+    "epl-2.0": "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License v2.0", "epl-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",
+    "cddl": "The contents of this file are subject to the terms of the\n  Common Development and Distribution License", "artistic-1.0": "The intent of this document is to state the conditions under which a\nPackage may be copied",
+    "artistic-2.0": "This license establishes the terms under which a given free software\nPackage may be copied, modified, distributed, and/or\nredistributed.",
+    "cc": "THE WORK (AS DEFINED BELOW) IS PROVIDED UNDER THE TERMS OF THIS CREATIVE COMMONS PUBLIC LICENSE", "ofl-1.1": "No Modified Version of the Font Software may use the Reserved Font\nName(s)",
+    "cc-by-4.0": "By exercising the Licensed Rights (defined below), You accept and agree\nto be bound by the terms and conditions of this Creative Commons\nAttribution 4.0 International Public License",
+    "cc-by-sa-4.0": "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License",
+    "cc-by-nc-4.0": "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-NonCommercial 4.0 International Public License",
+    "cc0-1.0": "Affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives, abandons, and surrenders all of Affirmer's Copyright",
+    "lgpl": "This version of the GNU Lesser General Public License incorporates\nthe terms and conditions of version 3 of the GNU General Public\nLicense",
+    "isc": "THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS", "wtfpl": "0. You just DO WHAT THE FUCK YOU WANT TO.",
+    "bsd": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES",
+    "bsl-1.0": "unless such copies or derivative works are solely in the form of\nmachine-executable object code generated by a source language processor.",
+}
+
+
+@pytest.mark.parametrize("label", sorted(BODIES))
+def test_license_bodies_have_clauses_of_their_own(label):
+    low = BODIES[label].lower().encode()
+    found = licenses.detections(low)
+    assert label in {x[2] for x in found} and found == ungated(low)
+
+
 def test_license_rules_take_no_square_time_on_white_space():
     start = time.perf_counter()
     for head in ("copyright", "licensed under apache", "license: gpl", "licensed under the eupl v", "licensed under the boost software license", "bsd"):
