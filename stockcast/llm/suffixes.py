@@ -1,16 +1,18 @@
-"""Removal of repeated byte strings by blockwise suffix sorting with a difference cover.
+"""Removal of repeated byte strings: equal hashes of windows, sought bucket by bucket after a prefilter by a difference cover.
 
 A byte goes if it lies in a string of ``window`` bytes that also starts in a
-document with a smaller identifier. Suffixes are compared by their first
-``window`` bytes only, and never all at once:
+document with a smaller identifier. Only the equality of ``window`` bytes matters,
+so windows are sorted by 64-bit or wider hashes of them, not by content: there is
+no suffix order, no ranks that break ties, and equal hashes are taken for equal
+bytes without comparing these. Never all at once:
 
 1. Cover sample. A difference cover D modulo v gives every pair of positions an
    offset below v that takes both into the sample (positions whose residue is in
    D). Equal strings of ``window`` bytes therefore share a sampled string of
-   ``window - v + 1`` bytes. Its rank is precomputed: unique or shared. A suffix
-   whose sampled strings are all unique has no equal and is dropped.
+   ``window - v + 1`` bytes. It is found out first whether that is unique or
+   shared, one bit. A suffix whose sampled strings are all unique has no equal and is dropped.
 2. Blocks. The suffixes left are dealt into buckets by a hash of their string, and
-   one bucket is sorted at a time; equal neighbours are ordered by document.
+   one bucket's hashes are sorted at a time; equal ones are ordered by document.
 
 Documents whose whole text also belongs to a smaller identifier lose it all and
 take no part; they are found by their SHA-256.
