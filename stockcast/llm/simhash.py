@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stockcast.llm.common import carried, cut, drop, fair_share
+from stockcast.llm.common import carried, cut, drop, fair_share, whole
 
 SEED = 42
 BUCKET = 64
@@ -148,9 +148,9 @@ def roots(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def components(marked: DataFrame, bits: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """(fp, component_id) for the distinct fingerprints of ``marked`` (id, fp)."""
-    groups, _ = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
+def components(marked: DataFrame, bits: int = 2, bucket: int = BUCKET, by: str = "id") -> DataFrame:
+    """(fp, component_id) for the distinct fingerprints of ``marked`` (id, fp); component_id is the least ``by`` of the component."""
+    groups, _ = cut(marked.groupBy("fp").agg(F.min(by).alias("least")))
     found = roots(links(groups.select("fp"), bits, bucket))
     labelled = groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     labelled, _ = cut(labelled)
@@ -164,17 +164,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str
 
 
 def drop_near_copies(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the document with the smallest identifier of each component, with all their columns.
-
-    Only the identifiers of dropped documents are joined to the texts, so the
-    texts are not shuffled when that table is small enough to be broadcast.
-    Rows without identifier stay.
+    """One text of each component, that of the smallest identifier, with all columns.
+
+    Of several texts with that identifier, and where no row of a component has an
+    identifier, the one with the smallest hash stays. Exact copies of the text that
+    stays are kept if they have its identifier or none: they are another operator's
+    work. Only the identifiers and text hashes of dropped rows are joined to the
+    texts, so the texts are not shuffled when that table is small enough to be
+    broadcast.
     """
-    marked, _ = cut(fingerprints(docs, words, id_col, text_col))
+    found = F.arrow_udf(fingerprint_arrow(words), "long")
+    marked, _ = cut(docs.select(
+        F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(whole(text_col)).alias("hash")).alias("key"),
+        found(F.col(text_col)).alias("fp"),
+    ))
+    stays = (F.col("key.hash") == F.col("component_id.hash")) & (F.col("key.unnamed") | F.col("key.id").eqNullSafe(F.col("component_id.id")))
     gone, _ = cut(
-        marked.join(components(marked, bits), "fp").filter("id <> component_id")
-        .select(F.col("id").alias("gone_id")).distinct()
-    )
-    return (
-        docs.select(carried(docs).alias("row")).join(gone, F.col(f"row.`{id_col}`") == F.col("gone_id"), "left_anti").select("row.*")
+        marked.join(components(marked, bits, by="key"), "fp").filter(~stays)
+        .select(F.col("key.id").alias("gone_id"), F.col("key.hash").alias("gone_hash")).distinct()
     )
+    own = F.col(f"row.`{id_col}`").eqNullSafe(F.col("gone_id")) & (F.xxhash64(whole(f"row.`{text_col}`")) == F.col("gone_hash"))
+    return docs.select(carried(docs).alias("row")).join(gone, own, "left_anti").select("row.*")

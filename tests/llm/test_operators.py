@@ -499,6 +499,19 @@ def test_repeated_rows_get_equal_results(spark):
     assert credentials.scan(many).count() == 7
 
 
+def test_near_copies_of_rows_that_share_or_lack_identifiers(spark):
+    """Texts in upper and lower case have one fingerprint, so they are near copies."""
+    one, two, three, four = ("alpha beta gamma delta", "some other words altogether here", "third text of its own kind", "nobody named this text at all")
+    docs = spark.createDataFrame([
+        (1, one), (5, one.upper()), (5, two),  # the other text of 5 has no near copy
+        (7, three), (7, three.upper()), (8, three.title()),  # near copies share the smallest identifier
+        (None, one.title()), (None, four), (None, four.upper()),  # near copies without identifier
+    ], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_copies(docs).collect()]
+    assert len(kept) == 4 and (1, one) in kept and (5, two) in kept
+    assert [i for i, t in kept if t.lower() == three] == [7] and [i for i, t in kept if t.lower() == four] == [None]
+
+
 def test_dropping_operators_keep_all_columns(awkward):
     for found in (content_sort.drop_exact_copies(awkward), simhash.drop_near_copies(awkward), mixing.mixed(awkward, repetition=2.0)):
         assert found.columns == awkward.columns
