@@ -32,8 +32,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns without the text, and the text's piece numbers as ``ids``."""
-    return pieces.encoded(docs, MODEL, keep_text=False).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "ids")], "ids")
+    """The documents' columns without the text, and the text's piece numbers as ``ids``, or ``piece_ids`` and so on if a column has that name."""
+    name, taken = "ids", {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"piece_{name}"
+    return pieces.encoded(docs, MODEL, keep_text=False).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "text"], F.col("ids").alias(name))
 
 
 STAGES = [

@@ -384,6 +384,16 @@ def test_pieces_round_trip(request, table):
     assert pieces.encoding_digests(docs, queries.MODEL).filter("not round_trip").isEmpty()
 
 
+def test_encoding_stage_keeps_a_column_that_is_named_like_its_own(spark, awkward):
+    import corpus_pipeline
+
+    found = corpus_pipeline.encoding_stage(spark, awkward, SF)
+    assert found.columns == [c for c in awkward.columns if c != "text"] + ["piece_ids"]
+    assert all(r["ids"] == "x" for r in found.select("ids").collect())
+    assert all(isinstance(r["piece_ids"], list) for r in found.select("piece_ids").collect())
+    assert corpus_pipeline.encoding_stage(spark, awkward.drop("ids"), SF).columns[-1] == "ids"
+
+
 def test_pieces_do_not_depend_on_blocks(given, monkeypatch):
     vocabulary, texts = pieces.load(queries.MODEL), [t for _, t in rows(given)][:60]
     want = pieces.Encoder(vocabulary).encode_all(texts)
