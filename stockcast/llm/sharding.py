@@ -9,7 +9,8 @@ Cutting the positions evenly gives shards whose row counts differ by one at most
 Ranks and positions are counted per bucket (a bucket's offset, plus the place
 inside it), so no window ever spans a source or the table: buckets of the hash,
 then buckets of the fractional rank, both of which are even by construction,
-whatever a source's share. A bucket holds about the root of the number of rows, and
+whatever a source's share. Rows of an identifier (or of none) that would fill a
+bucket alone are hashed with their content and a running number. A bucket holds about the root of the number of rows, and
 so does the table of offsets. Texts are reduced to their size and CRC-32 before the
 first shuffle. The method knows no groups: equal texts may lie in different shards.
 
@@ -29,9 +30,28 @@ from stockcast.llm.common import cut, whole
 HASHED = 2**60
 
 
-def shuffle_key(seed: int, id_col: str) -> Column:
+def shuffle_key(seed: int, id_col: str, *more: str) -> Column:
     """60 bits of a seeded MD5, as a long."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (id_col, *more)]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 15), 16, 10).cast("long")
+
+
+def salted(slim: DataFrame, seed: int, limit: int) -> DataFrame:
+    """``slim`` (id, source, size, crc, k) with keys of their own for the rows of identifiers that more than ``limit`` rows share.
+
+    Such identifiers are fewer than rows / limit. Equal rows are interchangeable, so
+    they are counted and made anew with numbers, ``limit`` at a time.
+    """
+    often, _ = cut(slim.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(F.col("id").alias("often")))
+    if often.isEmpty():
+        return slim
+    held = F.col("id").eqNullSafe(F.col("often"))
+    same = slim.join(F.broadcast(often), held, "left_semi").groupBy("id", "source", "size", "crc").agg(F.count("*").alias("n"))
+    blocks = same.select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {limit})")).alias("block")).repartition("id", "source", "size", "crc", "block")
+    each = blocks.select("*", F.explode(F.expr(f"sequence(block * {limit}, least(n, (block + 1) * {limit}) - 1)")).alias("number"))
+    fresh = each.select("id", "source", "size", "crc", shuffle_key(seed, "id", "source", "crc", "size", "number").alias("k"))
+    found, _ = cut(slim.join(F.broadcast(often), held, "left_anti").unionByName(fresh))
+    return found
 
 
 def counted(df: DataFrame, keys: list[str], bucket: str) -> DataFrame:
@@ -52,7 +72,9 @@ def interleaved(docs: DataFrame, shards: int = 40, seed: int = 7, id_col: str =
     )
     slim, _ = cut(slim)
     rows = slim.count()
-    buckets = max(1, math.ceil(rows / (rows_per_bucket or max(1, math.isqrt(rows)))))
+    limit = rows_per_bucket or max(1, math.isqrt(rows))
+    buckets = max(1, math.ceil(rows / limit))
+    slim = salted(slim, seed, limit)
     slim = slim.withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
     ties = ["id", "crc", "size"]
     first = slim.withColumn("b", F.floor(F.col("k") / (HASHED // buckets)))
