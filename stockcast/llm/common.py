@@ -56,3 +56,15 @@ def fair_share(spark: SparkSession, rows: int) -> int:
     table of them has a proven bound.
     """
     return max(1, rows // (2 * partitions(spark)))
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` inner-joined with ``table``, which holds each ``key`` once and in ``copies`` how many of the ``total`` rows have it.
+
+    Keys of more rows than a fair share are broadcast (at most two per partition),
+    so that their rows stay where they are; the others are shuffled.
+    """
+    often = F.col("copies") > fair_share(rows.sparkSession, total)
+    hot = table.filter(often)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(~often), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockcast.llm import content_sort, credentials, licenses, mixing, pieces, quality, sharding, simhash, suffixes, topk
+from stockcast.llm import content_sort, credentials, licenses, minhash_forest, mixing, negatives, pieces, quality, sharding, simhash, suffixes, topk, whitening
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ENTROPY_SHARE, REPETITION = 0.97, 4.0
@@ -70,10 +70,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, net).withColumnRenamed("id", "doc_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+    long = found.select("id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("place", "whitened"))
+    return long.select(
+        F.col("id").alias("vec_id"), (F.col("place") + 1).alias("component"), "n", "deviation", "whitened",
+        F.element_at("explained", F.col("place") + 1).alias("explained"), "identity_error",
+    )
+
+
+def op12_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_temperature_mixing, op2_secret_scan, op3_simhash, op4_exact_dedup, op5_license_scan, op6_exact_topk, op7_suffix_dedup,
-        op8_sharding, op9_sentencepiece, op10_quality,
+        op8_sharding, op9_sentencepiece, op10_quality, op11_whitening, op12_minhash_forest, op13_hard_negatives,
     )
 }
 
@@ -133,5 +152,26 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM scored QUALIFY rank <= 5
 """
 
+OP13_SQL = """
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+    FROM usable a JOIN usable c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 #: the rest need hashes, patterns or loops that this SQL has not; tests hold them against plain versions
-ORACLES: dict[str, str] = {"op1_temperature_mixing": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_exact_topk": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_temperature_mixing": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_exact_topk": OP6_SQL, "op13_hard_negatives": OP13_SQL}
