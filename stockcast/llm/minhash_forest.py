@@ -12,9 +12,14 @@ out, the others are confirmed on the full sets.
 
 Equal sets are one entry, however many rows have them. An order is cut into
 ranges by the whole entry, so a region that shares a prefix may span many tasks;
-neighbours across a cut are joined by their place. Confirmation goes from the most
-similar pairs to the rest, and leaves out pairs whose ends are connected by then:
-components come out as if all pairs had been confirmed.
+neighbours across a cut are joined by their place.
+
+A first pass gives each entry's best pair with an entry before it; the two best of
+each set are confirmed, and their links make components. Sets in further pairs go
+through a second pass, whose entries carry their component: it gives all pairs of
+different components. Those are confirmed too, so components come out as if every
+pair within a window had been, and a crowd of near copies gives no pairs that
+would not change them.
 
 A pair of similarity s shares a prefix of d minima in a tree with probability
 s ** d. At 0.8 a pair that has to be met at depth 2 is missed by all 16 trees once
@@ -105,8 +110,14 @@ def sketches(least: np.ndarray) -> np.ndarray:
     return np.packbits((least & 1).astype(np.uint8), axis=1).view(np.int64)
 
 
+SKETCH = [f"s{i}" for i in range(MINIMA // 64)]
+ENTRY = ["tree", "prefix", "label", "node", "n", *SKETCH, "root"]
+ENTRY_TYPES = "tree int, prefix long, label binary, node binary, n long, " + ", ".join(f"{s} long" for s in SKETCH) + ", root binary"
+FOUND_TYPES = f"a binary, b binary, agree int, part int, place long, {ENTRY_TYPES}"
+
+
 def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tree, prefix, label, node, n, s0..): one entry for each tree from (node, n, least)."""
+    """One entry for each tree from (node, n, least, root)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -117,13 +128,7 @@ def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # the first two minima as a long in the same order as the label
             prefix = (own.view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
             labels = pa.array([x.tobytes() for x in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), tree, np.int32)), pa.array(prefix), labels, batch.column(0), batch.column(1), *bits], ENTRY)
-
-
-SKETCH = [f"s{i}" for i in range(MINIMA // 64)]
-ENTRY = ["tree", "prefix", "label", "node", "n", *SKETCH]
-ENTRY_TYPES = "tree int, prefix long, label binary, node binary, n long, " + ", ".join(f"{s} long" for s in SKETCH)
-FOUND_TYPES = f"a binary, b binary, agree int, part int, place long, {ENTRY_TYPES}"
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), tree, np.int32)), pa.array(prefix), labels, batch.column(0), batch.column(1), *bits, batch.column(3)], ENTRY)
 
 
 def least_agreement(similarity: float) -> int:
@@ -132,53 +137,73 @@ def least_agreement(similarity: float) -> int:
     return int(MINIMA * p - 5 * (MINIMA * p * (1 - p)) ** 0.5)
 
 
+def best_before(left: np.ndarray, right: np.ndarray, agree: np.ndarray) -> np.ndarray:
+    """Which pairs are the best of their right end: the one that agrees most, of several the nearest."""
+    order = np.lexsort((left, agree, right))
+    last = np.append(right[order][1:] != right[order][:-1], True) if len(order) else np.zeros(0, bool)
+    best = np.zeros(len(left), bool)
+    best[order[last]] = True
+    return best
+
+
 def neighbours(percent: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Candidate pairs among a task's sorted entries; also its first and last entries with their places, and a row with ``place`` and no node for the length."""
-    lowest = least_agreement(percent / 100)
+    """Candidate pairs among a task's sorted entries.
+
+    Without roots, each entry's best pair with one before it is given, and the
+    nodes of all other pairs on rows without ``b``. With roots, all pairs of
+    different roots are given. Also a task's first and last entries with their
+    places, and a row with ``place`` and no node for its length.
+    """
+    lowest, names = least_agreement(percent / 100), ["a", "b", "agree", "part", "place", *ENTRY]
+
+    def pairs_of(a: pa.Array, b: pa.Array, agree: pa.Array, types: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([a, b, agree, *(pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), *types))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, held = TaskContext.get().partitionId(), 0, None
 
-        def edge(rows: pa.Table | pa.RecordBatch, first: int) -> pa.RecordBatch:
-            n = rows.num_rows
-            columns = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in rows.columns]
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(first, first + n)), *columns], names)
+        def placed(rows: list[pa.Array], places: np.ndarray) -> pa.RecordBatch:
+            n = len(places)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.array(np.full(n, part, np.int32)), pa.array(places), *rows], names)
 
-        names = ["a", "b", "agree", "part", "place", *ENTRY]
         for batch in batches:
             if not batch.num_rows:
                 continue
             if seen < window:
-                yield edge(batch.slice(0, window - seen), seen)
+                edge = batch.slice(0, window - seen)
+                yield placed(edge.columns, np.arange(seen, seen + edge.num_rows))
             known = held.num_rows if held is not None else 0
             rows = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if known else batch
             tree, prefix, n = (rows.column(i).to_numpy() for i in (0, 1, 4))
-            bits = np.stack([rows.column(5 + i).to_numpy() for i in range(len(SKETCH))], axis=1)
+            bits = np.stack([rows.column(5 + i).to_numpy() for i in range(len(SKETCH))], axis=1).view(np.uint64)
+            node, root = rows.column(3), rows.column(len(ENTRY) - 1)
+            rooted = root.null_count == 0
+            top = np.frombuffer(b"".join(root.to_pylist()), np.uint64).reshape(-1, 2) if rooted else None
             left, right, agree = [], [], []
             for step in range(1, window + 1):
                 i = np.flatnonzero((prefix[:-step] == prefix[step:]) & (tree[:-step] == tree[step:]))
                 i = i[i + step >= known]
+                if rooted:
+                    i = i[(top[i] != top[i + step]).any(axis=1)]
                 small, large = np.minimum(n[i], n[i + step]), np.maximum(n[i], n[i + step])
                 i = i[100 * small >= percent * large]
-                same = MINIMA - np.bitwise_count((bits[i] ^ bits[i + step]).view(np.uint64)).sum(axis=1, dtype=np.int32)
+                same = MINIMA - np.bitwise_count(bits[i] ^ bits[i + step]).sum(axis=1, dtype=np.int32)
                 keep = same >= lowest
                 left.append(i[keep])
                 right.append(i[keep] + step)
                 agree.append(same[keep])
             left, right, agree = map(np.concatenate, (left, right, agree))
-            if len(left):
-                node = rows.column(3)
-                empty = [pa.nulls(len(left), t) for t in (pa.int32(), pa.int64(), *rows.schema.types)]
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(left)), node.take(pa.array(right)), pa.array(agree.astype(np.int32)), *empty], names)
+            shown = np.ones(len(left), bool) if rooted else best_before(left, right, agree)
+            yield pairs_of(node.take(pa.array(left[shown])), node.take(pa.array(right[shown])), pa.array(agree[shown].astype(np.int32)), rows.schema.types)
+            more = node.take(pa.array(np.unique(np.concatenate([left[~shown], right[~shown]]))))
+            yield pairs_of(more, pa.nulls(len(more), pa.binary()), pa.nulls(len(more), pa.int32()), rows.schema.types)
             seen += batch.num_rows
             held = rows.slice(max(0, rows.num_rows - window))
         if seen > window:
             tail = held.slice(max(0, held.num_rows - (seen - window)))
-            yield edge(tail, seen - tail.num_rows)
+            yield placed(tail.columns, np.arange(seen - tail.num_rows, seen))
         if seen:
-            blank = [pa.nulls(1, t) for t in held.schema.types]
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([part], pa.int32()), pa.array([seen], pa.int64()), *blank], names)
+            yield placed([pa.nulls(1, t) for t in held.schema.types], np.array([seen]))
 
     return run
 
@@ -199,19 +224,20 @@ def across_cuts(found: DataFrame, percent: int, window: int) -> DataFrame:
     agree = MINIMA - sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in SKETCH), F.lit(0))
     near = (F.col("x.place") < F.col("y.place")) & (F.col("y.place") <= F.col("x.place") + window) & (F.col("x.part") != F.col("y.part"))
     alike = (F.col("x.tree") == F.col("y.tree")) & (F.col("x.prefix") == F.col("y.prefix"))
+    alike &= ~F.col("x.root").eqNullSafe(F.col("y.root")) | F.col("x.root").isNull()
     sized = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     met = x.join(y, (F.col("x.block") == F.col("y.block")) & near & alike & sized)
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), agree.cast("int").alias("agree")).filter(F.col("agree") >= least_agreement(percent / 100))
 
 
-def candidates(sets: DataFrame, percent: int, window: int) -> DataFrame:
-    """Distinct (a, b, agree) with a < b, from (node, n, least) of distinct sets."""
+def candidates(sets: DataFrame, percent: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b, agree) with a < b, and the nodes (node) that are in further pairs, from (node, n, least, root) of distinct sets."""
     order = ["tree", "prefix", "label", "node"]
-    parts = partitions(sets.sparkSession)
-    forest = sets.mapInArrow(entries, ENTRY_TYPES).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    forest = sets.mapInArrow(entries, ENTRY_TYPES).repartitionByRange(partitions(sets.sparkSession), *order).sortWithinPartitions(*order)
     found, _ = cut(forest.mapInArrow(neighbours(percent, window), FOUND_TYPES))
-    pairs = found.filter("a IS NOT NULL").select("a", "b", "agree").unionByName(across_cuts(found, percent, window))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    pairs = found.filter("b IS NOT NULL").select("a", "b", "agree").unionByName(across_cuts(found, percent, window))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return pairs, found.filter("a IS NOT NULL AND b IS NULL").select(F.col("a").alias("node")).distinct()
 
 
 def confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -231,27 +257,37 @@ def best_of_each(pairs: DataFrame, keep: int) -> DataFrame:
 
 
 def unconnected(pairs: DataFrame, tops: DataFrame) -> DataFrame:
-    """Pairs (a, b, agree, x, y) whose ends lie in different components x and y."""
+    """Pairs (a, b, x, y) whose ends lie in different components x and y."""
     for end, top in (("a", "x"), ("b", "y")):
         pairs = pairs.join(tops.select(F.col("node").alias(end), F.col("root").alias(top)), end, "left").withColumn(top, F.coalesce(top, end))
-    return pairs.filter("x <> y")
-
-
-def linked(sets: DataFrame, texts: DataFrame, percent: int, words: int, window: int) -> DataFrame:
-    """(node, root) of the nodes that are linked with another one; ``texts`` has (key, text), ``sets`` (node, n, least, key)."""
-    pairs, _ = cut(candidates(sets.select("node", "n", "least"), percent, window))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "key"), "node").select("key").distinct()
-    few = texts.join(needed, "key", "left_semi").dropDuplicates(["key"]).select("text")
-    members, _ = cut(few.mapInArrow(sets_of(words), "node binary, members array<bigint>").dropDuplicates(["node"]))
-    links, _ = cut(confirmed(best_of_each(pairs, 2), members, percent))
-    tops, _ = cut(roots(links))
-    open_pairs, _ = cut(unconnected(pairs, tops))
-    # of the pairs between two components first the one that agrees most, then all that are still open
-    between = open_pairs.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max(F.struct("agree", "a", "b")).alias("best")).select("best.a", "best.b")
-    more, _ = cut(links.unionByName(confirmed(between, members, percent)))
-    tops, _ = cut(roots(more))
-    rest = unconnected(open_pairs.select("a", "b", "agree"), tops)
-    return roots(more.unionByName(confirmed(rest, members, percent)))
+    return pairs.filter("x <> y").select("a", "b", "x", "y")
+
+
+def texts_of(pairs: DataFrame, sets: DataFrame, texts: DataFrame, total: int) -> DataFrame:
+    """(text): one text of each set that is in a pair."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "key", "copies"), "node").select("key", "copies")
+    return lookup(texts, needed, "key", total).dropDuplicates(["key"]).select("text")
+
+
+def linked(sets: DataFrame, texts: DataFrame, total: int, percent: int, words: int, window: int) -> DataFrame:
+    """(node, root) of the nodes that are linked with another one; ``texts`` has (key, text), ``sets`` (node, n, least, key, copies)."""
+    described_sets = sets.select("node", "n", "least")
+    pairs, more = candidates(described_sets.withColumn("root", F.lit(None).cast("binary")), percent, window)
+    pairs, _ = cut(pairs)
+    crowded, _ = cut(more)
+    of_pairs = pairs.select("a", "b").unionByName(crowded.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    members, _ = cut(texts_of(of_pairs, sets, texts, total).mapInArrow(sets_of(words), "node binary, members array<bigint>").dropDuplicates(["node"]))
+    tops, _ = cut(roots(confirmed(best_of_each(pairs, 2), members, percent)))
+    # what those links leave apart: the pairs known so far, and all neighbours among the nodes that have more
+    again = described_sets.join(crowded, "node", "left_semi").join(tops, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    further, _ = candidates(again.select("node", "n", "least", "root"), percent, window)
+    apart, _ = cut(unconnected(pairs.select("a", "b").unionByName(further.select("a", "b")).distinct(), tops))
+    joined = apart.join(confirmed(apart, members, percent), ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    last, _ = cut(roots(joined).select(F.col("node").alias("root"), F.col("root").alias("last")))
+    # a component's nodes first, then those that were alone until the end
+    known = tops.join(last, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+    alone = last.join(tops.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("last").alias("root"))
+    return known.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,11 +296,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, window:
     texts = docs.select(F.col(id_col).alias("id"), F.struct(F.xxhash64(text).alias("hash"), F.octet_length(text).alias("bytes")).alias("key"), text.alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     marked, _ = cut(texts.mapInArrow(described(words), f"id {kind}, key struct<hash: bigint, bytes: int>, n long, node binary, least binary"))
+    total = marked.count()
     sets, _ = cut(marked.filter("n > 0").groupBy("node", "n", "least").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.count("*").alias("copies")))
-    tops = linked(sets, texts.select("key", "text"), percent, words, window)
+    tops = linked(sets, texts.select("key", "text"), total, percent, words, window)
     nodes, _ = cut(sets.select("node", "id", "copies").join(tops, "node", "left").withColumn("root", F.coalesce("root", "node")))
     components = nodes.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("copies"))
     named = lookup(nodes.select("root", "node", F.col("copies").alias("rows")), components, "root", nodes.count()).select("node", "component_id", F.col("rows").alias("copies"))
     rows = marked.select("id", "n", "node")
-    found = lookup(rows.filter("node IS NOT NULL"), named, "node", rows.count()).select("id", "n", "component_id")
+    found = lookup(rows.filter("node IS NOT NULL"), named, "node", total).select("id", "n", "component_id")
     return found.unionByName(rows.filter("node IS NULL").select("id", "n", F.col("id").alias("component_id")))

@@ -267,14 +267,26 @@ def test_candidates_are_the_same_however_orders_are_cut(spark, templates):
     marked, _ = common.cut(templates.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text").mapInArrow(
         minhash_forest.described(2), "id long, key long, n long, node binary, least binary"))
     sets = marked.filter("n > 0").select("node", "n", "least").distinct()
-    found = []
+    found, best = [], []
     for parts in (1, 4, 90):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         try:
-            found.append({(bytes(r["a"]), bytes(r["b"]), r["agree"]) for r in minhash_forest.candidates(sets, 80, 5).collect()})
+            rooted = sets.withColumn("root", F.when(F.xxhash64("node") % 3 == 0, F.lit(bytes(16))).otherwise(F.col("node")))
+            found.append({(bytes(r["a"]), bytes(r["b"]), r["agree"]) for r in minhash_forest.candidates(rooted, 80, 5)[0].collect()})
+            pairs, more = minhash_forest.candidates(sets.withColumn("root", F.lit(None).cast("binary")), 80, 5)
+            pairs, more = {(bytes(r["a"]), bytes(r["b"])) for r in pairs.collect()}, {bytes(r["node"]) for r in more.collect()}
+            best.append(pairs)
+            assert all((a, b) in pairs or {a, b} <= more for a, b, _ in found[-1])
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert found[0] == found[1] == found[2] and len(found[0]) > 100
+    assert best[0] <= best[1] <= best[2] and len(best[0]) > 100
+
+
+def test_best_pairs_of_their_right_ends():
+    left, right, agree = (np.array(x) for x in ([0, 1, 2, 3, 3], [3, 3, 3, 4, 5], [9, 9, 5, 1, 1]))
+    assert minhash_forest.best_before(left, right, agree).tolist() == [False, True, False, True, True]
+    assert minhash_forest.best_before(*[np.empty(0, np.int64)] * 3).tolist() == []
 
 
 def test_forest_on_other_words_and_limits(spark):
