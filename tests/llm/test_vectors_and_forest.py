@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stockcast.llm import common, minhash_forest, negatives, queries, whitening
+from stockcast.llm import common, minhash_forest, negatives, queries, topk, whitening
 
 SF = "/root/testdata/sf0.01"
 VECTORS = "vec_id long, embedding array<float>, label int, id string, x int, slot int, n int, copies int"
@@ -119,6 +119,30 @@ def test_whitening_groups_larger_than_a_share_are_broadcast(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 2
 
 
+def nearest(rows, query, k=5):
+    own = [(i, scaled(v)) for i, v, _ in rows if i is not None and usable(v)]
+    out = []
+    for a, av in own:
+        if query(a):
+            scores = sorted((-max(-2**63, min(2**63 - 1, sum(x * y for x, y in zip(av, v)))), i) for i, v in own if i != a and len(v) == len(av))[:k]
+            out += [(a, rank, i, -s) for rank, (s, i) in enumerate(scores, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("spread,block_bytes", [(1.0, 16_000_000), (6e3, 16_000_000), (6e3, 400), (1e6, 16_000_000), (1e15, 400)])
+def test_topk_of_large_vectors(spark, spread, block_bytes):
+    rng, rows = np.random.default_rng(12), []
+    for dim, n in ((4, 300), (9, 40)):
+        values = rng.normal(0, 1, (n, dim))
+        values[::7] *= spread
+        rows += [(len(rows) + i, v, 1) for i, v in enumerate(values.tolist())]
+    rows[5][1][2], rows[10][1][0], rows[310][1][4] = 1e30, -1e30, 1e300
+    rows += [(700, [], 1), (710, [], 1), (701, [float("inf")] * 4, 1), (None, rows[5][1], 1), (20, rows[20][1], 1), (20, rows[20][1], 1), (720, [-1e25] * 4, 1), (721, [-1e25] * 4, 1)]
+    table = vectors(spark, rows, VECTORS.replace("float", "double")).repartition(3)
+    found = topk.search(table, F.col("vec_id") % 10 == 0, block_bytes=block_bytes)
+    assert sorted(map(tuple, found.collect())) == nearest(rows, lambda i: i % 10 == 0)
+
+
 def mined(rows, anchor, positives=5, count=10, low=30, high=90):
     own = [(i, label, scaled(v)) for i, v, label in rows if i is not None and label is not None and usable(v)]
     out = []
@@ -144,7 +168,7 @@ def test_hard_negatives_awkward(spark, block_bytes):
     assert sorted(map(tuple, found.collect())) == mined(rows, lambda i: i % 10 == 0)
 
 
-@pytest.mark.parametrize("spread", [1.0, 1e3, 1e6, 1e12, 1e30])
+@pytest.mark.parametrize("spread", [1.0, 1e6, 1e30])
 def test_hard_negatives_of_large_vectors(spark, spread):
     values = np.random.default_rng(9).normal(0.7 * spread, spread, (60, 9))
     values[::2] /= spread
