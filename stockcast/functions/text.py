@@ -15,13 +15,9 @@ SPACES = (
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 TIME_OF_DAY = r"([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?"
 ISO_DAY = rf"^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}{TIME_OF_DAY}$"
-# other accepted day forms and how their parts make an ISO day; where a form fits, the first that gives a day wins
-DAY_FORMS = (
-    (rf"^([0-9]{{4}})/([0-9]{{1,2}})/([0-9]{{1,2}}){TIME_OF_DAY}$", "$1-$2-$3"),
-    (rf"^([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}}){TIME_OF_DAY}$", "$3-$1-$2"),
-    (rf"^([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}}){TIME_OF_DAY}$", "$3-$2-$1"),
-    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3"),
-)
+YEAR_FIRST = rf"^([0-9]{{4}})/([0-9]{{1,2}})/([0-9]{{1,2}}){TIME_OF_DAY}$"
+YEAR_LAST = rf"^([0-9]{{1,2}})[/-]([0-9]{{1,2}})[/-]([0-9]{{4}}){TIME_OF_DAY}$"
+RUN_TOGETHER = r"^([0-9]{4})([0-9]{2})([0-9]{2})$"
 # day, month name, year; and month name, day, year: which group holds what
 NAMED_FORMS = (
     (r"^([0-9]{1,2})[ -]([A-Za-z]{3})[a-z]*\.?,?[ -]([0-9]{4})$", (3, 2, 1)),
@@ -75,25 +71,41 @@ def to_number(c: Column) -> Column:
     return F.nanvl(value % F.lit(float("inf")), F.lit(None).cast("double"))
 
 
-def to_day(c: Column, day_first: bool = False) -> Column:
+def to_day(c: Column, day_first: bool = False, order: Column | None = None) -> Column:
     """Text to date; a time of day is dropped, unreadable text becomes null.
 
     ``01/02/2024`` is 2 January, or 1 February with ``day_first``; the other
-    reading is tried where the first gives no day.
+    reading is tried where the first gives no day. With ``order``, true for day
+    first, only that reading counts: a file has one order
+    (``sources.upload.with_date_order``).
 
     The text is matched and cast: format parsers signal a misfit by an
-    exception per row, which costs far more than the parsing itself.
+    exception per row, which costs far more than the parsing itself. The common
+    form is told by its length and dashes, before any pattern is tried.
     """
-    text = strip(c.cast("string"))
-    options = [F.when(text.rlike(ISO_DAY), text.try_cast("date"))]
-    forms = DAY_FORMS if not day_first else (DAY_FORMS[0], DAY_FORMS[2], DAY_FORMS[1], *DAY_FORMS[3:])
-    for pattern, iso in forms:
-        options.append(F.when(text.rlike(pattern), F.regexp_replace(text, pattern, iso).try_cast("date")))
+    raw = c.cast("string")
+    plain = (F.length(raw) == 10) & (F.substring(raw, 5, 1) == "-") & (F.substring(raw, 8, 1) == "-")
+    text = strip(raw)
+
+    def made(pattern: str, iso: str) -> Column:
+        return F.regexp_replace(text, pattern, iso).try_cast("date")
+
+    month_first, day_before = made(YEAR_LAST, "$3-$1-$2"), made(YEAR_LAST, "$3-$2-$1")
+    if order is None:
+        year_last = F.coalesce(day_before, month_first) if day_first else F.coalesce(month_first, day_before)
+    else:
+        year_last = F.when(order, day_before).otherwise(month_first)
+    found = (
+        F.when(text.rlike(ISO_DAY), text.try_cast("date"))
+        .when(text.rlike(YEAR_LAST), year_last)
+        .when(text.rlike(YEAR_FIRST), made(YEAR_FIRST, "$1-$2-$3"))
+        .when(text.rlike(RUN_TOGETHER), made(RUN_TOGETHER, "$1-$2-$3"))
+    )
     for pattern, (year, month, day) in NAMED_FORMS:
         number = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(text, pattern, month)))
         iso = F.concat_ws("-", F.regexp_extract(text, pattern, year), number.cast("string"), F.regexp_extract(text, pattern, day))
-        options.append(F.when(text.rlike(pattern), iso.try_cast("date")))
-    return F.coalesce(*options)
+        found = found.when(text.rlike(pattern), iso.try_cast("date"))
+    return F.coalesce(F.when(plain, raw.try_cast("date")), found)
 
 
 def comma_items(c: Column) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockcast.functions.text import norm_category, norm_sku, norm_text, to_day, to_number
 from stockcast.schemas import SALES_COLUMNS, SKU_COLUMNS
-from stockcast.sources.upload import ROW_ORDER, UploadError
+from stockcast.session import cut
+from stockcast.sources.upload import DAY_FIRST, ROW_ORDER, UploadError
 
 OUTLIER_SPREAD = 3.0
 OUTLIER_MIN_ROWS = 4
@@ -48,27 +49,45 @@ def _not_whole(column: str) -> Column:
     return F.col(column).isNotNull() & (F.col(column) % 1 != 0)
 
 
+def _sku_types() -> dict[str, Column]:
+    return {
+        "sku_id": norm_sku(F.col("sku_id")),
+        "product_name": norm_text(F.col("product_name")),
+        "category": norm_category(F.col("category")),
+        "mrp": to_number(F.col("mrp")),
+        "cost": to_number(F.col("cost")),
+        "current_inventory": to_number(F.col("current_inventory")),
+    }
+
+
+def _sales_types(columns: Sequence[str]) -> dict[str, Column]:
+    """Dates are read in the order of their file where the rows carry it."""
+    order = F.coalesce(F.col(DAY_FIRST), F.lit(False)) if DAY_FIRST in columns else None
+    return {
+        "sku_id": norm_sku(F.col("sku_id")),
+        "date": to_day(F.col("date"), order=order),
+        "units_sold": to_number(F.col("units_sold")),
+    }
+
+
 def type_skus(raw: DataFrame) -> DataFrame:
-    return raw.withColumns(
-        {
-            "sku_id": norm_sku(F.col("sku_id")),
-            "product_name": norm_text(F.col("product_name")),
-            "category": norm_category(F.col("category")),
-            "mrp": to_number(F.col("mrp")),
-            "cost": to_number(F.col("cost")),
-            "current_inventory": to_number(F.col("current_inventory")),
-        }
-    )
+    return raw.withColumns(_sku_types())
 
 
 def type_sales(raw: DataFrame) -> DataFrame:
-    return raw.withColumns(
-        {
-            "sku_id": norm_sku(F.col("sku_id")),
-            "date": to_day(F.col("date")),
-            "units_sold": to_number(F.col("units_sold")),
-        }
-    )
+    return raw.withColumns(_sales_types(raw.columns))
+
+
+def _typed_once(raw: DataFrame, kind: str, *others: str) -> DataFrame:
+    """Typed columns and some others, each worked out once a row.
+
+    Rules, keys and values read the same cleaned columns. A projection would be
+    merged into all of them and clean the row again for each; an array of one
+    struct, taken apart again, is not.
+    """
+    types = _sku_types() if kind == "sku" else _sales_types(raw.columns)
+    cleaned = F.struct(*[value.alias(name) for name, value in types.items()], *[F.col(c) for c in others])
+    return raw.select(F.inline(F.array(cleaned)))
 
 
 def sku_rules() -> dict[str, Column]:
@@ -133,14 +152,13 @@ def _last_valid(raw: DataFrame, kind: str, keys: Sequence[str], columns: Sequenc
 
     The last row of a key is the same whether exact duplicates are dropped
     first (last copy kept) or not, so they need no step of their own here.
-    Validity is decided inside the aggregate, not by a filter below it: Spark
-    would push that filter down and run the cleaning expressions twice.
     """
     rest = [c for c in columns if c not in keys]
-    typed, rules = (type_skus(raw), sku_rules()) if kind == "sku" else (type_sales(raw), sales_rules())
-    rows = typed.select(*columns, F.when(_passes(rules), F.col(ROW_ORDER)).alias("_order"))
-    best = rows.groupBy(*keys).agg(F.max(F.when(F.col("_order").isNotNull(), F.struct("_order", *rest))).alias("best"))
-    return best.filter("best is not null").select(*keys, *[F.col(f"best.{c}").alias(c) for c in rest])
+    rows = _typed_once(raw, kind, ROW_ORDER).filter(_passes(sku_rules() if kind == "sku" else sales_rules()))
+    if len(rest) == 1:  # one number by a number: a hash aggregate
+        return rows.groupBy(*keys).agg(F.max_by(rest[0], ROW_ORDER).alias(rest[0]))
+    best = rows.groupBy(*keys).agg(F.max(F.struct(ROW_ORDER, *rest)).alias("best"))
+    return best.select(*keys, *[F.col(f"best.{c}").alias(c) for c in rest])
 
 
 def clean_skus(raw: DataFrame) -> DataFrame:
@@ -162,44 +180,42 @@ def require_valid(cleaned: DataFrame, message: str) -> DataFrame:
     return cleaned
 
 
-def _row_metrics(raw: DataFrame, kind: str, keys: Sequence[str], skus: DataFrame | None) -> DataFrame:
-    """Counts per key first, so the unknown-item test sees each key once."""
-    is_valid = F.size("failed_rules") == 0
-    per_key = checked(raw, kind).select(*keys, "copies", is_valid.alias("is_valid")).groupBy("is_valid", *keys).agg(
-        F.sum("copies").alias("received"), F.count("*").alias("distinct_rows")
-    )
-    if skus is None:
-        return per_key.withColumn("known", F.lit(True))
-    marks = skus.select("sku_id", F.lit(True).alias("known"))
-    return per_key.join(marks, "sku_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-
-
-def ingestion_metrics(
-    raw: DataFrame, kind: str, skus: DataFrame | None = None, cleaned: DataFrame | None = None
-) -> DataFrame:
+def ingestion_metrics(raw: DataFrame, kind: str, skus: DataFrame | None = None) -> DataFrame:
     """rows_received, rows_cleaned, duplicates_removed, invalid_rows_dropped, outliers_detected.
 
-    ``cleaned`` saves a second cleaning for the outliers where it is at hand.
+    The raw rows are read once: they are counted per distinct row, then per key
+    with the value of its last valid row, then per value. That last table, of
+    distinct values, is cut to the shared folder, and all metrics come from it.
     """
     keys = ["sku_id"] if kind == "sku" else ["date", "sku_id"]
-    rows = _row_metrics(raw, kind, keys, skus if kind == "sales" else None)
-    ok = F.col("is_valid")
-    total = lambda cond, value: F.coalesce(F.sum(F.when(cond, value)), F.lit(0)).cast("bigint")
-    summed = rows.agg(
-        total(F.lit(True), F.col("received")).alias("rows_received"),
-        total(ok & F.col("known"), F.lit(1)).alias("rows_cleaned"),
-        (
-            total(F.lit(True), F.col("received") - F.col("distinct_rows"))
-            + total(ok, F.col("distinct_rows") - 1)
-        ).alias("duplicates_removed"),
-        (
-            total(~ok, F.col("distinct_rows")) + total(ok & ~F.col("known"), F.lit(1))
-        ).alias("invalid_rows_dropped"),
+    data = [c for c in raw.columns if c != ROW_ORDER]
+    copies = raw.groupBy(*data).agg(F.max(ROW_ORDER).alias(ROW_ORDER), F.count("*").alias("copies"))
+    ok = _passes(sku_rules() if kind == "sku" else sales_rules())
+    value = F.col("units_sold") if kind == "sales" else F.lit(None).cast("double")
+    rows = _typed_once(copies, kind, ROW_ORDER, "copies").select(*keys, ROW_ORDER, "copies", ok.alias("ok"), value.alias("value"))
+    per_key = rows.groupBy(*keys).agg(
+        F.sum("copies").alias("received"), F.count("*").alias("rows"), F.count_if("ok").alias("good"),
+        F.max_by("value", F.when(F.col("ok"), F.col(ROW_ORDER))).alias("value"),
+    )
+    if skus is None or kind == "sku":
+        per_key = per_key.withColumn("known", F.lit(True))
+    else:
+        marks = skus.select("sku_id", F.lit(True).alias("known"))
+        per_key = per_key.join(marks, "sku_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    taken = (F.col("good") > 0) & F.col("known")
+    per_value = cut(per_key.groupBy(F.when(taken, F.col("value")).alias("v")).agg(
+        F.sum("received").alias("received"), F.sum("rows").alias("rows"), F.sum("good").alias("good"),
+        F.count_if(taken).alias("n"), F.count_if(F.col("good") > 0).alias("keys"),
+    ))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    summed = per_value.agg(
+        total(F.col("received")).alias("rows_received"),
+        total(F.col("n")).alias("rows_cleaned"),
+        total(F.col("received") - F.col("rows") + F.col("good") - F.col("keys")).alias("duplicates_removed"),
+        total(F.col("rows") - F.col("good") + F.col("keys") - F.col("n")).alias("invalid_rows_dropped"),
     )
-    if kind == "sku":
-        return summed.withColumn("outliers_detected", F.lit(0).cast("bigint"))
-    found = count_outliers(clean_sales(raw, skus) if cleaned is None else cleaned)
-    return summed.withColumn("outliers_detected", found.scalar())
+    found = _count_above(per_value.filter("v IS NOT NULL").select("v", "n")) if kind == "sales" else None
+    return summed.withColumn("outliers_detected", F.lit(0).cast("bigint") if found is None else found.scalar())
 
 
 # --- outliers --------------------------------------------------------------
@@ -269,7 +285,10 @@ def outliers(sales: DataFrame, column: str = "units_sold") -> DataFrame:
 
 def count_outliers(sales: DataFrame, column: str = "units_sold") -> DataFrame:
     """Their number alone, from the value counts: the rows are read once."""
-    counts = _histogram(sales, column)
+    return _count_above(_histogram(sales, column))
+
+
+def _count_above(counts: DataFrame) -> DataFrame:
     bound = _bound_of(counts).select("upper_bound").scalar()
     return counts.filter(F.col("v") > bound).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("outliers"))
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from stockcast.operators import clean, demand
 from stockcast.schemas import DAILY, SALES, SKUS
@@ -70,8 +71,11 @@ def ingest(
     """
     with scratch(spark):
         upload.detect_kind([c for c in raw.columns if c != upload.ROW_ORDER])
-        kind, rows = upload.accept(cut(raw))
-        error = archived(rows, kind, file_name, as_of, tables.archive) if archive else None
+        kind, staged = upload.accept(cut(raw))
+        ordered = isinstance(staged.schema[upload.ROW_ORDER].dataType, StructType)
+        rows = upload.with_date_order(staged) if ordered and kind == "sales" else staged
+        rows = upload.number_rows(rows) if ordered else rows
+        error = archived(staged, kind, file_name, as_of, tables.archive) if archive else None
         skus = tables.read_skus(spark)
         if kind == "sku":
             changes = clean.require_valid(cut(clean.clean_skus(rows)), "No valid SKU rows found after validation")
@@ -81,11 +85,14 @@ def ingest(
             refresh_categories(spark, tables, moved)
         else:
             changes = clean.require_valid(cut(clean.clean_sales(rows, skus)), "No valid Sales rows reference known SKU IDs")
-            metrics = clean.ingestion_metrics(rows, kind, skus, changes)
+            metrics = clean.ingestion_metrics(rows, kind, skus)
             store.upsert_sales(spark, tables.sales, changes, SALES, is_cut=True)
             store.upsert_months(spark, tables.daily, touched_days(changes, skus, tables.scan_sales(spark)), ["category", "date"], DAILY)
         store.append(store.touched_categories(changes, skus, as_of), tables.events)
         metrics = metrics.withColumn("archive_error", F.lit(error).cast("string"))
+        orders = upload.date_orders(staged, F.col(f"{upload.ROW_ORDER}.p")).filter("date_order IN ('ambiguous', 'mixed')") if ordered and kind == "sales" else None
+        unclear = F.lit(0).cast("bigint") if orders is None else orders.agg(F.count("*")).scalar()
+        metrics = metrics.withColumn("files_of_unclear_date_order", unclear)
         return kind, spark.createDataFrame(metrics.collect(), metrics.schema)  # one row
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from stockcast.functions.text import slug, strip, to_day, to_number
+from stockcast.functions.text import YEAR_LAST, slug, strip, to_day, to_number
 from stockcast.schemas import SALES_COLUMNS, SCHEMA_VERSION, SKU_COLUMNS
 
 ROW_ORDER = "row_order"
+DAY_FIRST = "day_first"
 
 
 class UploadError(ValueError):
@@ -58,6 +59,56 @@ def read_upload(
     return _tidy_header(ordered)
 
 
+def date_orders(rows: DataFrame, file: Column, column: str = "date") -> DataFrame:
+    """(file, date_order, day_only, month_only): which order of day and month fits all dates of a file.
+
+    ``date_order`` is ``day_first`` or ``month_first`` where a date above the
+    12th decides it, ``ambiguous`` where both fit every row, ``mixed`` where
+    neither does, and ``none`` where no date has that form.
+    """
+    text = strip(F.col(column).cast("string"))
+    first, second = (F.when(text.rlike(YEAR_LAST), F.regexp_extract(text, YEAR_LAST, i).cast("int")) for i in (1, 2))
+    seen = rows.select(file.alias("file"), first.alias("first"), second.alias("second"))
+    # one row per file and pair of numbers leaves a task, whatever the number of its rows
+    pairs = seen.groupBy("file", "first", "second").agg(F.lit(1).alias("one"))
+    is_day = (F.col("first") > 12) & (F.col("first") <= 31) & F.col("second").between(1, 12)
+    is_month = (F.col("second") > 12) & (F.col("second") <= 31) & F.col("first").between(1, 12)
+    either = F.col("first").between(1, 12) & F.col("second").between(1, 12)
+    totals = pairs.groupBy("file").agg(F.count_if(is_day).alias("d"), F.count_if(is_month).alias("m"), F.count_if(either).alias("e"))
+    order = (
+        F.when((F.col("d") > 0) & (F.col("m") > 0), "mixed").when(F.col("d") > 0, "day_first").when(F.col("m") > 0, "month_first")
+        .when(F.col("e") > 0, "ambiguous").otherwise("none")
+    )
+    return totals.select("file", order.alias("date_order"), (F.col("d") > 0).alias("day_only"), (F.col("m") > 0).alias("month_only"))
+
+
+def with_date_order(rows: DataFrame, file: Column | None = None, column: str = "date") -> DataFrame:
+    """``rows`` with ``day_first``, the order of their file; an ambiguous or mixed file counts as month first.
+
+    Dates of a mixed file that do not fit are then no dates, and their rows are
+    rejected with a reason instead of becoming other months.
+    """
+    file = F.col(f"{ROW_ORDER}.p") if file is None else file
+    orders = date_orders(rows, file, column).select(F.col("file").alias("_file"), (F.col("date_order") == "day_first").alias(DAY_FIRST))
+    return rows.withColumn("_file", file).join(orders, "_file", "left").drop("_file")
+
+
+def number_rows(rows: DataFrame) -> DataFrame:
+    """``row_order`` as one whole number, so that "keep last" needs no sorting.
+
+    Rows are counted per split of a file; the sums of the counts before a split,
+    in the order of the files, make its first number. There are as many splits
+    as reading tasks at least, so that table is small.
+    """
+    place = [F.col(f"{ROW_ORDER}.{part}").alias(part) for part in ("t", "p", "b")]
+    splits = rows.select(*place, F.col(f"{ROW_ORDER}.i").alias("i")).groupBy("t", "p", "b").agg(F.min("i").alias("low"), (F.max("i") - F.min("i") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("t", "p", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("t", "p", "b", (before - F.col("low")).alias("shift"))
+    same = " AND ".join(f"{ROW_ORDER}.{part} <=> s.{part}" for part in ("t", "p", "b"))
+    joined = rows.join(starts.alias("s"), F.expr(same), "left")
+    return joined.select(*[c for c in rows.columns if c != ROW_ORDER], (F.col(f"{ROW_ORDER}.i") + F.col("shift")).alias(ROW_ORDER))
+
+
 def require_rows(df: DataFrame) -> DataFrame:
     if df.isEmpty():
         raise UploadError("CSV contains no data rows")

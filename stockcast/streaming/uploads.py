@@ -13,7 +13,7 @@ from stockcast.plans.ingest import Tables, touched_days
 from stockcast.schemas import DAILY, SALES, SALES_COLUMNS
 from stockcast.session import cut, scratch
 from stockcast.sources import store
-from stockcast.sources.upload import DIALECT, ROW_ORDER, text_schema
+from stockcast.sources.upload import DIALECT, ROW_ORDER, number_rows, text_schema, with_date_order
 
 
 def read_stream(spark: SparkSession, folder: str, columns: Sequence[str] = SALES_COLUMNS) -> DataFrame:
@@ -41,7 +41,7 @@ def upsert_batch(spark: SparkSession, tables: Tables, festivals: DataFrame | Non
         skus = tables.read_skus(spark)
         line = F.monotonically_increasing_id()
         rows = cut(batch.select("*", F.struct("place.*", line.alias("i")).alias(ROW_ORDER)).drop("place"))
-        changes = cut(clean.clean_sales(rows.select(*SALES_COLUMNS, ROW_ORDER), skus))
+        changes = cut(clean.clean_sales(number_rows(with_date_order(rows.select(*SALES_COLUMNS, ROW_ORDER))), skus))
         if changes.isEmpty():
             return
         store.upsert_sales(spark, tables.sales, changes, SALES, is_cut=True)

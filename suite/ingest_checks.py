@@ -459,3 +459,45 @@ def _(t):
     forms.append(F.date_format(d, "yyyy-13-dd"))
     text = F.get(F.array(*forms), F.col("l_orderkey").cast("int") % 9)
     return plain(t.table("lineitem").select("l_orderkey", "l_linenumber", tx.to_day(text).alias("day")))
+
+
+# one file per supplier group: day first, month first, ISO, both orders in one file, days up to the 12th only, no such form
+register_cte(
+    "dated_files",
+    """SELECT 'file-' || l_suppkey % 6 AS file, l_orderkey, l_linenumber,
+              CASE l_suppkey % 6 WHEN 0 THEN strftime(l_shipdate, '%d/%m/%Y') WHEN 1 THEN strftime(l_shipdate, '%m/%d/%Y')
+                   WHEN 2 THEN CASE WHEN l_orderkey % 2 = 0 THEN strftime(l_shipdate, '%Y-%m-%d') ELSE strftime(l_shipdate, '%d-%m-%Y') END
+                   WHEN 3 THEN CASE WHEN l_orderkey % 2 = 0 THEN strftime(l_shipdate, '%d/%m/%Y') ELSE strftime(l_shipdate, '%m/%d/%Y') END
+                   WHEN 4 THEN CASE WHEN day(l_shipdate) <= 12 THEN strftime(l_shipdate, '%d/%m/%Y') ELSE 'n/a' END
+                   ELSE strftime(l_shipdate, '%Y/%m/%d') END AS date
+       FROM lineitem""",
+)
+
+
+@query(
+    "date_order_by_file",
+    """
+    SELECT file, l_orderkey, l_linenumber, date_order,
+           CAST(CAST(coalesce(try_strptime(date, '%Y-%m-%d'), try_strptime(date, '%Y/%m/%d'),
+                CASE WHEN date_order = 'day_first' THEN try_strptime(replace(date, '-', '/'), '%d/%m/%Y') ELSE try_strptime(replace(date, '-', '/'), '%m/%d/%Y') END) AS DATE) AS VARCHAR) AS day
+    FROM dated_files JOIN (
+        SELECT file, CASE WHEN max(a) > 12 AND max(b) > 12 THEN 'mixed' WHEN max(a) > 12 THEN 'day_first' WHEN max(b) > 12 THEN 'month_first'
+                          WHEN max(a) IS NOT NULL THEN 'ambiguous' ELSE 'none' END AS date_order
+        FROM (SELECT file, TRY_CAST(nullif(regexp_extract(date, '^(\\d\\d)[/-](\\d\\d)[/-]\\d{4}$', 1), '') AS INTEGER) AS a,
+                     TRY_CAST(nullif(regexp_extract(date, '^(\\d\\d)[/-](\\d\\d)[/-]\\d{4}$', 2), '') AS INTEGER) AS b FROM dated_files) GROUP BY file
+    ) USING (file)""",
+    ("dated_files",),
+)
+def _(t):
+    """Dates of several files, each read in the order that fits all of its rows."""
+    d = F.col("l_shipdate")
+    first, second, odd = F.date_format(d, "dd/MM/yyyy"), F.date_format(d, "MM/dd/yyyy"), F.col("l_orderkey") % 2 == 1
+    forms = [
+        first, second, F.when(odd, F.date_format(d, "dd-MM-yyyy")).otherwise(F.date_format(d, "yyyy-MM-dd")), F.when(odd, second).otherwise(first),
+        F.when(F.dayofmonth(d) <= 12, first).otherwise("n/a"), F.date_format(d, "yyyy/MM/dd"),
+    ]
+    number = (F.col("l_suppkey") % 6).cast("int")
+    rows = t.table("lineitem").select(F.concat(F.lit("file-"), number.cast("string")).alias("file"), "l_orderkey", "l_linenumber", F.get(F.array(*forms), number).alias("date"))
+    dated = upload.with_date_order(rows, F.col("file")).withColumn("day", tx.to_day(F.col("date"), order=F.col("day_first")))
+    orders = upload.date_orders(rows, F.col("file")).select("file", "date_order")
+    return plain(dated.join(orders, "file").select("file", "l_orderkey", "l_linenumber", "date_order", "day"))

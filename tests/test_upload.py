@@ -235,3 +235,59 @@ def test_touched_days(spark):
     changes = sales_rows.filter("sku_id = 'A' and units_sold = 5")
     out = uploads.touched_days(changes, items, sales_rows).collect()
     assert [(r["category"], r["units_sold"]) for r in out] == [("X", 5)]
+
+
+def test_one_date_order_per_file(put):
+    """Days 1 to 31 in one order stay in that order; a file that fits both orders, or neither, is reported."""
+    add_items(put, "A1")
+    days = [dt.date(2026, 1, 1) + dt.timedelta(days=i) for i in range(31)]
+    _, metrics = put(SALES_HEADER, *[f"{d:%d/%m/%Y},A1,{d.day}" for d in days])
+    assert metrics["rows_cleaned"] == 31 and metrics["invalid_rows_dropped"] == 0 and metrics["files_of_unclear_date_order"] == 0
+    assert sales(put) == [(str(d), "A1", d.day) for d in days]
+    _, metrics = put(SALES_HEADER, *[f"{d:%m/%d/%Y},A1,{d.day + 100}" for d in days])
+    assert sales(put) == [(str(d), "A1", d.day + 100) for d in days] and metrics["files_of_unclear_date_order"] == 0
+    _, metrics = put(SALES_HEADER, "02/03/2026,A1,1")
+    assert ("2026-02-03", "A1", 1) in sales(put) and metrics["files_of_unclear_date_order"] == 1
+    _, metrics = put(SALES_HEADER, "25/03/2026,A1,1", "03/26/2026,A1,2", "2026-03-27,A1,3")
+    assert (metrics["rows_cleaned"], metrics["invalid_rows_dropped"], metrics["files_of_unclear_date_order"]) == (2, 1, 1)
+
+
+def test_files_of_one_upload_have_their_own_orders(spark, tmp_path):
+    for name, first in (("a.csv", "05/01/2026"), ("b.csv", "01/05/2026")):
+        second = "25/01/2026" if name == "a.csv" else "01/25/2026"
+        (tmp_path / name).write_text(f"{SALES_HEADER}\n{first},A1,1\n{second},A1,2\n")
+    rows = upload.with_date_order(upload.read_upload(spark, str(tmp_path)))
+    found = clean.type_sales(rows).select("date").collect()
+    assert sorted(str(r[0]) for r in found) == ["2026-01-05", "2026-01-05", "2026-01-25", "2026-01-25"]
+
+
+def test_row_numbers_follow_files_and_lines(spark, tmp_path):
+    for name in ("b", "a", "c"):
+        (tmp_path / f"{name}.csv").write_text("k,v\n" + "".join(f"{name},{i}\n" for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 900)
+    try:
+        raw = upload.read_upload(spark, str(tmp_path), multi_line=False)
+        assert raw.rdd.getNumPartitions() > 6
+        found = upload.number_rows(raw).orderBy(upload.ROW_ORDER).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["k"], int(r["v"])) for r in found] == [(name, i) for name in "abc" for i in range(500)]
+    assert [r[upload.ROW_ORDER] for r in found] == list(range(1500))
+
+
+def test_cleaning_hashes_and_metrics_read_raw_rows_once(spark, tmp_path):
+    (tmp_path / "s.csv").write_text(SALES_HEADER + "\n" + "".join(f"2026-01-{i % 28 + 1:02d},A{i % 7},{i % 11}\n" for i in range(2000)))
+    items = spark.createDataFrame([(f"A{i}",) for i in range(5)], "sku_id string")
+    rows = upload.number_rows(upload.read_upload(spark, str(tmp_path / "s.csv")))
+    plan = clean.clean_sales(rows, items)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    raw = spark.read.schema("date string, sku_id string, units_sold string").csv(str(tmp_path / "s.csv"), header=True).withColumn("row_order", F.monotonically_increasing_id())
+    metrics = clean.ingestion_metrics(raw.mapInArrow(counted, raw.schema), "sales", items).first()
+    assert reads.value == 2000 and metrics["rows_received"] == 2000 and metrics["rows_cleaned"] == 20
