@@ -44,6 +44,14 @@ class Tables:
     def models(self) -> str:
         return f"{self.root}/model_params"
 
+    @property
+    def cache(self) -> str:
+        return f"{self.root}/forecast_cache"
+
+    @property
+    def log(self) -> str:
+        return f"{self.root}/recommendations"
+
     def read_skus(self, spark: SparkSession) -> DataFrame:
         return store.read_snapshot(spark, self.skus, SKUS)
 

@@ -37,6 +37,12 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
         raise
 
 
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table whose columns are only known once it has been written."""
+    table = read_or_empty(spark, path, "missing boolean")
+    return None if table.columns == ["missing"] else table
+
+
 def read_snapshot(spark: SparkSession, path: str, schema) -> DataFrame:
     """Newest snapshot of a dimension table; older ones are pruned away unread."""
     table = read_or_empty(spark, path, schema)
