@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,8 +12,11 @@ from stockcast.functions.numbers import py_round
 from stockcast.functions.text import params_hash, strip
 from stockcast.operators.keep import keep_last
 from stockcast.session import cut
+from stockcast.sources import shared
 
-SNAPSHOT = "snapshot"
+MANIFESTS = "_published"
+ATTEMPTS = 10
+BATCH = "batch_key"
 MONTH = "sales_month"
 
 
@@ -30,7 +34,7 @@ def upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFr
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
-        return spark.read.parquet(path)
+        return spark.read.parquet(path).drop(BATCH)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
             return spark.createDataFrame([], schema)
@@ -43,27 +47,81 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     return None if table.columns == ["missing"] else table
 
 
+class SnapshotConflict(RuntimeError):
+    """Another writer published first; the change has to be made on its snapshot."""
+
+
 def read_snapshot(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Newest snapshot of a dimension table; older ones are pruned away unread."""
-    table = read_or_empty(spark, path, schema)
-    if SNAPSHOT not in table.columns:
-        return table
-    newest = table.agg(F.max(SNAPSHOT)).scalar()
-    return table.filter(F.col(SNAPSHOT) == newest).drop(SNAPSHOT)
+    """The newest published snapshot of a dimension table; what is not published is never read."""
+    newest = published(spark, path)
+    return spark.createDataFrame([], schema) if newest is None else spark.read.parquet(f"{path}/{newest[1]}")
 
 
-def write_snapshot(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    """Append a complete new snapshot; readers see it once the job has committed."""
-    try:
-        last = spark.read.parquet(path).agg(F.max(SNAPSHOT)).first()[0]
-    except AnalysisException:
-        last = None
-    number = 0 if last is None else int(last) + 1
-    rows.withColumn(SNAPSHOT, F.lit(number)).write.mode("append").partitionBy(SNAPSHOT).parquet(path)
+def published(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """Number and folder of the newest snapshot. An empty manifest is one whose writer died; it counts as not published."""
+    for number in sorted(shared.numbered(spark, f"{path}/{MANIFESTS}"), reverse=True):
+        folder = shared.read_text(spark, _manifest(path, number))
+        if folder.endswith("\n"):
+            return number, folder.strip()
+    return None
+
+
+def _manifest(path: str, number: int) -> str:
+    return f"{path}/{MANIFESTS}/{number:012d}"
+
+
+def write_snapshot(spark: SparkSession, path: str, rows: DataFrame, based_on: int | None = None) -> int:
+    """Write a complete new snapshot, then publish it; returns its number.
+
+    The rows go to a folder of their own. The snapshot exists once its manifest
+    does, which is created only if that number is free: of two writers who build
+    on the same snapshot one gets ``SnapshotConflict``. ``based_on`` is the
+    number the rows were made from, by default the newest one.
+    """
+    taken = shared.numbered(spark, f"{path}/{MANIFESTS}")
+    if based_on is None:
+        based_on = (published(spark, path) or (-1, ""))[0]
+    folder = f"snapshot-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{folder}")
+    later = [n for n in taken if n > based_on]  # left empty by writers who died
+    number = max([based_on, *later]) + 1
+    if (published(spark, path) or (-1, ""))[0] != based_on or not shared.create(spark, _manifest(path, number), folder + "\n"):
+        shared.remove(spark, f"{path}/{folder}")
+        raise SnapshotConflict(f"a snapshot after {based_on} was published meanwhile")
+    return number
+
+
+def expire_snapshots(spark: SparkSession, path: str, keep: int = 3, older_than_seconds: int = 86_400) -> int:
+    """Remove all but the newest ``keep`` snapshots, and unpublished folders of some age; returns how many folders went.
+
+    A reader may still be on an expired snapshot, and a writer on an unpublished
+    one, so only folders older than ``older_than_seconds`` go.
+    """
+    numbers = sorted(shared.numbered(spark, f"{path}/{MANIFESTS}"))
+    folders = {n: shared.read_text(spark, _manifest(path, n)).strip() for n in numbers}
+    live = [n for n in numbers if folders[n]][-max(1, keep):]
+    kept, gone = {folders[n] for n in live}, 0
+    for name, age in shared.folders(spark, path):
+        if name.startswith("snapshot-") and name not in kept and age >= older_than_seconds:
+            shared.remove(spark, f"{path}/{name}")
+            gone += 1
+    for n in numbers:
+        if live and n < live[0]:
+            shared.remove(spark, _manifest(path, n))
+    return gone
 
 
 def upsert_skus(spark: SparkSession, path: str, changes: DataFrame, schema) -> None:
-    write_snapshot(spark, path, upsert(read_snapshot(spark, path, schema), changes, ["sku_id"]))
+    """Publish the table with the changes; if another writer was first, merge into what it published."""
+    for _ in range(ATTEMPTS):
+        newest = published(spark, path)
+        current = spark.createDataFrame([], schema) if newest is None else spark.read.parquet(f"{path}/{newest[1]}")
+        try:
+            write_snapshot(spark, path, upsert(current, changes, ["sku_id"]), -1 if newest is None else newest[0])
+            return
+        except SnapshotConflict:
+            continue
+    raise SnapshotConflict(f"{ATTEMPTS} attempts met other writers")
 
 
 def with_month(sales: DataFrame) -> DataFrame:
@@ -116,8 +174,19 @@ def stamp_items(skus: DataFrame, changes: DataFrame, uploaded_at: Column) -> Dat
     )
 
 
-def append(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add rows under the key of their batch. Adding a batch again replaces its own rows, so a replay adds nothing."""
+    key = f"once-{uuid.uuid4().hex}" if batch is None else f"batch-{batch}"
+    rows.withColumn(BATCH, F.lit(key)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+
+
+def is_done(spark: SparkSession, root: str, stream: str, batch_id: int) -> bool:
+    return shared.exists(spark, f"{root}/_ledger/{stream}/{batch_id}")
+
+
+def mark_done(spark: SparkSession, root: str, stream: str, batch_id: int) -> None:
+    """Enter a batch in the ledger once all its tables are written."""
+    shared.create(spark, f"{root}/_ledger/{stream}/{batch_id}", "done\n")
 
 
 # --- scans -----------------------------------------------------------------
@@ -150,8 +219,8 @@ def categories(skus: DataFrame) -> DataFrame:
 
 # --- model store -----------------------------------------------------------
 
-def save_models(params: DataFrame, path: str, trained_at: Column) -> None:
-    append(params.withColumn("trained_at", trained_at), path)
+def save_models(params: DataFrame, path: str, trained_at: Column, batch: str | None = None) -> None:
+    append(params.withColumn("trained_at", trained_at), path, batch)
 
 
 def latest_models(models: DataFrame, keys: Sequence[str]) -> DataFrame:

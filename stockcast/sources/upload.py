@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.utils import AnalysisException
 
 from stockcast.functions.text import YEAR_LAST, slug, strip, to_day, to_number
 from stockcast.schemas import SALES_COLUMNS, SCHEMA_VERSION, SKU_COLUMNS
+from stockcast.sources import split_csv
 
 ROW_ORDER = "row_order"
 DAY_FIRST = "day_first"
@@ -36,9 +38,12 @@ def read_upload(
     parallel. With ``latest_file_wins`` the time of a file counts before its
     name (the parts of one written dataset finish in any order, so that is not
     the default). All files of one call must share one header; Spark checks it.
-    Quoted fields may hold line breaks; without ``multi_line`` they may not, and
-    large files are split over tasks.
+    Quoted fields may hold line breaks. Spark reads a file of such rows in one
+    task; files larger than a split are read by ``read_split_upload`` instead.
+    Without ``multi_line`` there may be no such line breaks.
     """
+    if multi_line and largest_file(spark, paths) > split_bytes(spark):
+        return read_split_upload(spark, paths, latest_file_wins)
     try:
         raw = spark.read.options(header=True, enforceSchema=False, multiLine=multi_line, **DIALECT).csv(paths)
     except Exception as exc:
@@ -59,6 +64,35 @@ def read_upload(
     return _tidy_header(ordered)
 
 
+def split_bytes(spark: SparkSession) -> int:
+    """What a task reads of a file at most."""
+    return spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
+def largest_file(spark: SparkSession, paths: str | list[str]) -> int:
+    """Bytes of the largest file; the files are listed, not read."""
+    try:
+        return spark.read.format("binaryFile").load(paths).agg(F.max("length")).first()[0] or 0
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" in str(exc):
+            return 0  # told by the reader itself
+        raise
+
+
+def read_split_upload(spark: SparkSession, paths: str | list[str], latest_file_wins: bool = False) -> DataFrame:
+    """The same rows in the same order as ``read_upload``, with each file read by as many tasks as it has splits.
+
+    A quote opens a field at its start only; one inside a field that is not
+    quoted is a character like any other.
+    """
+    rows = split_csv.whole_rows(spark, paths, latest_file_wins)
+    headers = [r["text"] for r in rows.filter("is_first").select("text").distinct().limit(100).collect()]
+    if not headers:
+        raise UploadError("Uploaded file is empty")
+    fields = split_csv.parsed(split_csv.header_of(headers), DIALECT)
+    return _tidy_header(rows.filter(~F.col("is_first")).select(*fields, F.struct("t", "p", "b", "i").alias(ROW_ORDER)))
+
+
 def date_orders(rows: DataFrame, file: Column, column: str = "date") -> DataFrame:
     """(file, date_order, day_only, month_only): which order of day and month fits all dates of a file.
 

@@ -33,26 +33,34 @@ def read_stream(spark: SparkSession, folder: str, columns: Sequence[str] = SALES
     )
 
 
-def upsert_batch(spark: SparkSession, tables: Tables, festivals: DataFrame | None, batch: DataFrame) -> None:
-    """One micro-batch. Running it again gives the same tables, so a restart
-    after a failure is harmless; late corrections always win, so there is no
-    watermark."""
+STREAM = "uploads"
+
+
+def upsert_batch(spark: SparkSession, tables: Tables, festivals: DataFrame | None, batch: DataFrame, batch_id: int, stream: str = STREAM) -> None:
+    """One micro-batch, once.
+
+    A batch in the ledger is passed over. One that stopped half way is run again:
+    upserts give the same tables, and events and models replace what that batch
+    had written. Late corrections always win, so there is no watermark.
+    """
+    if store.is_done(spark, tables.root, stream, batch_id):
+        return
+    key = f"{stream}-{batch_id}"
     with scratch(spark):
         skus = tables.read_skus(spark)
         line = F.monotonically_increasing_id()
         rows = cut(batch.select("*", F.struct("place.*", line.alias("i")).alias(ROW_ORDER)).drop("place"))
         changes = cut(clean.clean_sales(number_rows(with_date_order(rows.select(*SALES_COLUMNS, ROW_ORDER))), skus))
-        if changes.isEmpty():
-            return
-        store.upsert_sales(spark, tables.sales, changes, SALES, is_cut=True)
-        store.upsert_months(spark, tables.daily, touched_days(changes, skus, tables.scan_sales(spark)), ["category", "date"], DAILY)
-        named = rows.select(F.col("file_category").alias("category")).filter("category is not null")
-        touched = cut(store.touched_categories(changes, skus, F.current_timestamp()))
-        store.append(touched, tables.events)
-        if festivals is None:
-            return
-        refresh = touched.select("category").unionByName(named).distinct()
-        store.save_models(refit(spark, tables, festivals, refresh), tables.models, F.current_timestamp())
+        if not changes.isEmpty():
+            store.upsert_sales(spark, tables.sales, changes, SALES, is_cut=True)
+            store.upsert_months(spark, tables.daily, touched_days(changes, skus, tables.scan_sales(spark)), ["category", "date"], DAILY)
+            named = rows.select(F.col("file_category").alias("category")).filter("category is not null")
+            touched = cut(store.touched_categories(changes, skus, F.current_timestamp()))
+            store.append(touched, tables.events, key)
+            if festivals is not None:
+                refresh = touched.select("category").unionByName(named).distinct()
+                store.save_models(refit(spark, tables, festivals, refresh), tables.models, F.current_timestamp(), key)
+        store.mark_done(spark, tables.root, stream, batch_id)
 
 
 def refit(spark: SparkSession, tables: Tables, festivals: DataFrame, categories: DataFrame) -> DataFrame:
@@ -61,12 +69,15 @@ def refit(spark: SparkSession, tables: Tables, festivals: DataFrame, categories:
     return model.train_models(demand.training_frame(daily, festivals))
 
 
-def start(spark: SparkSession, folder: str, tables: Tables, checkpoint: str, festivals: DataFrame | None = None, **trigger) -> StreamingQuery:
-    """Start the upload stream; the checkpoint makes each file count once."""
+def start(spark: SparkSession, folder: str, tables: Tables, checkpoint: str, festivals: DataFrame | None = None, stream: str = STREAM, **trigger) -> StreamingQuery:
+    """Start the upload stream; the checkpoint makes each file count once, the ledger each batch.
+
+    A stream with a new checkpoint numbers its batches anew and needs a name of its own.
+    """
     return (
         read_stream(spark, folder)
         .writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(lambda batch, _: upsert_batch(spark, tables, festivals, batch))
+        .foreachBatch(lambda batch, batch_id: upsert_batch(spark, tables, festivals, batch, batch_id, stream))
         .start()
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stockcast.functions import text as tx
 from stockcast.operators import clean
 from stockcast.sources import upload
-from suite.base import Domain, query, register_cte
+from suite.base import ORACLES, Domain, query, register_cte
 from suite.plain import plain
 
 HIDDEN = "chr(8203)"
@@ -501,3 +501,24 @@ def _(t):
     dated = upload.with_date_order(rows, F.col("file")).withColumn("day", tx.to_day(F.col("date"), order=F.col("day_first")))
     orders = upload.date_orders(rows, F.col("file")).select("file", "date_order")
     return plain(dated.join(orders, "file").select("file", "l_orderkey", "l_linenumber", "date_order", "day"))
+
+
+@query("csv_split_round_trip", ORACLES["csv_dialect_round_trip"])
+def _(t):
+    """The same texts in one file, which is read by one task per 256 KB although rows hold line breaks."""
+    from stockcast.session import cut, scratch_path
+
+    docs = t.table("documents")
+    rows = docs.select(F.concat(F.lit("d"), "doc_id").alias("id"), "text").unionByName(
+        t.table("conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text")
+    ).unionByName(docs.select(F.concat(F.lit("q"), "doc_id").alias("id"), F.concat(F.lit('"'), "text", F.lit('",\n "two\nlines" \\')).alias("text")))
+    path = scratch_path(t.spark, "one-file")
+    rows.coalesce(1).write.options(header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **upload.DIALECT).csv(path)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = t.spark.conf.get(key)
+    t.spark.conf.set(key, "256k")
+    try:
+        back = cut(upload.read_upload(t.spark, path))
+    finally:
+        t.spark.conf.set(key, before)
+    return back.select("id", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("digest"))

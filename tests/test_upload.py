@@ -291,3 +291,119 @@ def test_cleaning_hashes_and_metrics_read_raw_rows_once(spark, tmp_path):
     raw = spark.read.schema("date string, sku_id string, units_sold string").csv(str(tmp_path / "s.csv"), header=True).withColumn("row_order", F.monotonically_increasing_id())
     metrics = clean.ingestion_metrics(raw.mapInArrow(counted, raw.schema), "sales", items).first()
     assert reads.value == 2000 and metrics["rows_received"] == 2000 and metrics["rows_cleaned"] == 20
+
+
+QUOTED = [
+    'date,sku_id,units_sold,"the\n""note"""',
+    '2026-01-01,A1,1,plain', '2026-01-02,A1,2,"two\nlines"', '', '2026-01-03,"A,1",3,"a ""quoted"" word, and\n\n"",""\nmore"', '2026-01-04,A1,4,', '2026-01-05,A1,5,""',
+    '2026-01-06,A1,6,stray " quote', '2026-01-07,A1,7,back\\slash', '"2026-01-08","A1","8","' + "long\n" * 300 + '"', '2026-01-09,A1,9,"\n"', '2026-01-10,A1', '2026-01-11,A1,11,é▁"x"', '2026-01-12,A1,12,end',
+]
+
+
+@pytest.mark.parametrize("split", [60, 333, 5000])
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_quoted_files_are_split(spark, tmp_path, split, newline):
+    """Equal rows in equal order, from one task a file and from many."""
+    for name, copies in (("b", 8), ("a", 3)):
+        lines = [QUOTED[0], *[f"{line}" for i in range(copies) for line in QUOTED[1:]]]
+        (tmp_path / f"{name}.csv").write_bytes(codecs.BOM_UTF8 + "\n".join(lines).replace("\n", newline).encode() + (b"" if name == "a" else newline.encode()))
+    plain = upload.read_upload(spark, str(tmp_path))
+    names = [c for c in plain.columns if c != upload.ROW_ORDER]
+    want = [tuple(r)[:-1] for r in plain.orderBy(upload.ROW_ORDER).collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        cut = upload.read_upload(spark, str(tmp_path))
+        assert cut.columns == plain.columns
+        got = [tuple(r) for r in upload.number_rows(cut).orderBy(upload.ROW_ORDER).select(*names).collect()]
+        tasks = upload.split_csv.lines_of(spark, str(tmp_path), False).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(want) == 11 * 12 and got == want
+    assert tasks > (2 if split == 5000 else 20)
+
+
+def test_splits_inside_one_quoted_field(spark, tmp_path):
+    text = "x\n" * 2000
+    (tmp_path / "one.csv").write_text(f'k,v\n1,"{text}"\n2,b\n3,"open')
+    rows = upload.read_split_upload(spark, str(tmp_path / "one.csv"))
+    assert [(r["k"], r["v"]) for r in rows.orderBy(upload.ROW_ORDER).collect()] == [("1", text), ("2", "b"), ("3", "open")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 256)
+    try:
+        cut = upload.read_split_upload(spark, str(tmp_path / "one.csv")).orderBy(upload.ROW_ORDER).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["k"], r["v"]) for r in cut] == [("1", text), ("2", "b"), ("3", "open")]
+    (tmp_path / "other.csv").write_text("k,w\n1,2\n")
+    with pytest.raises(ValueError, match="same header"):
+        upload.read_split_upload(spark, str(tmp_path))
+
+
+def items_of(spark, *rows):
+    return spark.createDataFrame([(i, n, "C", 2.0, 1.0, 5) for i, n in rows], SKUS)
+
+
+def names(spark, path):
+    return {r["sku_id"]: r["product_name"] for r in store.read_snapshot(spark, path, SKUS).collect()}
+
+
+def test_unpublished_snapshots_are_not_read(spark, tmp_path):
+    path = str(tmp_path / "items")
+    assert names(spark, path) == {}
+    store.write_snapshot(spark, path, items_of(spark, ("A", "one")))
+    # a writer that dies after its rows, and one that dies between creating and writing its manifest
+    items_of(spark, ("A", "lost")).write.parquet(f"{path}/snapshot-lost")
+    assert names(spark, path) == {"A": "one"}
+    store.shared.create(spark, store._manifest(path, 1), "")
+    assert names(spark, path) == {"A": "one"}
+    store.upsert_skus(spark, path, items_of(spark, ("B", "two")), SKUS)
+    assert names(spark, path) == {"A": "one", "B": "two"} and store.published(spark, path)[0] == 2
+    assert store.expire_snapshots(spark, path, keep=1, older_than_seconds=3600) == 0
+    assert store.expire_snapshots(spark, path, keep=1, older_than_seconds=0) == 2
+    assert names(spark, path) == {"A": "one", "B": "two"}
+    assert len(store.shared.numbered(spark, f"{path}/_published")) == 1
+
+
+def test_two_writers_of_snapshots(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "items")
+    store.write_snapshot(spark, path, items_of(spark, ("A", "one")))
+    with pytest.raises(store.SnapshotConflict):
+        store.write_snapshot(spark, path, items_of(spark, ("A", "late")), based_on=-1)
+    # another writer publishes between this one's read and its manifest: the change is merged into that snapshot
+    create, calls = store.shared.create, []
+
+    def overtaken(session, name, text):
+        if not calls:
+            calls.append(name)
+            monkeypatch.setattr(store.shared, "create", create)
+            store.upsert_skus(session, path, items_of(session, ("B", "other")), SKUS)
+        return create(session, name, text)
+
+    monkeypatch.setattr(store.shared, "create", overtaken)
+    store.upsert_skus(spark, path, items_of(spark, ("C", "mine")), SKUS)
+    assert names(spark, path) == {"A": "one", "B": "other", "C": "mine"}
+    assert sum(x.is_dir() and x.name.startswith("snapshot-") for x in (tmp_path / "items").iterdir()) == 3
+
+
+def test_a_batch_counts_once(spark, tmp_path, festivals, monkeypatch):
+    tables = Tables(str(tmp_path / "tables"))
+    store.write_snapshot(spark, tables.skus, spark.createDataFrame([("A", "x", "Snacks", 2.0, 1.0, 5)], SKUS))
+    days = [dt.date(2026, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    rows = spark.createDataFrame([(str(d), "A", str(10 + i % 7)) for i, d in enumerate(days)], "date string, sku_id string, units_sold string")
+    batch = rows.select("*", F.lit(None).cast("string").alias("file_category"), F.struct(F.lit(None).cast("timestamp").alias("t"), F.lit("f").alias("p"), F.lit(0).cast("long").alias("b")).alias("place"))
+
+    def state():
+        read = [spark.read.parquet(getattr(tables, t)) for t in ("events", "models", "daily", "sales")]
+        return [sorted(map(str, df.collect())) for df in read]
+
+    # the first run stops before the ledger is written; the next one replaces its events and models
+    with monkeypatch.context() as stop:
+        stop.setattr(store, "mark_done", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            uploads.upsert_batch(spark, tables, festivals, batch, 0)
+    uploads.upsert_batch(spark, tables, festivals, batch, 0)
+    once = state()
+    assert [len(x) for x in once] == [1, 1, 40, 40]
+    uploads.upsert_batch(spark, tables, festivals, batch, 0)
+    assert state() == once
+    uploads.upsert_batch(spark, tables, festivals, batch, 1)
+    assert [len(x) for x in state()] == [2, 2, 40, 40]
