@@ -16,8 +16,8 @@ neighbours across a cut are joined by their place.
 
 A first pass gives each entry's best pair with an entry before it; the two best of
 each set are confirmed, and their links make components. Sets in further pairs go
-through a second pass, whose entries carry their component: it gives all pairs of
-different components. Those are confirmed too, so components come out as if every
+through a second pass with wider windows, whose entries carry their component: it
+gives all pairs of different components. Those are confirmed too, so components come out as if every
 pair within a window had been, and a crowd of near copies gives no pairs that
 would not change them.
 
@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from stockcast.llm.common import cut, lookup, partitions
 from stockcast.llm.simhash import roots
 
-TREES, DEPTH, WINDOW = 16, 12, 16
+TREES, DEPTH, WINDOW, WIDER = 16, 12, 16, 8
 MINIMA = TREES * DEPTH
 PIECE = 2048
 _draw = np.random.default_rng(20)
@@ -280,7 +280,7 @@ def linked(sets: DataFrame, texts: DataFrame, total: int, percent: int, words: i
     tops, _ = cut(roots(confirmed(best_of_each(pairs, 2), members, percent)))
     # what those links leave apart: the pairs known so far, and all neighbours among the nodes that have more
     again = described_sets.join(crowded, "node", "left_semi").join(tops, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    further, _ = candidates(again.select("node", "n", "least", "root"), percent, window)
+    further, _ = candidates(again.select("node", "n", "least", "root"), percent, WIDER * window)
     apart, _ = cut(unconnected(pairs.select("a", "b").unionByName(further.select("a", "b")).distinct(), tops))
     joined = apart.join(confirmed(apart, members, percent), ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
     last, _ = cut(roots(joined).select(F.col("node").alias("root"), F.col("root").alias("last")))
