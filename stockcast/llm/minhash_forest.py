@@ -16,8 +16,9 @@ neighbours across a cut are joined by their place.
 
 A first pass gives each entry's best pair with an entry before it; the two best of
 each set are confirmed, and their links make components. Sets in further pairs go
-through a second pass with wider windows, whose entries carry their component: it
-gives all pairs of different components. Those are confirmed too, so components come out as if every
+through a second pass, whose entries carry their component: it gives all pairs of
+different components. A third one takes wider windows for sets that are still
+alone in a crowd. Those are confirmed too, so components come out as if every
 pair within a window had been, and a crowd of near copies gives no pairs that
 would not change them.
 
@@ -146,12 +147,13 @@ def best_before(left: np.ndarray, right: np.ndarray, agree: np.ndarray) -> np.nd
     return best
 
 
-def neighbours(percent: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def neighbours(percent: int, window: int, alone: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Candidate pairs among a task's sorted entries.
 
     Without roots, each entry's best pair with one before it is given, and the
     nodes of all other pairs on rows without ``b``. With roots, all pairs of
-    different roots are given. Also a task's first and last entries with their
+    different roots are given, with ``alone`` only those of which an end is its own
+    root. Also a task's first and last entries with their
     places, and a row with ``place`` and no node for its length.
     """
     lowest, names = least_agreement(percent / 100), ["a", "b", "agree", "part", "place", *ENTRY]
@@ -179,12 +181,15 @@ def neighbours(percent: int, window: int) -> Callable[[Iterator[pa.RecordBatch]]
             node, root = rows.column(3), rows.column(len(ENTRY) - 1)
             rooted = root.null_count == 0
             top = np.frombuffer(b"".join(root.to_pylist()), np.uint64).reshape(-1, 2) if rooted else None
+            own = (np.frombuffer(b"".join(node.to_pylist()), np.uint64).reshape(-1, 2) == top).all(axis=1) if alone else None
             left, right, agree = [], [], []
             for step in range(1, window + 1):
                 i = np.flatnonzero((prefix[:-step] == prefix[step:]) & (tree[:-step] == tree[step:]))
                 i = i[i + step >= known]
                 if rooted:
                     i = i[(top[i] != top[i + step]).any(axis=1)]
+                if alone:
+                    i = i[own[i] | own[i + step]]
                 small, large = np.minimum(n[i], n[i + step]), np.maximum(n[i], n[i + step])
                 i = i[100 * small >= percent * large]
                 same = MINIMA - np.bitwise_count(bits[i] ^ bits[i + step]).sum(axis=1, dtype=np.int32)
@@ -208,7 +213,7 @@ def neighbours(percent: int, window: int) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def across_cuts(found: DataFrame, percent: int, window: int) -> DataFrame:
+def across_cuts(found: DataFrame, percent: int, window: int, alone: bool) -> DataFrame:
     """Candidate pairs of entries that lie in different tasks of the sorted order."""
     spark = found.sparkSession
     lengths = dict(found.filter("part IS NOT NULL AND node IS NULL").select("part", "place").collect())  # one number per task
@@ -225,17 +230,19 @@ def across_cuts(found: DataFrame, percent: int, window: int) -> DataFrame:
     near = (F.col("x.place") < F.col("y.place")) & (F.col("y.place") <= F.col("x.place") + window) & (F.col("x.part") != F.col("y.part"))
     alike = (F.col("x.tree") == F.col("y.tree")) & (F.col("x.prefix") == F.col("y.prefix"))
     alike &= ~F.col("x.root").eqNullSafe(F.col("y.root")) | F.col("x.root").isNull()
+    if alone:
+        alike &= (F.col("x.root") == F.col("x.node")) | (F.col("y.root") == F.col("y.node"))
     sized = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     met = x.join(y, (F.col("x.block") == F.col("y.block")) & near & alike & sized)
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), agree.cast("int").alias("agree")).filter(F.col("agree") >= least_agreement(percent / 100))
 
 
-def candidates(sets: DataFrame, percent: int, window: int) -> tuple[DataFrame, DataFrame]:
+def candidates(sets: DataFrame, percent: int, window: int, alone: bool = False) -> tuple[DataFrame, DataFrame]:
     """Distinct (a, b, agree) with a < b, and the nodes (node) that are in further pairs, from (node, n, least, root) of distinct sets."""
     order = ["tree", "prefix", "label", "node"]
     forest = sets.mapInArrow(entries, ENTRY_TYPES).repartitionByRange(partitions(sets.sparkSession), *order).sortWithinPartitions(*order)
-    found, _ = cut(forest.mapInArrow(neighbours(percent, window), FOUND_TYPES))
-    pairs = found.filter("b IS NOT NULL").select("a", "b", "agree").unionByName(across_cuts(found, percent, window))
+    found, _ = cut(forest.mapInArrow(neighbours(percent, window, alone), FOUND_TYPES))
+    pairs = found.filter("b IS NOT NULL").select("a", "b", "agree").unionByName(across_cuts(found, percent, window, alone))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree").groupBy("a", "b").agg(F.max("agree").alias("agree"))
     return pairs, found.filter("a IS NOT NULL AND b IS NULL").select(F.col("a").alias("node")).distinct()
 
@@ -279,15 +286,27 @@ def linked(sets: DataFrame, texts: DataFrame, total: int, percent: int, words: i
     members, _ = cut(texts_of(of_pairs, sets, texts, total).mapInArrow(sets_of(words), "node binary, members array<bigint>").dropDuplicates(["node"]))
     tops, _ = cut(roots(confirmed(best_of_each(pairs, 2), members, percent)))
     # what those links leave apart: the pairs known so far, and all neighbours among the nodes that have more
-    again = described_sets.join(crowded, "node", "left_semi").join(tops, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    further, _ = candidates(again.select("node", "n", "least", "root"), percent, WIDER * window)
-    apart, _ = cut(unconnected(pairs.select("a", "b").unionByName(further.select("a", "b")).distinct(), tops))
+    crowd = described_sets.join(crowded, "node", "left_semi")
+    further, _ = candidates(with_roots(crowd, tops), percent, window)
+    tops = merged(tops, unconnected(pairs.select("a", "b").unionByName(further.select("a", "b")).distinct(), tops), members, percent)
+    # and for those of them that are still alone, wider windows
+    wider, _ = candidates(with_roots(crowd, tops), percent, WIDER * window, alone=True)
+    return merged(tops, unconnected(wider.select("a", "b"), tops), members, percent)
+
+
+def with_roots(sets: DataFrame, tops: DataFrame) -> DataFrame:
+    return sets.join(tops, "node", "left").select("node", "n", "least", F.coalesce("root", "node").alias("root"))
+
+
+def merged(tops: DataFrame, apart: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(node, root) after the confirmed ones of the pairs (a, b, x, y) have joined their components x and y."""
+    apart, _ = cut(apart)
     joined = apart.join(confirmed(apart, members, percent), ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
     last, _ = cut(roots(joined).select(F.col("node").alias("root"), F.col("root").alias("last")))
-    # a component's nodes first, then those that were alone until the end
+    # a component's nodes first, then those that were alone until now
     known = tops.join(last, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
     alone = last.join(tops.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("last").alias("root"))
-    return known.unionByName(alone)
+    return cut(known.unionByName(alone))[0]
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
