@@ -6,15 +6,19 @@ the largest, mean and smallest pooled value of each filter over its chunks, whic
 a logistic layer combines into one probability.
 
 The network is fitted on the driver on a bounded sample of labelled rows: at most
-``ROWS`` per class, of texts up to ``TRAIN_BYTES`` bytes, chosen by a hash. A
-label is used only if crc32(doc_id as text) mod 5 is not 0; the bias is then set
-to the classes' true ratio. Scoring takes every text whole, in slices of chunks,
-in one Arrow pass without a shuffle.
+``rows`` per class (by default ``ROWS``), chosen by a hash, whatever the length of
+their texts. A text of more than ``fit_chunks`` chunks (``FIT_CHUNKS``) is learned
+from that many, spread evenly from its first byte to its last. A label is used
+only if crc32(doc_id as text) mod 5 is not 0; the bias is then set to the classes'
+true ratio. Scoring takes every text whole, in slices of chunks, in one Arrow pass
+without a shuffle.
 
 Defined cases: null and empty texts are one chunk of padding and get that score;
-unlabelled rows, labels without document and null labels are not learned from; no
-label of some class gives the constant score of the other (0.5 without any);
-repeated rows get equal scores; an empty table gives an empty result.
+unlabelled rows, labels without document, null labels and documents with labels
+of both classes are not learned from; no label of some class gives the constant
+score of the other (0.5 without any); repeated rows get equal scores, very long
+texts one score from all their chunks; an empty table gives an empty result;
+other columns, whatever their names, are carried and never looked at.
 """
 
 from __future__ import annotations
@@ -24,12 +28,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stockcast.llm.common import carried, whole
 
 ROWS = 900
-TRAIN_BYTES = 20_000
+FIT_CHUNKS = 48
 CHUNK, STEP, WIDTH = 512, 448, 8
 FILTERS, DIMS = 16, 4
 EPOCHS, BATCH, RATE = 12, 32, 0.02
@@ -99,11 +103,14 @@ def score_all(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> Network:
-    """Adam on the log loss; a maximum's gradient goes to the place it came from."""
+    return fit_cut([chunks(t) for t in texts], labels, seed)
+
+
+def fit_cut(cut: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Network:
+    """Adam on the log loss of texts given as chunks; a maximum's gradient goes to the place it came from."""
     rng = np.random.default_rng(seed)
     net = Network(*(x.astype(np.float32) for x in (
         rng.normal(0, 0.5, (256, DIMS)), rng.normal(0, 0.3, (WIDTH * DIMS, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, 3 * FILTERS), np.zeros(1))))
-    cut = [chunks(t) for t in texts]
     first, second = ([np.zeros_like(x) for x in net] for _ in range(2))
     step = 0
     for epoch in range(EPOCHS):
@@ -154,29 +161,46 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = ROWS) -> Network:
-    """Fit on at most ``rows`` labelled rows per class, none of them held out. All labels count for the classes' ratio."""
-    known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1)").dropDuplicates(["i"]).filter(~held_out("i"))
+def spread(text: Column, fit_chunks: int) -> Column:
+    """Pieces of a text to learn from: the text itself, or ``fit_chunks`` of CHUNK bytes from its first to its last."""
+    room = F.length(text).cast("long") - CHUNK
+    start = lambda k: F.floor(room * k / (fit_chunks - 1)).cast("int") + 1
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(fit_chunks - 1)), lambda k: F.substr(text, start(k), F.lit(CHUNK)))
+    return F.when(room <= STEP * (fit_chunks - 1), F.array(text)).otherwise(pieces)
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    rows: int = ROWS, fit_chunks: int = FIT_CHUNKS,
+) -> Network:
+    """Fit on at most ``rows`` labelled rows per class, none of them held out, and ``fit_chunks`` (2 at least) chunks of each.
+
+    So the driver holds at most ``2 * rows * fit_chunks * CHUNK`` bytes of text.
+    All labels count for the classes' ratio; documents with labels of both
+    classes count for none.
+    """
+    marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1)").filter(~held_out("i"))
+    known = marks.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").select("i", "y")
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     none = Network(*(np.zeros(s, np.float32) for s in ((256, DIMS), (WIDTH * DIMS, FILTERS), FILTERS, 3 * FILTERS, 1)))
     if len(totals) < 2:
         none.bias[0] = {0: -30.0, 1: 30.0}[next(iter(totals))] if totals else 0.0
         return none
     order = F.xxhash64("i")
-    # a few candidates more, as some have long texts or no document; at most 4 * rows identifiers
+    # a few candidates more, as some have no document; at most 4 * rows identifiers
     chosen = None
     for y in (0, 1):
         part = known.filter(F.col("y") == y).orderBy(order, "i").limit(2 * rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("i"), F.encode(whole(text_col), "UTF-8").alias("t")).filter(F.length("t") <= TRAIN_BYTES)
-    found = texts.join(F.broadcast(chosen), "i").select("i", "t", "y")
-    sample = [found.filter(F.col("y") == y).orderBy(order, "i", "t").limit(rows).toArrow() for y in (0, 1)]
+    texts = docs.select(F.col(id_col).alias("i"), F.encode(whole(text_col), "UTF-8").alias("t"))
+    found = texts.join(F.broadcast(chosen), "i").select("i", spread(F.col("t"), fit_chunks).alias("pieces"), "y")
+    sample = [found.filter(F.col("y") == y).orderBy(order, "i", "pieces").limit(rows).toArrow() for y in (0, 1)]
     if not all(t.num_rows for t in sample):
         none.bias[0] = np.log(totals[1] / totals[0])
         return none
-    raw = [x for t in sample for x in t.column("t").to_pylist()]
+    cut = [np.concatenate([chunks(piece) for piece in pieces]) for t in sample for pieces in t.column("pieces").to_pylist()]
     y = np.concatenate([np.full(t.num_rows, k, np.float32) for k, t in enumerate(sample)])
-    net = fit(raw, y)
+    net = fit_cut(cut, y)
     net.bias[0] += np.log(totals[1] / totals[0]) - np.log(sample[1].num_rows / sample[0].num_rows)
     return net
 
