@@ -26,7 +26,6 @@ def ensure_scratch(spark: SparkSession) -> None:
 
 AS_OF = "2024-01-31 00:00:00"
 FESTIVAL_DAY = "2001-09-15"
-HORIZON = 60
 
 CTES = {
     "sales": """
@@ -75,7 +74,7 @@ CTES = {
                max(last_upload) AS last_upload
         FROM skus LEFT JOIN (SELECT category AS c, max(uploaded_at) AS last_upload FROM upload_events GROUP BY 1) u
              ON u.c = skus.category
-        WHERE category <> 'Economy' GROUP BY category""",
+        GROUP BY category""",
     "daily": """
         SELECT category, date, CAST(sum(units_sold) AS BIGINT) AS units_sold
         FROM sales JOIN skus USING (sku_id) GROUP BY 1, 2""",
@@ -85,15 +84,15 @@ CTES = {
                stddev_samp(units_sold) OVER (PARTITION BY category ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS s
         FROM daily""",
     "forecast": """
-        SELECT category, CAST(61 - age AS INTEGER) AS day_index, date,
+        SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY date) AS INTEGER) AS day_index, date,
                CAST(units_sold AS DOUBLE) AS predicted_mean,
-               greatest(0.0, units_sold - 1.96 * s) AS lower_95,
-               greatest(0.0, units_sold + 1.96 * s) AS upper_95,
+               greatest(0.0, units_sold - 1.96 * coalesce(s, 0)) AS lower_95,
+               greatest(0.0, units_sold + 1.96 * coalesce(s, 0)) AS upper_95,
                CASE WHEN category IN ('Snacks', 'Promo') THEN (day(date) % 8) / 10.0 ELSE (day(date) % 8) / 20.0 END AS festival_score
-        FROM recent WHERE age <= 60""",
+        FROM recent""",
     "scenarios": """
         SELECT category, s.scenario_id, s.discount_percent, s.elasticity_mode
-        FROM (SELECT DISTINCT category FROM skus WHERE category <> 'Economy') k,
+        FROM (SELECT DISTINCT category FROM skus) k,
              (VALUES ('mild', 5.0::DOUBLE, 'conservative'), ('mid', 20.0::DOUBLE, 'balanced'), ('deep', 70.0::DOUBLE, 'aggressive'))
              AS s(scenario_id, discount_percent, elasticity_mode)""",
 }
@@ -234,7 +233,7 @@ class Domain:
         )
         lead = F.expr("CASE category WHEN 'Snacks' THEN 5 WHEN 'Staples' THEN 7 WHEN 'Edible Oil' THEN 10 ELSE 12 END")
         pack = F.expr("CASE WHEN category IN ('Snacks', 'Large') THEN 12 ELSE 1 END")
-        base = self.skus.filter("category <> 'Economy'").groupBy("category").agg(stock.alias("current_inventory"))
+        base = self.skus.groupBy("category").agg(stock.alias("current_inventory"))
         return base.select("category", "current_inventory", lead.alias("lead_time_days"), pack.alias("supplier_pack_size")).join(
             last_uploads(self.upload_events), "category", "left"
         )
@@ -247,17 +246,17 @@ class Domain:
 
     @cached_property
     def forecast(self) -> DataFrame:
-        """Stand-in forecast: the last 60 days of each series as if predicted."""
+        """Stand-in forecast: the whole history of each series as if predicted."""
         score = F.expr(
             "CASE WHEN category IN ('Snacks', 'Promo') THEN (day(date) % 8) / 10.0D ELSE (day(date) % 8) / 20.0D END"
         )
         rows = self.daily.selectExpr(
             "category", "date", "units_sold",
-            "row_number() OVER (PARTITION BY category ORDER BY date DESC) AS age",
-            "stddev_samp(units_sold) OVER (PARTITION BY category ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS s",
-        ).filter(f"age <= {HORIZON}")
+            "CAST(row_number() OVER (PARTITION BY category ORDER BY date) AS INT) AS day_index",
+            "coalesce(stddev_samp(units_sold) OVER (PARTITION BY category ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 0D) AS s",
+        )
         return rows.select(
-            "category", (61 - F.col("age")).cast("int").alias("day_index"), "date",
+            "category", "day_index", "date",
             F.col("units_sold").cast("double").alias("predicted_mean"),
             F.expr("greatest(0D, units_sold - 1.96D * s)").alias("lower_95"),
             F.expr("greatest(0D, units_sold + 1.96D * s)").alias("upper_95"),
@@ -272,7 +271,7 @@ class Domain:
                 named_struct('scenario_id', 'mid', 'discount_percent', 20D, 'elasticity_mode', 'balanced'),
                 named_struct('scenario_id', 'deep', 'discount_percent', 70D, 'elasticity_mode', 'aggressive')))"""
         )
-        known = self.skus.filter("category <> 'Economy'").select("category").distinct()
+        known = self.skus.select("category").distinct()
         return known.select("category", grid.alias("s")).select("category", "s.*")
 
 

@@ -79,7 +79,8 @@ register_cte(
     "report",
     """
     SELECT sd.category, sd.scenario_id, sc.discount_percent, b.recommended_action AS base_recommended_action, sd.recommended_action,
-           sd.order_quantity, sd.raw_reorder, CAST(printf('%.3f', sd.raw_risk) AS DOUBLE) AS risk_score, sd.data_stale_warning, m.avg_uplift, m.scale AS interval_scale,
+           sd.order_quantity, CAST(printf('%.2f', sd.raw_reorder) AS DOUBLE) AS reorder_point, b.reorder_point AS base_reorder_point,
+           CAST(printf('%.2f', sd.raw_safety) AS DOUBLE) AS safety_stock, CAST(printf('%.3f', sd.raw_risk) AS DOUBLE) AS risk_score, sd.data_stale_warning, m.avg_uplift, m.scale AS interval_scale,
            m.total - t.total AS raw_total_delta,
            CAST(printf('%.3f', CAST(printf('%.3f', sd.raw_risk) AS DOUBLE) - b.risk_score) AS DOUBLE) AS risk_delta,
            CAST(sd.order_quantity - b.order_quantity AS BIGINT) AS order_quantity_delta,
@@ -163,11 +164,11 @@ def _(t):
     "params_with_defaults",
     """SELECT k.category, coalesce(p.current_inventory, 0) AS current_inventory, coalesce(p.lead_time_days, 7) AS lead_time_days,
               coalesce(p.supplier_pack_size, 1) AS supplier_pack_size, strftime(p.last_upload, '%Y-%m-%d %H:%M:%S') AS last_upload
-       FROM (SELECT DISTINCT category FROM skus) k LEFT JOIN params p USING (category)""",
+       FROM (SELECT DISTINCT category FROM skus) k LEFT JOIN (SELECT * FROM params WHERE last_upload IS NOT NULL) p USING (category)""",
     ("skus", "params"),
 )
 def _(t):
-    return plain(d.with_params(t.daily, t.params, t.skus))
+    return plain(d.with_params(t.daily, t.params.filter("last_upload IS NOT NULL"), t.skus))
 
 
 @query(
@@ -251,12 +252,13 @@ def _(t):
     """SELECT category, scenario_id, base_recommended_action, recommended_action, CAST(order_quantity AS BIGINT) AS order_quantity,
               risk_score, data_stale_warning, round(avg_uplift, 4) AS avg_uplift, round(interval_scale, 4) AS interval_scale,
               CAST(printf('%.2f', raw_total_delta) AS DOUBLE) AS forecast_total_delta, risk_delta, order_quantity_delta,
-              CAST(printf('%.2f', raw_index) AS DOUBLE) AS supply_stability_index, array_to_string(warnings, '|') AS warnings FROM report""",
+              CAST(printf('%.2f', raw_index) AS DOUBLE) AS supply_stability_index, array_to_string(warnings, '|') AS warnings,
+              reorder_point, safety_stock, CAST(printf('%.2f', reorder_point - base_reorder_point) AS DOUBLE) AS reorder_point_delta FROM report""",
     ("report",),
 )
 def _(t):
     out = scenario.scenario_report(t.forecast, t.scenarios, t.params, as_of())
-    return plain(out.drop("reorder_point", "safety_stock", "reorder_point_delta"))
+    return plain(out)
 
 
 @query(
