@@ -10,7 +10,7 @@ from stockcast.operators import reuse
 from stockcast.plans.ingest import Tables, ingest
 from stockcast.schemas import SALES, SKUS
 from stockcast.session import scratch_path
-from stockcast.sources import store, upload
+from stockcast.sources import changes, store, upload
 from suite.base import AS_OF, Domain, as_of, query, register_cte
 from suite.ingest_checks import known, raw_sales
 from suite.plain import plain
@@ -280,9 +280,9 @@ def _(t):
     "forecast_cache_rows",
     """SELECT p.category, 60 AS n_days, p.current_inventory, p.lead_time_days, p.supplier_pack_size,
               sha256(concat(60, '|', p.current_inventory, '|', p.lead_time_days, '|', p.supplier_pack_size)) AS params_hash,
-              d.recommended_action AS action, CAST(d.order_quantity AS BIGINT) AS order_quantity, CAST(60 AS INTEGER) AS n_points, 'high' AS first_confidence
-       FROM params p JOIN decisions d USING (category)""",
-    ("params", "decisions"),
+              d.recommended_action AS action, CAST(d.order_quantity AS BIGINT) AS order_quantity, CAST(f.n AS INTEGER) AS n_points, 'high' AS first_confidence
+       FROM params p JOIN decisions d USING (category) JOIN (SELECT category, count(*) AS n FROM forecast GROUP BY 1) f USING (category)""",
+    ("params", "decisions", "forecast"),
 )
 def _(t):
     from stockcast.functions.calendar import confidence
@@ -379,6 +379,24 @@ def _(t):
     return plain(store.read_or_empty(t.spark, path, SALES).select("date", "sku_id", "units_sold"))
 
 
+@query(
+    "sales_changes_merged",
+    """SELECT CAST(date AS VARCHAR) AS date, sku_id, units_sold FROM
+       (SELECT * FROM sales WHERE (date, sku_id) NOT IN (SELECT (date, sku_id) FROM sales_changes) UNION ALL SELECT * FROM sales_changes)""",
+    ("sales", "sales_changes"),
+)
+def _(t):
+    """Rows, other values for the changed keys, a compaction in between, and the changes."""
+    path, keys = scratch_path(t.spark, "changes"), ["date", "sku_id"]
+    wrong = _sales_changes(t).withColumn("units_sold", F.lit(-1).cast("bigint"))
+    changes.upsert(t.spark, path, t.sales, keys, SALES)
+    changes.upsert(t.spark, path, wrong, keys, SALES)
+    changes.upsert(t.spark, path, wrong.withColumn("units_sold", F.lit(-2).cast("bigint")), keys, SALES)
+    changes.compact(t.spark, path, keys, SALES)
+    changes.upsert(t.spark, path, _sales_changes(t), keys, SALES)
+    return plain(changes.read(t.spark, path, keys, SALES))
+
+
 @query(
     "streamed_uploads_daily_totals",
     """SELECT p_type AS category, CAST(date AS VARCHAR) AS date, CAST(sum(q) AS BIGINT) AS units_sold
