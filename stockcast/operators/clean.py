@@ -19,6 +19,8 @@ from stockcast.sources.upload import DAY_FIRST, ROW_ORDER, UploadError
 
 OUTLIER_SPREAD = 3.0
 OUTLIER_MIN_ROWS = 4
+CELLS = 4096
+DEALT = 8
 
 
 def drop_exact_duplicates(raw: DataFrame, order: str = ROW_ORDER) -> DataFrame:
@@ -293,19 +295,67 @@ def _count_above(counts: DataFrame) -> DataFrame:
     return counts.filter(F.col("v") > bound).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("outliers"))
 
 
-def outliers_per_series(sales: DataFrame, keys: Sequence[str], column: str = "units_sold") -> DataFrame:
-    """The same test with one bound per series.
+def quantiles_per_series(df: DataFrame, keys: Sequence[str], column: str, probabilities: Sequence[float]) -> DataFrame:
+    """``exact_quantiles`` of every series: the keys, ``p0, p1, …`` and ``n``; rows without value or with a null key do not count.
 
-    Equal values are counted first, so ``percentile`` holds distinct values of
-    one series only.
+    Equal values are counted first. The values at the wanted ranks are then
+    narrowed down: over the coarse slots of a series, over ``CELLS`` equal parts
+    of the slot that holds the rank, over as many parts of that part, and by
+    order inside the last one. So a step holds a bounded number of rows per
+    series and rank, whatever the number of values, and only the values of
+    parts that hold a rank are looked at again. These are dealt over ``DEALT``
+    tasks a part, as one part may hold most of a series.
     """
     value = F.col(column).cast("double")
-    histogram = sales.groupBy(*keys, value.alias("v")).agg(F.count("*").alias("n"))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)), F.col("n"))
-    bounds = histogram.groupBy(*keys).agg(q.alias("q"), F.sum("n").alias("n")).select(
-        *keys,
-        F.when(F.col("n") >= OUTLIER_MIN_ROWS, F.col("q")[1] + OUTLIER_SPREAD * (F.col("q")[1] - F.col("q")[0])).alias("upper_bound"),
-    )
+    counts = df.dropna(subset=list(keys)).filter(value.isNotNull()).groupBy(*keys, value.alias("v")).agg(F.count("*").alias("n"))
+    cells = counts.withColumn("slot", _coarse(F.col("v"))).groupBy(*keys, "slot").agg(F.sum("n").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+    total = F.sum("m").over(Window.partitionBy(*keys))
+    before = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumns({"total": total, "start": F.coalesce(F.sum("m").over(before), F.lit(0))})
+    position = [(F.col("total") - 1) * F.lit(float(p)) for p in probabilities]
+    ranks = F.array(*[end(x).cast("bigint") for x in position for end in (F.floor, F.ceil)])
+    wanted = _holding(cells.withColumn("ranks", F.transform(ranks, lambda r, i: F.struct(i.alias("which"), r.alias("rank")))), [*keys, "slot", "total"])
+    inside = [*keys, "slot"]
+    for level in ("part", "piece"):
+        spread = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * CELLS)).otherwise(0).cast("int")
+        counts = _in_cells(counts if level == "piece" else counts.withColumn("slot", _coarse(F.col("v"))), wanted, inside).withColumn(level, spread).drop("low", "high")
+        cells = counts.groupBy(*inside, level).agg(F.sum("n").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+        before = Window.partitionBy(*inside).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+        cells = cells.withColumn("start", F.coalesce(F.sum("m").over(before), F.lit(0)))
+        asked = wanted.groupBy(*inside, "total").agg(F.collect_list(F.struct("which", "rank")).alias("ranks"))  # two a probability at most
+        inside = [*inside, level]
+        wanted = _holding(cells.join(asked, inside[:-1]), [*inside, "total"])
+    last = _in_cells(counts, wanted, inside)
+    before = Window.partitionBy(*inside).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(*inside, F.col("n").alias("m"), F.col("v").alias("low"), F.col("v").alias("high"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    asked = wanted.groupBy(*inside, "total").agg(F.collect_list(F.struct("which", "rank")).alias("ranks"))
+    found = _holding(last.join(asked, inside), [*keys, "total"])
+    at = lambda i: F.max(F.when(F.col("which") == i, F.col("low")))
+    ends = found.groupBy(*keys, "total").agg(*[at(i).alias(f"at{i}") for i in range(2 * len(probabilities))])
+    share = [x - F.floor(x) for x in position]
+    return ends.select(
+        *keys, *[(F.col(f"at{2 * i}") + (F.col(f"at{2 * i + 1}") - F.col(f"at{2 * i}")) * share[i]).alias(f"p{i}") for i in range(len(share))], F.col("total").alias("n"))
+
+
+def _holding(cells: DataFrame, names: Sequence[str]) -> DataFrame:
+    """A row for each rank of ``ranks`` that a cell holds, with the rank inside it and the cell's ends."""
+    held = F.filter("ranks", lambda r: (r["rank"] >= F.col("start")) & (r["rank"] < F.col("start") + F.col("m")))
+    rows = cells.select(*names, "start", "low", "high", F.explode(held).alias("r"))
+    return rows.select(*names, "low", "high", F.col("r.which").alias("which"), (F.col("r.rank") - F.col("start")).alias("rank"))
+
+
+def _in_cells(counts: DataFrame, wanted: DataFrame, inside: Sequence[str]) -> DataFrame:
+    """The values of the wanted cells with the cells' ends."""
+    cells = wanted.select(*inside, "low", "high").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("dealt"))
+    rows = counts.withColumn("dealt", F.pmod(F.xxhash64("v"), F.lit(DEALT)).cast("int"))
+    return rows.join(cells, [*inside, "dealt"]).select(*counts.columns, "low", "high")
+
+
+def outliers_per_series(sales: DataFrame, keys: Sequence[str], column: str = "units_sold") -> DataFrame:
+    """The same test with one bound per series; rows with a null key are not tested."""
+    q = quantiles_per_series(sales, keys, column, [0.25, 0.75])
+    bound = F.when(F.col("n") >= OUTLIER_MIN_ROWS, F.col("p1") + OUTLIER_SPREAD * (F.col("p1") - F.col("p0")))
+    bounds = q.select(*keys, bound.alias("upper_bound"))
     return sales.join(bounds, list(keys)).filter(F.col(column) > F.col("upper_bound"))
 
 
