@@ -133,9 +133,14 @@ def action_words(c: Column) -> Column:
     return title_case(F.replace(c, F.lit("_"), F.lit(" ")))
 
 
+def file_stem(path: Column) -> Column:
+    """File name in lower case, without folders and ``.csv``."""
+    return F.replace(F.lower(F.substring_index(path, "/", -1)), F.lit(".csv"), F.lit(""))
+
+
 def category_from_file(path: Column) -> Column:
-    """Category named by the start of a file name; the longest known prefix wins."""
-    base = F.replace(F.lower(F.substring_index(path, "/", -1)), F.lit(".csv"), F.lit(""))
+    """Category named by the start of a file name; the longest of the fixed prefixes wins."""
+    base = file_stem(path)
     longest_first = sorted(CATEGORY_PREFIXES, key=len, reverse=True)
     hits = [F.when(F.startswith(base, F.lit(p)), F.lit(CATEGORY_PREFIXES[p])) for p in longest_first]
     return F.coalesce(*hits)

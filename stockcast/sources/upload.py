@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from stockcast.functions.text import YEAR_LAST, slug, strip, to_day, to_number
+from stockcast.functions.text import CATEGORY_PREFIXES, YEAR_LAST, file_stem, slug, strip, to_day, to_number
 from stockcast.schemas import SALES_COLUMNS, SCHEMA_VERSION, SKU_COLUMNS
 from stockcast.sources import split_csv
 
@@ -239,3 +239,33 @@ def bulk_sales(df: DataFrame) -> DataFrame:
 
 def text_schema(columns: Iterable[str]) -> str:
     return ", ".join(f"{c} string" for c in columns)
+
+
+# --- category of a file ------------------------------------------------------
+
+def category_prefixes(skus: DataFrame) -> DataFrame:
+    """(prefix, category): how file names of a category may start, from the items' categories and the fixed prefixes.
+
+    ``Edible Oil`` is written with its blank, ``_``, ``-`` or nothing between
+    the words. A prefix of two categories is the first one's by name.
+    """
+    spark = skus.sparkSession
+    plain = F.lower("category")
+    forms = F.array(plain, *[F.regexp_replace(plain, r"\s+", mark) for mark in ("_", "-", "")])
+    known = skus.select(strip(F.col("category")).alias("category")).filter("category <> ''").distinct()
+    made = known.select(F.explode(F.array_distinct(forms)).alias("prefix"), "category")
+    fixed = spark.createDataFrame(list(CATEGORY_PREFIXES.items()), "prefix string, category string")
+    return made.unionByName(fixed).groupBy("prefix").agg(F.min("category").alias("category"))
+
+
+def file_categories(files: DataFrame, prefixes: DataFrame, path: str = "path") -> DataFrame:
+    """(path, category) per distinct path: the category of the longest prefix its file name starts with, or null.
+
+    The starts of each name are exploded and joined by equality, so the table of
+    prefixes may be of any size. A name has as many starts as letters.
+    """
+    names = files.select(F.col(path).alias("path")).distinct().withColumn("stem", file_stem(F.col("path")))
+    length = F.explode(F.sequence(F.lit(1), F.greatest(F.length("stem"), F.lit(1)))).alias("length")
+    starts = names.select("path", "stem", length).select("path", "length", F.substring("stem", F.lit(1), F.col("length")).alias("prefix"))
+    hits = starts.join(prefixes.select("prefix", "category"), "prefix").groupBy("path").agg(F.max_by("category", "length").alias("category"))
+    return names.select("path").join(hits, "path", "left")

@@ -13,7 +13,7 @@ from stockcast.plans.ingest import Tables, touched_days
 from stockcast.schemas import DAILY, SALES, SALES_COLUMNS
 from stockcast.session import cut, scratch
 from stockcast.sources import store
-from stockcast.sources.upload import DIALECT, ROW_ORDER, number_rows, text_schema, with_date_order
+from stockcast.sources.upload import DIALECT, ROW_ORDER, category_prefixes, file_categories, number_rows, text_schema, with_date_order
 
 
 def read_stream(spark: SparkSession, folder: str, columns: Sequence[str] = SALES_COLUMNS) -> DataFrame:
@@ -54,7 +54,8 @@ def upsert_batch(spark: SparkSession, tables: Tables, festivals: DataFrame | Non
         if not changes.isEmpty():
             store.upsert_sales(spark, tables.sales, changes, SALES, is_cut=True)
             store.upsert_months(spark, tables.daily, touched_days(changes, skus, tables.scan_sales(spark)), ["category", "date"], DAILY)
-            named = rows.select(F.col("file_category").alias("category")).filter("category is not null")
+            files = rows.select(F.col(f"{ROW_ORDER}.p").alias("path")).distinct()
+            named = file_categories(files, category_prefixes(skus)).select("category").filter("category is not null")
             touched = cut(store.touched_categories(changes, skus, F.current_timestamp()))
             store.append(touched, tables.events, key)
             if festivals is not None:

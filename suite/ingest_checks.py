@@ -427,6 +427,27 @@ def _(t):
     return t.table("part").select("p_partkey", tx.category_from_file(path).alias("category"))
 
 
+@query(
+    "category_from_known_items",
+    """SELECT p_partkey, arg_max(category, length(prefix)) AS category
+       FROM (SELECT p_partkey, lower(replace(p_brand, '#', CASE p_size % 3 WHEN 0 THEN '_' WHEN 1 THEN '-' ELSE '' END))
+                    || CASE WHEN p_size % 2 = 0 THEN '-' ELSE '' END || p_partkey AS stem FROM part)
+       LEFT JOIN (SELECT DISTINCT lower(replace(p_brand, '#', mark)) AS prefix, replace(p_brand, '#', ' ') AS category
+                  FROM part, (VALUES (' '), ('_'), ('-'), ('')) m(mark)) ON starts_with(stem, prefix)
+       GROUP BY 1""",
+)
+def _(t):
+    """Files named after brands, some with the number right behind, so that several brands begin the name."""
+    part = t.table("part")
+    items = part.select(F.replace("p_brand", F.lit("#"), F.lit(" ")).alias("category"))
+    path = F.expr(
+        """concat('in/', replace(p_brand, '#', CASE p_size % 3 WHEN 0 THEN '_' WHEN 1 THEN '-' ELSE '' END),
+           CASE WHEN p_size % 2 = 0 THEN '-' ELSE '' END, p_partkey, '.csv')"""
+    )
+    files = part.select("p_partkey", path.alias("path"))
+    return files.join(upload.file_categories(files, upload.category_prefixes(items)), "path").select("p_partkey", "category")
+
+
 @query(
     "number_coercion",
     f"SELECT row_order, {num_sql('units_sold')} AS units, {num_sql('sku_id')} AS none FROM sales_once",
