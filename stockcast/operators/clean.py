@@ -149,6 +149,16 @@ def checked(raw: DataFrame, kind: str) -> DataFrame:
     return check_skus(type_skus(distinct)) if kind == "sku" else check_sales(type_sales(distinct))
 
 
+def quarantine(raw: DataFrame, kind: str, *others: str) -> DataFrame:
+    """Rows that break rules, with the rules, the typed columns and some others, such as the file they are from."""
+    return rejected((check_skus if kind == "sku" else check_sales)(_typed_once(raw, kind, *others)))
+
+
+def valid_unknown(raw: DataFrame, skus: DataFrame, *others: str) -> DataFrame:
+    """Sales rows that break no rule, but whose item is not known."""
+    return unknown_items(_typed_once(raw, "sales", *others).filter(_passes(sales_rules())), skus)
+
+
 def _last_valid(raw: DataFrame, kind: str, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """The last valid row per key, from one aggregation over the raw rows.
 

@@ -52,6 +52,18 @@ class Tables:
     def log(self) -> str:
         return f"{self.root}/recommendations"
 
+    @property
+    def archived_lines(self) -> str:
+        return f"{self.root}/archived_lines"
+
+    @property
+    def files(self) -> str:
+        return f"{self.root}/upload_files"
+
+    @property
+    def rejects(self) -> str:
+        return f"{self.root}/rejected_rows"
+
     def read_skus(self, spark: SparkSession) -> DataFrame:
         return store.read_snapshot(spark, self.skus, SKUS)
 
@@ -133,10 +145,19 @@ def moved_items(skus: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def refresh_categories(spark: SparkSession, tables: Tables, categories: DataFrame) -> None:
-    """Daily totals of some categories worked out anew; the table is one row per category and day, so it is rewritten."""
+    """Daily totals of some categories worked out anew.
+
+    Months are replaced one by one, and a month keeps a row of some category as
+    long as it has sales, so a run that stops half way leaves whole months, old
+    or new, and running it again gives the same table.
+    """
     if categories.isEmpty():
         return
     skus = tables.read_skus(spark).join(categories, "category", "left_semi")
     totals = demand.daily_demand(tables.read_sales(spark), skus)
     others = tables.read_daily(spark).join(categories, "category", "left_anti")
-    store.with_month(cut(others.unionByName(totals.select(*others.columns)))).write.mode("overwrite").partitionBy(store.MONTH).parquet(tables.daily)
+    fresh = store.with_month(cut(others.unionByName(totals.select(*others.columns))))
+    (
+        fresh.hint("rebalance", F.col(store.MONTH)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(store.MONTH).parquet(tables.daily)
+    )

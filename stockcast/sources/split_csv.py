@@ -27,11 +27,18 @@ LINE = "t timestamp, p string, b long, i long, line string, out_open boolean, in
 
 def lines_of(spark: SparkSession, paths: str | list[str], latest_file_wins: bool) -> DataFrame:
     """Physical lines with their place, and whether they end inside quotes for both ways to start."""
+    return marked_lines(spark.read.option("lineSep", "\n").text(paths).select(
+        (F.col("_metadata.file_modification_time") if latest_file_wins else F.lit(None).cast("timestamp")).alias("t"),
+        F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), "value",
+    ))
+
+
+def marked_lines(lines: DataFrame) -> DataFrame:
+    """The same for lines (t, p, b, value) as they are read, before any shuffle."""
     line = F.regexp_replace("value", "\r$", "")
     quoted = F.contains("value", F.lit('"'))
-    return spark.read.option("lineSep", "\n").text(paths).select(
-        (F.col("_metadata.file_modification_time") if latest_file_wins else F.lit(None).cast("timestamp")).alias("t"),
-        F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"),
+    return lines.select(
+        "t", "p", "b", F.monotonically_increasing_id().alias("i"),
         line.alias("line"), (quoted & ~line.rlike(CLOSED_FROM_OUTSIDE)).alias("out_open"), (~quoted | ~line.rlike(CLOSED_FROM_INSIDE)).alias("in_open"),
     )
 
@@ -96,7 +103,11 @@ def split_starts(lines: DataFrame) -> DataFrame:
 
 def whole_rows(spark: SparkSession, paths: str | list[str], latest_file_wins: bool = False) -> DataFrame:
     """(t, p, b, i, text, is_first): one row per CSV row, as text; ``is_first`` marks the header of each file."""
-    lines = lines_of(spark, paths, latest_file_wins)
+    return rows_of(lines_of(spark, paths, latest_file_wins))
+
+
+def rows_of(lines: DataFrame) -> DataFrame:
+    """The same from marked lines."""
     starts = F.broadcast(split_starts(lines))  # one row per split that starts inside quotes
     marked = lines.join(starts, ["p", "b"], "left").select(*PLACE, "line", "out_open", "in_open", F.coalesce("starts_inside", F.lit(False)).alias("starts_inside"))
     pieces = marked.mapInArrow(joined_lines, ROWS)
@@ -126,3 +137,16 @@ def parsed(header: list[str], options: dict[str, str]) -> list[Column]:
     schema = ", ".join(f"c{i} string" for i in range(len(header)))
     text = F.from_csv(F.col("text"), schema, options)
     return [text[f"c{i}"].alias(name) for i, name in enumerate(header)]
+
+
+# one field behind its comma; a quote that is not closed before a comma or the end takes the rest of the row
+NEXT_FIELD = r',("(?:[^"]++|"")*+"(?=,|\z)|"[\s\S]*+|[^,]*+)'
+
+
+def fields(text: Column) -> Column:
+    """The fields of a row as an array, for files whose headers differ. An empty field is null, a quoted empty one is not."""
+    def plain(field: Column) -> Column:
+        inner = F.replace(F.regexp_replace(field, r'^"|"\z', ""), F.lit('""'), F.lit('"'))
+        return F.when(F.startswith(field, F.lit('"')), inner).when(field != "", field)
+
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(NEXT_FIELD), F.lit(1)), plain)

@@ -177,10 +177,14 @@ def missing_column_arrays(columns: Column) -> tuple[Column, Column]:
     return lacking(SALES_COLUMNS), lacking(SKU_COLUMNS)
 
 
+def is_wrong_version(column: Column) -> Column:
+    """Whether a non-blank version differs; more zeros may follow, so ``1.00`` counts as ``1.0``, but ``1`` does not."""
+    version = strip(column)
+    return version.isNotNull() & (version != "") & ~version.rlike(f"^{re.escape(SCHEMA_VERSION)}0*$")
+
+
 def wrong_version(df: DataFrame, column: str = "schema_version") -> DataFrame:
-    """Rows whose non-blank version differs; more zeros may follow, so ``1.00`` counts as ``1.0``, but ``1`` does not."""
-    version = strip(F.col(column))
-    return df.filter(version.isNotNull() & (version != "") & ~version.rlike(f"^{re.escape(SCHEMA_VERSION)}0*$"))
+    return df.filter(is_wrong_version(F.col(column)))
 
 
 def check_version(df: DataFrame) -> DataFrame:
