@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -44,6 +45,10 @@ class Tables:
     def models(self) -> str:
         return f"{self.root}/model_params"
 
+    @property
+    def moments(self) -> str:
+        return f"{self.root}/series_moments"
+
     @property
     def cache(self) -> str:
         return f"{self.root}/forecast_cache"
@@ -75,8 +80,12 @@ class Tables:
     def read_sales(self, spark: SparkSession) -> DataFrame:
         return store.read_or_empty(spark, self.sales, SALES).select("date", "sku_id", "units_sold")
 
-    def read_daily(self, spark: SparkSession) -> DataFrame:
-        return store.read_or_empty(spark, self.daily, DAILY).select("category", "date", "units_sold")
+    def read_daily(self, spark: SparkSession, since: date | None = None) -> DataFrame:
+        """Daily totals; months that end before ``since`` are not read."""
+        table = store.read_or_empty(spark, self.daily, DAILY)
+        if since is not None and store.MONTH in table.columns:
+            table = table.filter(F.col(store.MONTH).cast("string") >= f"{since:%Y-%m}")
+        return table.select("category", "date", "units_sold")
 
 
 def ingest(

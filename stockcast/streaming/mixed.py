@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stockcast.functions.text import strip
-from stockcast.operators import clean
+from stockcast.operators import clean, moments
 from stockcast.plans.ingest import Tables, moved_items, refresh_categories, touched_days
 from stockcast.schemas import DAILY, SALES, SALES_COLUMNS, SCHEMA_VERSION, SKU_COLUMNS, SKUS
 from stockcast.session import cut, scratch
 from stockcast.sources import shared, split_csv, store, upload
 from stockcast.sources.upload import ROW_ORDER
-from stockcast.streaming.uploads import refit
+from stockcast.streaming.uploads import first_changes, refit
 
 STREAM = "mixed-uploads"
 VERSION = "schema_version"
@@ -158,7 +158,10 @@ def take_batch(spark: SparkSession, tables: Tables, festivals: DataFrame | None,
         store.append(touched, tables.events, key)
         if festivals is not None:
             named = upload.file_categories(files.filter("kind = 'sales' AND reason IS NULL"), upload.category_prefixes(skus))
-            refresh = touched.select("category").unionByName(named.select("category").filter("category IS NOT NULL")).distinct()
+            moved = spark.read.schema("category string").parquet(f"{tables.root}/_moved/{key}") if not new_items.isEmpty() else touched.select("category").limit(0)
+            named = named.select("category").filter("category IS NOT NULL").unionByName(moved)
+            refresh = first_changes(new_sales, skus, touched.select("category").unionByName(named)).join(moved.withColumn("moved", F.lit(True)), "category", "left")
+            refresh = refresh.select("category", F.when(F.col("moved"), F.to_date(F.lit(moments.FROM_THE_START))).otherwise(F.col("first_change")).alias("first_change"))
             store.save_models(refit(spark, tables, festivals, refresh), tables.models, F.current_timestamp(), key)
         store.mark_done(spark, tables.root, stream, batch_id)
 

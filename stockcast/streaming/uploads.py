@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stockcast.functions.text import category_from_file
-from stockcast.operators import clean, demand, model
+from stockcast.operators import clean, demand, model, moments
 from stockcast.plans.ingest import Tables, touched_days
 from stockcast.schemas import DAILY, SALES, SALES_COLUMNS
 from stockcast.session import cut, scratch
-from stockcast.sources import store
+from stockcast.sources import changes as change_files, store
 from stockcast.sources.upload import DIALECT, ROW_ORDER, category_prefixes, file_categories, number_rows, text_schema, with_date_order
 
 
@@ -59,15 +59,31 @@ def upsert_batch(spark: SparkSession, tables: Tables, festivals: DataFrame | Non
             touched = cut(store.touched_categories(changes, skus, F.current_timestamp()))
             store.append(touched, tables.events, key)
             if festivals is not None:
-                refresh = touched.select("category").unionByName(named).distinct()
+                refresh = first_changes(changes, skus, touched.select("category").unionByName(named))
                 store.save_models(refit(spark, tables, festivals, refresh), tables.models, F.current_timestamp(), key)
         store.mark_done(spark, tables.root, stream, batch_id)
 
 
-def refit(spark: SparkSession, tables: Tables, festivals: DataFrame, categories: DataFrame) -> DataFrame:
-    """New models for the given categories only, from the daily totals that are kept up to date."""
-    daily = tables.read_daily(spark).join(categories, "category", "left_semi")
-    return model.train_models(demand.training_frame(daily, festivals))
+def first_changes(changes: DataFrame, skus: DataFrame, categories: DataFrame) -> DataFrame:
+    """(category, first_change): the first day that changed sales touch, null for other categories to be refitted."""
+    days = changes.join(skus.select("sku_id", "category"), "sku_id").groupBy("category").agg(F.min("date").alias("first_change"))
+    return categories.distinct().join(days, "category", "left")
+
+
+def refit(spark: SparkSession, tables: Tables, festivals: DataFrame, changed: DataFrame) -> DataFrame:
+    """New models for the categories of ``changed`` only, from the sums that are kept of each series.
+
+    Later days are added to the sums; the files of earlier months are read only
+    for series that have to be summed anew.
+    """
+    changed = cut(changed)
+    daily = tables.read_daily(spark)
+    kinds = moments.schema(daily)
+    stored = cut(change_files.rows_of(spark, tables.moments, changed, demand.CATEGORY, kinds))
+    since = stored.agg(F.min(F.col("recent")[0]["date"])).first()[0]
+    fresh = cut(moments.updated(stored, daily, changed, festivals, recent=tables.read_daily(spark, since)))
+    change_files.upsert(spark, tables.moments, fresh, demand.CATEGORY, kinds)
+    return model.fit(moments.statistics(fresh))
 
 
 def start(spark: SparkSession, folder: str, tables: Tables, checkpoint: str, festivals: DataFrame | None = None, stream: str = STREAM, **trigger) -> StreamingQuery:
