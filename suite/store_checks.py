@@ -418,3 +418,54 @@ def _(t):
     store.write_snapshot(spark, tables.skus, items)
     uploads.start(spark, folder + "/in", tables, folder + "/checkpoint").awaitTermination()
     return plain(tables.read_daily(spark))
+
+
+@query(
+    "streamed_mixed_files",
+    """WITH s AS (SELECT CAST(l_shipdate AS DATE) AS date, l_partkey AS k, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2),
+            ok AS (SELECT p_partkey AS k, upper(p_type[1]) || lower(p_type[2:]) AS category FROM part WHERE p_partkey % 7 <> 0)
+       SELECT 'daily' AS what, category || '|' || CAST(date AS VARCHAR) AS key, CAST(sum(q) AS BIGINT) AS n FROM s JOIN ok USING (k) WHERE day(date) <> 13 GROUP BY 1, 2
+       UNION ALL SELECT 'files', 'sku|accepted|', count(*) FROM part
+       UNION ALL SELECT 'files', 'sales|accepted|', count(*) FROM s
+       UNION ALL SELECT 'files', 'sku|rejected|Expected schema_version ''1.0''', count(*) FROM supplier
+       UNION ALL SELECT 'files', '|rejected|Missing required columns for sales: [''date'', ''units_sold'']; for sku: [''category'', ''cost'', ''current_inventory'', ''mrp'', ''product_name'']', count(*) FROM nation
+       UNION ALL SELECT 'rejects', 'cost_not_below_mrp', count(*) FROM part WHERE p_partkey % 7 = 0
+       UNION ALL SELECT 'rejects', 'bad_units', count(*) FROM s WHERE day(date) = 13
+       UNION ALL SELECT 'rejects', 'unknown_sku', count(*) FROM s WHERE day(date) <> 13 AND k % 7 = 0
+       UNION ALL SELECT 'archive', 'sku', count(*) FROM part
+       UNION ALL SELECT 'archive', 'sales', count(*) FROM s""",
+)
+def _(t):
+    """Items, sales, files of an old version and files of neither kind arrive in one folder; what came of them."""
+    from stockcast.streaming import mixed
+
+    spark = t.spark
+    folder = scratch_path(spark, "mixed")
+
+    def put(rows):
+        rows.write.mode("append").options(header=True, **upload.DIALECT).csv(folder + "/in")
+
+    units = F.when(F.dayofmonth("date") == 13, F.lit("many")).otherwise(F.col("units_sold").cast("string"))
+    cost = F.when(F.col("p_partkey") % 7 == 0, F.lit(3)).otherwise(F.lit(1))
+    put(t.sales.select(units.alias("units_sold"), "date", F.concat(F.lit("SKU"), "sku_id").alias("SKU_ID")))
+    put(t.table("part").select(
+        F.concat(F.lit("sku"), "p_partkey").alias("sku_id"), F.concat("p_name", F.lit(',\n"new"')).alias("product_name"), "p_brand",
+        F.col("p_type").alias("Category"), F.lit(2).alias("mrp"), cost.alias("cost"), F.col("p_size").cast("int").alias("current_inventory")))
+    put(t.table("supplier").select(
+        F.col("s_suppkey").alias("sku_id"), F.col("s_name").alias("product_name"), F.lit("x").alias("category"), F.lit(2).alias("mrp"), F.lit(1).alias("cost"),
+        F.lit(1).alias("current_inventory"), F.lit("2.0").alias("schema_version")))
+    put(t.table("nation").select(F.col("n_name").alias("sku_id"), "n_nationkey"))
+    tables = Tables(folder + "/tables")
+    mixed.start(spark, folder + "/in", tables, folder + "/checkpoint").awaitTermination()
+
+    files = spark.read.parquet(tables.files).withColumn("key", F.concat_ws("|", F.coalesce("kind", F.lit("")), "status", F.coalesce("reason", F.lit(""))))
+    rejects = spark.read.parquet(tables.rejects).select(F.explode("failed_rules").alias("key"))
+    heads = spark.read.parquet(tables.archived_lines).groupBy("path", "kind").agg((F.count("*") - 1).alias("n"))
+    parts = [
+        ("daily", tables.read_daily(spark).select(F.concat_ws("|", "category", F.col("date").cast("string")).alias("key"), F.col("units_sold").alias("n"))),
+        ("files", files.groupBy("key").agg(F.sum("n_rows").alias("n"))),
+        ("rejects", rejects.groupBy("key").agg(F.count("*").alias("n"))),
+        ("archive", heads.groupBy(F.col("kind").alias("key")).agg(F.sum("n").alias("n"))),
+    ]
+    out = [df.select(F.lit(name).alias("what"), "key", "n") for name, df in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])

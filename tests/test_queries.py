@@ -48,7 +48,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"csv_upload_to_tables", "batch_with_cache", "sku_snapshots", "sales_months_upserted", "streamed_uploads_daily_totals"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"csv_upload_to_tables", "batch_with_cache", "sku_snapshots", "sales_months_upserted", "streamed_uploads_daily_totals", "streamed_mixed_files"}))
 def test_no_cartesian_product_and_no_row_at_a_time_python(spark, name):
     plan = plan_of(QUERIES[name](spark, SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
