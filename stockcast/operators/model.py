@@ -107,7 +107,10 @@ def series_statistics(train: DataFrame, keys: Sequence[str] = CATEGORY, carry: S
 
 def gram_matrix(train: DataFrame, keys: Sequence[str] = CATEGORY) -> DataFrame:
     """The Gram statistics in long form: (row feature, column feature, value)."""
-    stats = series_statistics(train, keys)
+    return gram_cells(series_statistics(train, keys), keys)
+
+
+def gram_cells(stats: DataFrame, keys: Sequence[str] = CATEGORY) -> DataFrame:
     names = F.array(*map(F.lit, FEATURES))
     cells = stats.select(*keys, "n_samples", "yy", F.posexplode("gram").alias("pos", "value"))
     return cells.select(

@@ -53,20 +53,26 @@ def calendar_mark(festivals: DataFrame) -> int:
 
 
 def of_rows(train: DataFrame, calendar: int, keys: Sequence[str] = CATEGORY) -> DataFrame:
-    """One stored row per series of training rows, by a plain partial aggregate."""
-    x = [F.col(c).cast("double") for c in COLUMNS]
-    n = F.count("*").cast("double")
-    cells = {(i, j): n * F.covar_pop(x[i], x[j]) for i in range(N) for j in range(i, N)}
-    latest = F.struct(F.col("time_index").cast("int").alias("time_index"), "date", x[TARGET].alias("units"))
-    # a window over the partitioning the lags already have
-    rows = train.withColumn("_last", F.max("time_index").over(Window.partitionBy(*keys)))
-    return rows.groupBy(*keys).agg(
+    """One stored row per series of training rows: means over the partitioning the lags already have, then plain sums of centred products."""
+    whole = Window.partitionBy(*keys)
+    x = [f"_x{i}" for i in range(N)]
+    rows = train.select(
+        *keys, "time_index", "date", "potential_stockout", F.max("time_index").over(whole).alias("_last"),
+        *[F.col(c).cast("double").alias(name) for c, name in zip(COLUMNS, x)], *[F.avg(F.col(c).cast("double")).over(whole).alias(f"_m{i}") for i, c in enumerate(COLUMNS)],
+    )
+    centred = rows.withColumns({f"_c{i}": F.col(x[i]) - F.col(f"_m{i}") for i in range(N)})
+    latest = F.struct(F.col("time_index").cast("int").alias("time_index"), "date", F.col(x[TARGET]).alias("units"))
+    summed = centred.groupBy(*keys).agg(
         F.count("*").alias("n_samples"),
-        F.array(*[F.avg(c) for c in x]).alias("mean"),
-        F.array(*[cells[min(i, j), max(i, j)] for i in range(N) for j in range(N)]).alias("products"),
+        *[F.first(f"_m{i}").alias(f"_m{i}") for i in range(N)],
+        *[F.sum(F.col(f"_c{i}") * F.col(f"_c{j}")).alias(f"_p{i}_{j}") for i in range(N) for j in range(i, N)],
         F.array_sort(F.collect_list(F.when(F.col("_last") - F.col("time_index") < LAST_DAYS, latest))).alias("recent"),
         F.sum(F.col("potential_stockout").cast("bigint")).alias("stockout_days_detected"),
-        F.lit(calendar).cast("bigint").alias("calendar"),
+    )
+    return summed.select(
+        *keys, "n_samples", F.array(*[f"_m{i}" for i in range(N)]).alias("mean"),
+        F.array(*[f"_p{min(i, j)}_{max(i, j)}" for i in range(N) for j in range(N)]).alias("products"),
+        "recent", "stockout_days_detected", F.lit(calendar).cast("bigint").alias("calendar"),
     )
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from stockcast.operators import demand, model
 from stockcast.operators.demand import FEATURES
-from suite.base import Domain, query, register_cte
+from stockcast.session import cut
+from suite.base import ORACLES, Domain, query, register_cte
 from suite.plain import plain
 
 WINDOW = "OVER (PARTITION BY category ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
@@ -304,6 +305,27 @@ def _(t):
     )
 
 
+@query("gram_matrix_from_batches", ORACLES["gram_matrix"])
+def _(t):
+    """The same sums, kept per series and extended by three batches: the first 500 days, two more years, the rest."""
+    from stockcast.operators import moments
+
+    first, last = F.lit("1900-01-01").cast("date"), F.lit("9999-01-01").cast("date")
+    start = t.daily.agg(F.min("date")).scalar()
+    edges = [first, F.date_add(start, 500), F.date_add(start, 1230), last]
+    stored = t.spark.createDataFrame([], moments.schema(t.daily))
+    for low, high in zip(edges, edges[1:]):
+        seen = t.daily.filter(F.col("date") <= high)
+        changed = seen.groupBy("category").agg(F.min(F.when(F.col("date") > low, F.col("date"))).alias("first_change"))
+        stored = cut(moments.updated(stored, seen, changed, t.festivals))
+    g = model.gram_cells(moments.statistics(stored))
+    return g.select(
+        "category", "row_feature", "column_feature", "n_samples",
+        F.round(F.col("value") / F.col("n_samples"), 6).alias("mean_product"),
+        F.round(F.col("yy") / F.col("n_samples"), 4).alias("mean_square"),
+    )
+
+
 @query(
     "series_eligibility",
     """SELECT sku_id, year, CAST(greatest(n - 7, 0) AS BIGINT) AS training_rows,
