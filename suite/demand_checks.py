@@ -310,15 +310,17 @@ def _(t):
     """The same sums, kept per series and extended by three batches: the first 500 days, two more years, the rest."""
     from stockcast.operators import moments
 
+    daily = cut(t.daily)
     first, last = F.lit("1900-01-01").cast("date"), F.lit("9999-01-01").cast("date")
-    start = t.daily.agg(F.min("date")).scalar()
+    start = daily.agg(F.min("date")).scalar()
     edges = [first, F.date_add(start, 500), F.date_add(start, 1230), last]
-    stored = t.spark.createDataFrame([], moments.schema(t.daily))
+    stored = t.spark.createDataFrame([], moments.schema(daily))
     for low, high in zip(edges, edges[1:]):
-        seen = t.daily.filter(F.col("date") <= high)
-        changed = seen.groupBy("category").agg(F.min(F.when(F.col("date") > low, F.col("date"))).alias("first_change"))
+        seen = daily.filter(F.col("date") <= high)
+        changed = cut(seen.groupBy("category").agg(F.min(F.when(F.col("date") > low, F.col("date"))).alias("first_change")))
         stored = cut(moments.updated(stored, seen, changed, t.festivals))
-    g = model.gram_cells(moments.statistics(stored))
+    # cut: exploding would repeat the sums in a filter below
+    g = model.gram_cells(cut(moments.statistics(stored)))
     return g.select(
         "category", "row_feature", "column_feature", "n_samples",
         F.round(F.col("value") / F.col("n_samples"), 6).alias("mean_product"),
