@@ -82,7 +82,9 @@ def refit(spark: SparkSession, tables: Tables, festivals: DataFrame, changed: Da
     stored = cut(change_files.rows_of(spark, tables.moments, changed, demand.CATEGORY, kinds))
     since = stored.agg(F.min(F.col("recent")[0]["date"])).first()[0]
     fresh = cut(moments.updated(stored, daily, changed, festivals, recent=tables.read_daily(spark, since)))
-    change_files.upsert(spark, tables.moments, fresh, demand.CATEGORY, kinds)
+    # a series that has no days any more counts as empty, so that later days are not added to what it was
+    gone = stored.join(fresh, list(demand.CATEGORY), "left_anti").withColumn("n_samples", F.lit(0).cast("bigint"))
+    change_files.upsert(spark, tables.moments, fresh.unionByName(gone), demand.CATEGORY, kinds)
     return model.fit(moments.statistics(fresh))
 
 

@@ -6,9 +6,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from stockcast.operators import demand
+from stockcast.operators import demand, moments
 from stockcast.plans.ingest import Tables
-from stockcast.sources import split_csv, store
+from stockcast.sources import changes, split_csv, store
 from stockcast.streaming import mixed
 
 ITEMS = "current_inventory,SKU_ID, product_name ,category,mrp,cost,note"
@@ -125,3 +125,28 @@ def test_fields(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r string")
     got = [r["f"] for r in df.select("i", split_csv.fields(F.col("r")).alias("f")).orderBy("i").collect()]
     assert got == [["a", "b"], [None], [None, None], ['a,"b"', "c"], ["", "x"], ["two\nlines", None], ['a"b', "c"], ["open,x"]]
+
+
+def test_models_follow_files_and_moved_items(spark, tmp_path, festivals):
+    """Sales give a category its model; an item that moves gives its new one another, summed from the start, and leaves the old one empty."""
+    tables = Tables(str(tmp_path / "tables"))
+    head = "sku_id,product_name,category,mrp,cost,current_inventory\n"
+    days = [dt.date(2026, 1, 1) + dt.timedelta(days=i) for i in range(30)]
+
+    def take(number, **files):
+        folder = tmp_path / f"in{number}"
+        folder.mkdir()
+        for name, text in files.items():
+            (folder / f"{name}.csv").write_text(text)
+        text = spark.read.option("lineSep", "\n").text(str(folder))
+        place = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_modification_time", "t"), ("file_path", "p"), ("file_block_start", "b"))]
+        mixed.take_batch(spark, tables, festivals, text.select(*place, "value"), number)
+
+    sales = "date,sku_id,units_sold\n" + "".join(f"{d},{s},{u + i % 5}\n" for i, d in enumerate(days) for s, u in (("A", 10), ("B", 20)))
+    take(0, items=head + "A,x,Snacks,2,1,5\nB,y,Toys,2,1,5\n", sales=sales)
+    take(1, items=head + "A,x,Toys,2,1,5\n")
+    models = {(r["category"], r["trained_at"]): r["intercept"] for r in spark.read.parquet(tables.models).collect()}
+    rows = sorted((c, at, round(v)) for (c, at), v in models.items())
+    assert [(c, v) for c, _, v in rows] == [("Snacks", 12), ("Toys", 22), ("Toys", 34)]
+    kept = changes.read(spark, tables.moments, ["category"], moments.schema(tables.read_daily(spark)))
+    assert {r["category"]: r["n_samples"] for r in kept.collect()} == {"Snacks": 0, "Toys": 23}
