@@ -265,11 +265,17 @@ def category_prefixes(skus: DataFrame) -> DataFrame:
 def file_categories(files: DataFrame, prefixes: DataFrame, path: str = "path") -> DataFrame:
     """(path, category) per distinct path: the category of the longest prefix its file name starts with, or null.
 
-    The starts of each name are exploded and joined by equality, so the table of
-    prefixes may be of any size. A name has as many starts as letters.
+    The starts of each name that are as long as some prefix are exploded and
+    joined by equality. Both tables may be of any size, and a small file may hold
+    many of them, so neither is broadcast; names without a hit stay in the join.
     """
     names = files.select(F.col(path).alias("path")).distinct().withColumn("stem", file_stem(F.col("path")))
-    length = F.explode(F.sequence(F.lit(1), F.greatest(F.length("stem"), F.lit(1)))).alias("length")
-    starts = names.select("path", "stem", length).select("path", "length", F.substring("stem", F.lit(1), F.col("length")).alias("prefix"))
-    hits = starts.join(prefixes.select("prefix", "category"), "prefix").groupBy("path").agg(F.max_by("category", "length").alias("category"))
-    return names.select("path").join(hits, "path", "left")
+    # as many numbers as there are lengths of prefixes, whatever the number of prefixes
+    lengths = prefixes.select(F.length("prefix").alias("n")).distinct().agg(F.collect_list("n")).scalar()
+    starts = names.select("path", "stem", F.explode(F.array_union(F.array(F.lit(0)), lengths)).alias("length"))
+    starts = starts.filter((F.col("length") == 0) | (F.col("length") <= F.length("stem")))
+    # the start of no letters keeps each name; a key of its own, as no file name holds a slash, keeps it out of a common task
+    key = F.when(F.col("length") == 0, F.concat(F.lit("/"), "path")).otherwise(F.substring("stem", F.lit(1), F.col("length")))
+    known = prefixes.filter(~F.contains("prefix", F.lit("/"))).select("prefix", "category")
+    hits = starts.select("path", "length", key.alias("prefix")).join(known.hint("merge"), "prefix", "left")
+    return hits.groupBy("path").agg(F.max_by("category", F.when(F.col("category").isNotNull(), F.col("length"))).alias("category"))

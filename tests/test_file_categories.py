@@ -21,3 +21,15 @@ def test_no_files_and_no_items(spark):
     prefixes = upload.category_prefixes(skus)
     assert upload.file_categories(spark.createDataFrame([], "path string"), prefixes).collect() == []
     assert [r["category"] for r in upload.file_categories(spark.createDataFrame([("staples.csv",)], "path string"), prefixes).collect()] == ["Staples"]
+
+
+def test_neither_files_nor_prefixes_are_broadcast_and_odd_names_keep_their_category(spark, tmp_path):
+    skus = spark.createDataFrame([("a", "Tea"), ("b", "Tea/cold"), ("c", "/in/te.csv"), ("d", "Teapots and kettles")], "sku_id string, category string")
+    names = {"in/tea1.csv": "Tea", "in/te.csv": None, "in/teapots.csv": "Tea", "teapots-and-kettles-2.csv": "Teapots and kettles", "tea/cold.csv": None}
+    # small files, which Spark would broadcast by itself
+    skus.write.parquet(f"{tmp_path}/skus")
+    spark.createDataFrame([(n,) for n in names], "path string").write.parquet(f"{tmp_path}/files")
+    skus, files = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("skus", "files"))
+    found = upload.file_categories(files, upload.category_prefixes(skus))
+    assert {r["path"]: r["category"] for r in found.collect()} == names
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
