@@ -25,13 +25,18 @@ STOCKOUT_LEVEL = 5.0
 WINDOW_DAYS = 7
 
 
-def daily_demand(sales: DataFrame, skus: DataFrame, keys: Sequence[str] = CATEGORY) -> DataFrame:
+def daily_demand(sales: DataFrame, skus: DataFrame, keys: Sequence[str] = CATEGORY, tasks: int | None = None) -> DataFrame:
     """Units per series and day; days without sales are not filled in.
 
     ``sales`` holds one row per (date, sku_id), so an item contributes at most
     one row per day to the join. The item side is broadcast by Spark only when
-    its size allows; otherwise both sides are hashed on sku_id.
+    its size allows; otherwise both sides are hashed on sku_id. With ``tasks``
+    the sales are dealt over so many partitions by item, which the join, the
+    totals and later windows of series by item then share: with that many items
+    the rows of a task are bounded by this number alone.
     """
+    if tasks:
+        sales = sales.repartition(tasks, "sku_id")
     dimension = skus.select(*dict.fromkeys(["sku_id", *keys]))
     joined = sales.join(dimension, "sku_id")
     return joined.groupBy(*keys, "date").agg(F.sum("units_sold").alias("units_sold"))

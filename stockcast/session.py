@@ -43,6 +43,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+ROWS_A_TASK = 500_000
+
+
+def tasks_of(rows: int, spark: SparkSession) -> int:
+    """Partitions for a shuffle of so many narrow rows: as many as the session's, more where a task would get too many rows.
+
+    Partitions merged by their compressed bytes may hold very many rows; a
+    number that is given stays.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+
+
 _scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 

@@ -158,13 +158,19 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def sales_tasks(self) -> int:
+        """Partitions for shuffles of rows as many as the sales; the count comes from the file's footers."""
+        from stockcast.session import tasks_of
+
+        return tasks_of(self.table("lineitem").count(), self.spark)
+
     @cached_property
     def sales(self) -> DataFrame:
-        return (
-            self.table("lineitem")
-            .groupBy(F.col("l_shipdate").cast("date").alias("date"), F.col("l_partkey").cast("string").alias("sku_id"))
-            .agg(F.sum("l_quantity").cast("bigint").alias("units_sold"))
+        rows = self.table("lineitem").select(
+            F.col("l_shipdate").cast("date").alias("date"), F.col("l_partkey").cast("string").alias("sku_id"), "l_quantity"
         )
+        return rows.repartition(self.sales_tasks, "date", "sku_id").groupBy("date", "sku_id").agg(F.sum("l_quantity").cast("bigint").alias("units_sold"))
 
     @cached_property
     def skus(self) -> DataFrame:

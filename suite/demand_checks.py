@@ -145,7 +145,7 @@ def _(t):
     ("sales", "skus"),
 )
 def _(t):
-    return plain(demand.daily_demand(t.sales, t.skus, ["sku_id"]))
+    return plain(demand.daily_demand(t.sales, t.skus, ["sku_id"], t.sales_tasks))
 
 
 @query(

@@ -142,3 +142,17 @@ def test_spread_of_large_and_close_units(spark):
     skus = spark.createDataFrame([("s0", "a"), ("s1", "a")], "sku_id string, category string")
     row = demand.dataset_summary(sales, skus).first()
     assert abs(row["std_units"] - 1) < 1e-6 and row["n_items"] == 2 and row["n_rows"] == 3
+
+
+def test_rows_of_a_task_are_bounded_by_their_number_not_by_compressed_bytes(spark, monkeypatch):
+    from stockcast import session
+    from suite.base import Domain
+
+    monkeypatch.setattr(session, "ROWS_A_TASK", 500)
+    t = Domain(spark, "/root/testdata/sf0.001")
+    n = -(-t.table("lineitem").count() // 500)
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions")) and t.sales_tasks == n
+    daily = demand.daily_demand(t.sales, t.skus, ["sku_id"], t.sales_tasks)
+    plan = daily._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {n})") >= 2 and daily.rdd.getNumPartitions() == n
+    assert sorted(daily.collect()) == sorted(demand.daily_demand(t.sales, t.skus, ["sku_id"]).collect())
