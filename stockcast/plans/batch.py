@@ -24,10 +24,12 @@ class BatchResult:
     skipped: DataFrame
 
 
-def models_for(sales: DataFrame, skus: DataFrame, festivals: DataFrame, keys: Sequence[str] = ("category",)) -> DataFrame:
-    """Trained models of all series. The category rides along with finer keys."""
+def models_for(
+    sales: DataFrame, skus: DataFrame, festivals: DataFrame, keys: Sequence[str] = ("category",), tasks: int | None = None
+) -> DataFrame:
+    """Trained models of all series. The category rides along with finer keys; ``tasks`` as in ``daily_demand``."""
     carry = [] if "category" in keys else ["category"]
-    daily = demand.daily_demand(sales, skus, [*keys, *carry])
+    daily = demand.daily_demand(sales, skus, [*keys, *carry], tasks)
     return model.train_models(demand.training_frame(daily, festivals, keys), keys, carry)
 
 

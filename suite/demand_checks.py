@@ -430,7 +430,7 @@ def _(t):
 def _models(t: Domain, keys=("category",)):
     from stockcast.plans.batch import models_for
 
-    return models_for(t.sales, t.skus, t.festivals, list(keys))
+    return models_for(t.sales, t.skus, t.festivals, list(keys), t.sales_tasks if "sku_id" in keys else None)
 
 
 @query("bayesian_ridge_fit")
