@@ -14,8 +14,12 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from stockcast.session import cut
 
 # one field, closed: quoted with doubled quotes, or one that does not start with a quote
 FIELD = r'(?:"(?:[^"]++|"")*+"|[^",][^,]*+|)'
@@ -43,62 +47,115 @@ def marked_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+FLAGS = "t timestamp, p string, b long, from_out boolean, from_in boolean, closes boolean"
+
+
 def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, p, b, from_out, from_in): where each split ends for both ways to start."""
+    """(t, p, b, from_out, from_in, closes): where each split ends for both ways to start, and whether a row that is open at its start ends in it."""
     state: dict[tuple, list[bool]] = {}
     for batch in batches:
-        t, p, b = (batch.column(c).to_pylist() for c in range(3))
-        out_open, in_open = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        for place, when_out, when_in in zip(zip(t, p, b), out_open, in_open):
-            ends = state.setdefault(place, [False, True])
-            ends[:] = [when_in if end else when_out for end in ends]
-    columns = list(zip(*[(*place, *ends) for place, ends in state.items()])) or [()] * 5
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(x, kind) for x, kind in zip(columns, (pa.timestamp("us", "UTC"), pa.string(), pa.int64(), pa.bool_(), pa.bool_()))], ["t", "p", "b", "from_out", "from_in"])
+        flags = [batch.column(c).to_numpy(zero_copy_only=False) for c in (3, 4)]
+        for start, end in runs(batch):
+            ends = state.setdefault(tuple(batch.column(c)[start].as_py() for c in range(3)), [False, True, False])
+            out_open, in_open = (x[start:end] for x in flags)
+            # lines that leave either state as it is need no look
+            for at in np.flatnonzero(out_open | ~in_open):
+                ends[:2] = [in_open[at] if x else out_open[at] for x in ends[:2]]
+                ends[2] |= not ends[1]
+    columns = list(zip(*[(*place, *map(bool, ends)) for place, ends in state.items()])) or [()] * 6
+    kinds = (pa.timestamp("us", "UTC"), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_())
+    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["t", "p", "b", "from_out", "from_in", "closes"])
+
+
+def runs(batch: pa.RecordBatch) -> list[tuple[int, int]]:
+    """Start and end of the lines of each split in a batch of (t, p, b, …)."""
+    n = batch.num_rows
+    if not n:
+        return []
+    changes = np.flatnonzero(np.diff(batch.column(2).to_numpy()) != 0) + 1
+    path = batch.column(1)
+    if n > 1:
+        other = pc.not_equal(path.slice(1), path.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        changes = np.union1d(changes, np.flatnonzero(other) + 1)
+    edges = [0, *changes.tolist(), n]
+    return list(zip(edges, edges[1:]))
+
+
+ROWS = "t timestamp, p string, b long, i long, text string, kind string, opener long, is_first boolean"
+TYPES = (pa.timestamp("us", "UTC"), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+NAMES = ["t", "p", "b", "i", "text", "kind", "opener", "is_first"]
+
 
+def joined_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows from the lines of whole splits, and fragments: ``head`` closes a row of an earlier split, ``inner`` belongs to one as a whole, ``tail`` opens one.
 
-ROWS = "t timestamp, p string, b long, i long, text string, kind string"
+    ``opener`` is the split in which a fragment's row begins. ``is_first`` marks
+    the first row of a file that is not blank.
+    """
+    place, first, held, inside, kind, opener, titled = None, None, [], False, "row", None, False
 
+    def rest() -> pa.RecordBatch:
+        """What is held at the end of a split: a fragment."""
+        whole = kind == "head"
+        row = (*place, first, "\n".join(held), "inner" if whole else "tail", opener if whole else place[2], not whole and place[2] == 0 and not titled)
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, TYPES)], NAMES)
 
-def joined_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows from the lines of whole splits, and fragments: ``head`` closes a row of an earlier split, ``inner`` belongs to one as a whole, ``tail`` opens one."""
-    names = ["t", "p", "b", "i", "text", "kind"]
-    place, first, held, inside, kind = None, None, [], False, "row"
     for batch in batches:
-        found: list[tuple] = []
-        rows = zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)))
-        for t, p, b, i, line, out_open, in_open, starts_inside in rows:
-            if (t, p, b) != place:
+        for start, end in runs(batch):
+            here = tuple(batch.column(c)[start].as_py() for c in range(3))
+            if here != place:
                 if held:
-                    found.append((*place, first, "\n".join(held), "inner" if kind == "head" else "tail"))
-                place, held, inside, kind = (t, p, b), [], starts_inside, "head" if starts_inside else "row"
+                    yield rest()
+                place, held, inside = here, [], batch.column(7)[start].as_py()
+                kind, opener, titled = "head" if inside else "row", batch.column(8)[start].as_py(), False
+            i, lines = batch.column(3).slice(start, end - start), batch.column(4).slice(start, end - start)
+            out_open, in_open = (batch.column(c).slice(start, end - start).to_numpy(zero_copy_only=False) for c in (5, 6))
+            after, was = np.empty(end - start, bool), 0
+            for at in np.flatnonzero(out_open | ~in_open).tolist():  # other lines leave the state as it is
+                after[was:at] = inside
+                inside, was = bool(in_open[at] if inside else out_open[at]), at
+            after[was:] = inside
+            ends = np.flatnonzero(~after) + 1
             if not held:
-                first = i
-            held.append(line)
-            inside = in_open if inside else out_open
-            if not inside:
-                found.append((*place, first, "\n".join(held), kind))
-                held, kind = [], "row"
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found), TYPES)], names)
+                first = i[0].as_py()
+            if not len(ends):
+                held.append("\n".join(lines.to_pylist()))
+                continue
+            starts = np.concatenate([[0], ends[:-1]])
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), lines.slice(0, ends[-1])), "\n")
+            if held:
+                texts = pa.concat_arrays([pa.array(["\n".join([*held, texts[0].as_py()])]), texts.slice(1)])
+            n, numbers = len(ends), i.to_numpy()[starts]
+            numbers[0] = first
+            is_first = np.zeros(n, bool)
+            if place[2] == 0 and not titled:
+                filled = np.flatnonzero(pc.not_equal(pc.utf8_trim(texts, " "), "").to_numpy(zero_copy_only=False))
+                is_first[filled[:1]] = titled = bool(len(filled))
+            kinds = [kind, *["row"] * (n - 1)]
+            openers = pa.array([opener if kind == "head" else None, *[None] * (n - 1)], pa.int64())
+            repeated = [pa.array([x], k).take(pa.array(np.zeros(n, np.int32))) for x, k in zip(place, TYPES)]
+            yield pa.RecordBatch.from_arrays([*repeated, pa.array(numbers, pa.int64()), texts, pa.array(kinds), openers, pa.array(is_first)], NAMES)
+            left = lines.slice(ends[-1])
+            held, kind = ["\n".join(left.to_pylist())] if len(left) else [], "row"
+            if held:
+                first = i[int(ends[-1])].as_py()
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((*place, first, "\n".join(held), "inner" if kind == "head" else "tail"), TYPES)], names)
-
-
-TYPES = (pa.timestamp("us", "UTC"), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield rest()
 
 
 def split_starts(lines: DataFrame) -> DataFrame:
-    """(p, b, starts_inside) for the splits that start inside quotes; the driver folds one pair of flags per split."""
-    flags = lines.select("t", "p", "b", "out_open", "in_open").mapInArrow(fold, "t timestamp, p string, b long, from_out boolean, from_in boolean")
-    ends = flags.select("p", "b", "from_out", "from_in").orderBy("p", "b").collect()
-    inside, file, found = False, None, []
+    """(p, b, starts_inside, opener) for the splits that start inside quotes, with the split where that row begins; the driver folds three flags per split."""
+    flags = lines.select("t", "p", "b", "out_open", "in_open").mapInArrow(fold, FLAGS)
+    ends = flags.select("p", "b", "from_out", "from_in", "closes").orderBy("p", "b").collect()
+    inside, file, opener, found = False, None, None, []
     for r in ends:
         inside = inside and r["p"] == file
         if inside:
-            found.append((r["p"], r["b"], True))
+            found.append((r["p"], r["b"], True, opener))
+        if not inside or r["closes"]:
+            opener = r["b"]
         inside, file = r["from_in"] if inside else r["from_out"], r["p"]
-    return lines.sparkSession.createDataFrame(found, "p string, b long, starts_inside boolean")
+    return lines.sparkSession.createDataFrame(found, "p string, b long, starts_inside boolean, opener long")
 
 
 def whole_rows(spark: SparkSession, paths: str | list[str], latest_file_wins: bool = False) -> DataFrame:
@@ -107,19 +164,16 @@ def whole_rows(spark: SparkSession, paths: str | list[str], latest_file_wins: bo
 
 
 def rows_of(lines: DataFrame) -> DataFrame:
-    """The same from marked lines."""
+    """The same from marked lines, which are read twice: for the states of the splits, and for the rows, which are cut to the shared folder."""
     starts = F.broadcast(split_starts(lines))  # one row per split that starts inside quotes
-    marked = lines.join(starts, ["p", "b"], "left").select(*PLACE, "line", "out_open", "in_open", F.coalesce("starts_inside", F.lit(False)).alias("starts_inside"))
-    pieces = marked.mapInArrow(joined_lines, ROWS)
-    fragments = pieces.filter("kind <> 'row'")
-    # a tail opens a row; the inner and head fragments up to the next tail belong to it
-    order = Window.partitionBy("p").orderBy("b", "i")
-    opened = fragments.withColumn("row", F.sum(F.when(F.col("kind") == "tail", 1).otherwise(0)).over(order))
-    put = opened.groupBy("p", "row").agg(F.array_sort(F.collect_list(F.struct("b", "i", "text"))).alias("parts"), F.min("t").alias("t"))
-    across = put.select("t", "p", F.col("parts")[0]["b"].alias("b"), F.col("parts")[0]["i"].alias("i"), F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("text"))
-    rows = pieces.filter("kind = 'row'").select(*PLACE, "text").unionByName(across).filter(F.trim("text") != "")
-    firsts = rows.filter("b = 0").groupBy("p").agg(F.min("i").alias("first"))
-    return rows.join(firsts, "p", "left").select(*PLACE, "text", ((F.col("b") == 0) & (F.col("i") == F.col("first"))).alias("is_first"))
+    marked = lines.join(starts, ["p", "b"], "left").select(*PLACE, "line", "out_open", "in_open", F.coalesce("starts_inside", F.lit(False)).alias("starts_inside"), "opener")
+    pieces = cut(marked.mapInArrow(joined_lines, ROWS))
+    # no row of a file but those that lie across splits leaves its task
+    put = pieces.filter("kind <> 'row'").groupBy("p", "opener").agg(
+        F.array_sort(F.collect_list(F.struct("b", "i", "text"))).alias("parts"), F.min("t").alias("t"), F.bool_or("is_first").alias("is_first"))
+    across = put.select(
+        "t", "p", F.col("parts")[0]["b"].alias("b"), F.col("parts")[0]["i"].alias("i"), F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("text"), "is_first")
+    return pieces.filter("kind = 'row'").select(*PLACE, "text", "is_first").unionByName(across).filter(F.trim("text") != "")
 
 
 def header_of(texts: list[str]) -> list[str]:
