@@ -525,9 +525,12 @@ def _(t):
     return plain(dated.join(orders, "file").select("file", "l_orderkey", "l_linenumber", "date_order", "day"))
 
 
+ONE_FILE = 128 << 20  # bytes of text that one task writes
+
+
 @query("csv_split_round_trip", ORACLES["csv_dialect_round_trip"])
 def _(t):
-    """The same texts in one file, which is read by one task per 256 KB although rows hold line breaks."""
+    """The same texts in one file for each 128 MB of them, which is read by one task per 256 KB although rows hold line breaks."""
     from stockcast.session import cut, scratch_path
 
     docs = t.table("documents")
@@ -535,7 +538,8 @@ def _(t):
         t.table("conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text")
     ).unionByName(docs.select(F.concat(F.lit("q"), "doc_id").alias("id"), F.concat(F.lit('"'), "text", F.lit('",\n "two\nlines" \\')).alias("text")))
     path = scratch_path(t.spark, "one-file")
-    rows.coalesce(1).write.options(header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **upload.DIALECT).csv(path)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows.coalesce(size // ONE_FILE + 1).write.options(header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **upload.DIALECT).csv(path)
     key = "spark.sql.files.maxPartitionBytes"
     before = t.spark.conf.get(key)
     t.spark.conf.set(key, "256k")
