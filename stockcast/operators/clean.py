@@ -308,8 +308,9 @@ def _count_above(counts: DataFrame) -> DataFrame:
 def quantiles_per_series(df: DataFrame, keys: Sequence[str], column: str, probabilities: Sequence[float]) -> DataFrame:
     """``exact_quantiles`` of every series: the keys, ``p0, p1, …`` and ``n``; rows without value or with a null key do not count.
 
-    Equal values are counted first. The values at the wanted ranks are then
-    narrowed down: over the coarse slots of a series, over ``CELLS`` equal parts
+    Equal values are counted first, and cut to the shared folder. A series of
+    at most ``CELLS`` different values is put in order by itself. In longer ones
+    the values at the wanted ranks are narrowed down: over the coarse slots of a series, over ``CELLS`` equal parts
     of the slot that holds the rank, over as many parts of that part, and by
     order inside the last one. So a step holds a bounded number of rows per
     series and rank, whatever the number of values, and only the values of
@@ -318,6 +319,34 @@ def quantiles_per_series(df: DataFrame, keys: Sequence[str], column: str, probab
     """
     value = F.col(column).cast("double")
     counts = df.dropna(subset=list(keys)).filter(value.isNotNull()).groupBy(*keys, value.alias("v")).agg(F.count("*").alias("n"))
+    counts = cut(counts)
+    sizes = counts.groupBy(*keys).agg(F.count("*").alias("values"))
+    long = cut(sizes.filter(F.col("values") > CELLS).select(*keys))
+    short = counts.join(sizes.filter(F.col("values") <= CELLS).select(*keys), list(keys), "left_semi")
+    ordered = _quantiles_in_order(short, keys, probabilities)
+    if long.isEmpty():
+        return ordered
+    return ordered.unionByName(_quantiles_by_cells(counts.join(long, list(keys), "left_semi"), keys, probabilities))
+
+
+def _quantiles_in_order(counts: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """The quantiles of series of at most ``CELLS`` different values (keys, v, n), from their running counts."""
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = counts.withColumns({"start": before, "total": F.sum("n").over(Window.partitionBy(*keys))})
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("start") <= rank) & (rank < F.col("start") + F.col("n")), F.col("v")))
+
+    columns = []
+    for i, p in enumerate(probabilities):
+        position = (F.col("total") - 1) * F.lit(float(p))
+        low, high = at(F.floor(position)), at(F.ceil(position))
+        columns.append((low + (high - low) * F.max(position - F.floor(position))).alias(f"p{i}"))
+    return ranked.groupBy(*keys).agg(*columns, F.max("total").alias("n"))
+
+
+def _quantiles_by_cells(counts: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """The quantiles of series of any number of values, narrowed down step by step."""
     cells = counts.withColumn("slot", _coarse(F.col("v"))).groupBy(*keys, "slot").agg(F.sum("n").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
     total = F.sum("m").over(Window.partitionBy(*keys))
     before = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -362,7 +391,8 @@ def _in_cells(counts: DataFrame, wanted: DataFrame, inside: Sequence[str]) -> Da
 
 
 def outliers_per_series(sales: DataFrame, keys: Sequence[str], column: str = "units_sold") -> DataFrame:
-    """The same test with one bound per series; rows with a null key are not tested."""
+    """The same test with one bound per series; rows with a null key are not tested. The rows, needed twice, are cut first."""
+    sales = cut(sales)
     q = quantiles_per_series(sales, keys, column, [0.25, 0.75])
     bound = F.when(F.col("n") >= OUTLIER_MIN_ROWS, F.col("p1") + OUTLIER_SPREAD * (F.col("p1") - F.col("p0")))
     bounds = q.select(*keys, bound.alias("upper_bound"))

@@ -35,3 +35,18 @@ def test_no_buffer_of_values_and_an_empty_table(spark):
     table = spark.range(4000).select((F.col("id") % 3).cast("string").alias("k"), (F.col("id") * F.col("id") % 997).cast("double").alias("x"))
     plan = clean.outliers_per_series(table, ["k"], "x")._jdf.queryExecution().executedPlan().toString()
     assert "percentile" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_long_series_are_narrowed_down_and_short_ones_put_in_order(spark, monkeypatch):
+    monkeypatch.setattr(clean, "CELLS", 45)
+    df = spark.createDataFrame([(k, float(v)) for k, values in SERIES.items() for v in values], "k string, x double")
+    out = {r["k"]: r for r in clean.quantiles_per_series(df, ["k"], "x", [0.25, 0.75]).collect()}
+    for k, values in SERIES.items():
+        assert [out[k]["p0"], out[k]["p1"], out[k]["n"]] == pytest.approx([*np.percentile(values, [25, 75]), len(values)], rel=1e-12, abs=1e-12)
+
+
+def test_rows_are_made_once(spark, tmp_path):
+    spark.range(400).select((F.col("id") % 3).cast("string").alias("k"), F.when(F.col("id") > 396, 900).otherwise(F.col("id") % 7).alias("x")).write.parquet(f"{tmp_path}/source")
+    found = clean.outliers_per_series(spark.read.parquet(f"{tmp_path}/source"), ["k"], "x")
+    assert f"{tmp_path}" not in found._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in found.select("k", "x").collect()) == [(k, 900) for k in "012"]
