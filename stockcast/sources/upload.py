@@ -124,7 +124,8 @@ def with_date_order(rows: DataFrame, file: Column | None = None, column: str = "
     """
     file = F.col(f"{ROW_ORDER}.p") if file is None else file
     orders = date_orders(rows, file, column).select(F.col("file").alias("_file"), (F.col("date_order") == "day_first").alias(DAY_FIRST))
-    return rows.withColumn("_file", file).join(orders, "_file", "left").drop("_file")
+    # one row per file: hashed by file, all rows of one would meet in one task
+    return rows.withColumn("_file", file).join(F.broadcast(orders), "_file", "left").drop("_file")
 
 
 def number_rows(rows: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def number_rows(rows: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.orderBy("t", "p", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = splits.select("t", "p", "b", (before - F.col("low")).alias("shift"))
     same = " AND ".join(f"{ROW_ORDER}.{part} <=> s.{part}" for part in ("t", "p", "b"))
-    joined = rows.join(starts.alias("s"), F.expr(same), "left")
+    joined = rows.join(F.broadcast(starts).alias("s"), F.expr(same), "left")  # hashed by split, a split's rows would meet in one task
     return joined.select(*[c for c in rows.columns if c != ROW_ORDER], (F.col(f"{ROW_ORDER}.i") + F.col("shift")).alias(ROW_ORDER))
 
 

@@ -9,7 +9,7 @@ from stockcast.functions.calendar import is_stale
 from stockcast.operators import reuse
 from stockcast.plans.ingest import Tables, ingest
 from stockcast.schemas import SALES, SKUS
-from stockcast.session import scratch_path
+from stockcast.session import ROWS_A_TASK, scratch_path
 from stockcast.sources import changes, store, upload
 from suite.base import AS_OF, Domain, as_of, query, register_cte
 from suite.ingest_checks import known, raw_sales
@@ -410,7 +410,8 @@ def _(t):
     spark = t.spark
     folder = scratch_path(spark, "stream")
     rows = t.sales.select("date", F.concat(F.lit("SKU"), "sku_id").alias("sku_id"), "units_sold")
-    rows.repartition(3, F.year("date")).write.option("header", True).csv(folder + "/in")
+    # a reading task takes a file as a whole, so the files grow in number with the sales
+    rows.repartition(max(3, -(-t.table("lineitem").count() // ROWS_A_TASK)), "date").write.option("header", True).csv(folder + "/in")
     tables = Tables(folder + "/tables")
     items = t.table("part").selectExpr(
         "concat('SKU', p_partkey) AS sku_id", "p_name AS product_name", "p_type AS category", "2D AS mrp", "1D AS cost", "1 AS current_inventory"

@@ -31,3 +31,11 @@ def test_one_task_writes_a_bounded_part_of_the_texts(spark, monkeypatch, tmp_pat
     spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").write.parquet(f"{tmp_path}/conversations.parquet")
     QUERIES["csv_split_round_trip"](spark, str(tmp_path))
     assert len(spark.read.text(read[0]).inputFiles()) > 1
+
+
+def test_rows_do_not_meet_by_file_or_split(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date,sku_id,units_sold\n13/01/2026,A,1\n02/01/2026,B,2\n")
+    rows = upload.number_rows(upload.with_date_order(upload.read_upload(spark, str(tmp_path))))
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    assert [(r["sku_id"], r["day_first"]) for r in rows.orderBy("row_order").collect()] == [("A", True), ("B", True)]
