@@ -10,6 +10,13 @@ the longest prefixes are met. Pairs whose minima agree too rarely for the
 similarity (five standard deviations below it) or whose sizes exclude it are left
 out, the others are confirmed on the full sets.
 
+A crowd of copies that are not quite near enough would give very many such pairs, of
+which hardly one is a link. So its entries carry the parities of their sets: how many
+of a set's hashes fall into each of ``PARITIES`` bins, modulo 2. What two sets share
+cancels out, so they differ in at least as many hashes as in parities, and a pair
+whose parities differ too often for the similarity can't be a link: this bound is
+exact and leaves out no link.
+
 Equal sets are one entry, however many rows have them. An order is cut into
 ranges by the whole entry, so a region that shares a prefix may span many tasks;
 neighbours across a cut are joined by their place.
@@ -51,6 +58,7 @@ from stockcast.llm.simhash import roots
 TREES, DEPTH, WINDOW, WIDER = 16, 12, 16, 8
 MINIMA = TREES * DEPTH
 PIECE = 2048
+PARITIES = 1024
 _draw = np.random.default_rng(20)
 MASKS, FACTORS = (_draw.integers(0, 2**64, (MINIMA, 1), np.uint64, endpoint=False) for _ in range(2))
 FACTORS |= np.uint64(1)
@@ -94,14 +102,21 @@ def described(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether the number of hashes in each of ``PARITIES`` bins is odd, in 64-bit words."""
+    bins = (hashes >> np.uint64(64 - PARITIES.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(bins, minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
+
+
 def sets_of(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(node, members) of texts."""
+    """(node, members, odd) of texts; odd are the parities of the members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(text, words) for text in batch.column(0).cast(pa.binary()).to_pylist()]
             names = pa.array([xxhash.xxh128_digest(x.tobytes()) for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([names, pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "members"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([x.view(np.int64) for x in found], [parities(x) for x in found])]
+            yield pa.RecordBatch.from_arrays([names, *lists], ["node", "members", "odd"])
 
     return run
 
@@ -112,13 +127,13 @@ def sketches(least: np.ndarray) -> np.ndarray:
 
 
 SKETCH = [f"s{i}" for i in range(MINIMA // 64)]
-ENTRY = ["tree", "prefix", "label", "node", "n", *SKETCH, "root"]
-ENTRY_TYPES = "tree int, prefix long, label binary, node binary, n long, " + ", ".join(f"{s} long" for s in SKETCH) + ", root binary"
+ENTRY = ["tree", "prefix", "label", "node", "n", *SKETCH, "odd", "root"]
+ENTRY_TYPES = "tree int, prefix long, label binary, node binary, n long, " + ", ".join(f"{s} long" for s in SKETCH) + ", odd array<bigint>, root binary"
 FOUND_TYPES = f"a binary, b binary, agree int, part int, place long, {ENTRY_TYPES}"
 
 
 def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One entry for each tree from (node, n, least, root)."""
+    """One entry for each tree from (node, n, least, odd, root)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -129,7 +144,7 @@ def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # the first two minima as a long in the same order as the label
             prefix = (own.view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
             labels = pa.array([x.tobytes() for x in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), tree, np.int32)), pa.array(prefix), labels, batch.column(0), batch.column(1), *bits, batch.column(3)], ENTRY)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), tree, np.int32)), pa.array(prefix), labels, batch.column(0), batch.column(1), *bits, batch.column(3), batch.column(4)], ENTRY)
 
 
 def least_agreement(similarity: float) -> int:
@@ -153,7 +168,7 @@ def neighbours(percent: int, window: int, alone: bool) -> Callable[[Iterator[pa.
     Without roots, each entry's best pair with one before it is given, and the
     nodes of all other pairs on rows without ``b``. With roots, all pairs of
     different roots are given, with ``alone`` only those of which an end is its own
-    root. Also a task's first and last entries with their
+    root. With parities, pairs that these exclude are not given. Also a task's first and last entries with their
     places, and a row with ``place`` and no node for its length.
     """
     lowest, names = least_agreement(percent / 100), ["a", "b", "agree", "part", "place", *ENTRY]
@@ -178,7 +193,8 @@ def neighbours(percent: int, window: int, alone: bool) -> Callable[[Iterator[pa.
             rows = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if known else batch
             tree, prefix, n = (rows.column(i).to_numpy() for i in (0, 1, 4))
             bits = np.stack([rows.column(5 + i).to_numpy() for i in range(len(SKETCH))], axis=1).view(np.uint64)
-            node, root = rows.column(3), rows.column(len(ENTRY) - 1)
+            node, odd, root = rows.column(3), rows.column(ENTRY.index("odd")), rows.column(ENTRY.index("root"))
+            odd = odd.flatten().to_numpy().view(np.uint64).reshape(-1, PARITIES // 64) if odd.null_count == 0 else None
             rooted = root.null_count == 0
             top = np.frombuffer(b"".join(root.to_pylist()), np.uint64).reshape(-1, 2) if rooted else None
             own = (np.frombuffer(b"".join(node.to_pylist()), np.uint64).reshape(-1, 2) == top).all(axis=1) if alone else None
@@ -194,9 +210,14 @@ def neighbours(percent: int, window: int, alone: bool) -> Callable[[Iterator[pa.
                 i = i[100 * small >= percent * large]
                 same = MINIMA - np.bitwise_count(bits[i] ^ bits[i + step]).sum(axis=1, dtype=np.int32)
                 keep = same >= lowest
-                left.append(i[keep])
-                right.append(i[keep] + step)
-                agree.append(same[keep])
+                i, same = i[keep], same[keep]
+                if odd is not None:
+                    apart = np.bitwise_count(odd[i] ^ odd[i + step]).sum(axis=1, dtype=np.int64)
+                    keep = apart * (100 + percent) <= (n[i] + n[i + step]) * (100 - percent)
+                    i, same = i[keep], same[keep]
+                left.append(i)
+                right.append(i + step)
+                agree.append(same)
             left, right, agree = map(np.concatenate, (left, right, agree))
             shown = np.ones(len(left), bool) if rooted else best_before(left, right, agree)
             yield pairs_of(node.take(pa.array(left[shown])), node.take(pa.array(right[shown])), pa.array(agree[shown].astype(np.int32)), rows.schema.types)
@@ -232,13 +253,17 @@ def across_cuts(found: DataFrame, percent: int, window: int, alone: bool) -> Dat
     alike &= ~F.col("x.root").eqNullSafe(F.col("y.root")) | F.col("x.root").isNull()
     if alone:
         alike &= (F.col("x.root") == F.col("x.node")) | (F.col("y.root") == F.col("y.node"))
+    apart = F.aggregate(F.zip_with("x.odd", "y.odd", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, count: total + count)
+    alike &= F.col("x.odd").isNull() | (apart * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))
     sized = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     met = x.join(y, (F.col("x.block") == F.col("y.block")) & near & alike & sized)
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), agree.cast("int").alias("agree")).filter(F.col("agree") >= least_agreement(percent / 100))
 
 
 def candidates(sets: DataFrame, percent: int, window: int, alone: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Distinct (a, b, agree) with a < b, and the nodes (node) that are in further pairs, from (node, n, least, root) of distinct sets."""
+    """Distinct (a, b, agree) with a < b, and the nodes (node) that are in further pairs, from (node, n, least, root) of distinct sets, and their parities (odd) if they are there."""
+    odd = F.col("odd") if "odd" in sets.columns else F.lit(None).cast("array<bigint>").alias("odd")
+    sets = sets.select("node", "n", "least", odd, "root")
     order = ["tree", "prefix", "label", "node"]
     forest = sets.mapInArrow(entries, ENTRY_TYPES).repartitionByRange(partitions(sets.sparkSession), *order).sortWithinPartitions(*order)
     found, _ = cut(forest.mapInArrow(neighbours(percent, window, alone), FOUND_TYPES))
@@ -283,10 +308,10 @@ def linked(sets: DataFrame, texts: DataFrame, total: int, percent: int, words: i
     pairs, _ = cut(pairs)
     crowded, _ = cut(more)
     of_pairs = pairs.select("a", "b").unionByName(crowded.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    members, _ = cut(texts_of(of_pairs, sets, texts, total).mapInArrow(sets_of(words), "node binary, members array<bigint>").dropDuplicates(["node"]))
+    members, _ = cut(texts_of(of_pairs, sets, texts, total).mapInArrow(sets_of(words), "node binary, members array<bigint>, odd array<bigint>").dropDuplicates(["node"]))
     tops, _ = cut(roots(confirmed(best_of_each(pairs, 2), members, percent)))
     # what those links leave apart: the pairs known so far, and all neighbours among the nodes that have more
-    crowd = described_sets.join(crowded, "node", "left_semi")
+    crowd = described_sets.join(crowded, "node", "left_semi").join(members.select("node", "odd"), "node")
     further, _ = candidates(with_roots(crowd, tops), percent, window)
     tops = merged(tops, unconnected(pairs.select("a", "b").unionByName(further.select("a", "b")).distinct(), tops), members, percent)
     # and for those of them that are still alone, wider windows
@@ -295,7 +320,7 @@ def linked(sets: DataFrame, texts: DataFrame, total: int, percent: int, words: i
 
 
 def with_roots(sets: DataFrame, tops: DataFrame) -> DataFrame:
-    return sets.join(tops, "node", "left").select("node", "n", "least", F.coalesce("root", "node").alias("root"))
+    return sets.join(tops, "node", "left").select("node", "n", "least", "odd", F.coalesce("root", "node").alias("root"))
 
 
 def merged(tops: DataFrame, apart: DataFrame, members: DataFrame, percent: int) -> DataFrame:

@@ -307,6 +307,36 @@ def test_candidates_are_the_same_however_orders_are_cut(spark, templates):
     assert best[0] <= best[1] <= best[2] and len(best[0]) > 100
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 400, 20_000):
+        one, other = (np.unique(rng.integers(0, 2**64, size, np.uint64)) for _ in range(2))
+        both = np.unique(np.concatenate([one[: size // 2], other]))
+        for x, y in ((one, other), (one, both), (other, both), (one, one)):
+            apart = int(np.bitwise_count((minhash_forest.parities(x) ^ minhash_forest.parities(y)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(x, y))
+
+
+def test_few_pairs_of_a_crowd_are_confirmed(spark, monkeypatch):
+    """Copies that are mostly too far from each other; all neighbours would be 30 pairs for each set."""
+    rng = np.random.default_rng(12)
+    base, rows = rng.choice(3000, 100), []
+    for i in range(600):
+        text = base.copy()
+        places = rng.choice(100, int(rng.integers(8, 14)), replace=False)
+        text[places] = rng.choice(3000, len(places))
+        rows.append((i, " ".join(f"w{w}" for w in text)))
+    counts, confirmed = [], minhash_forest.confirmed
+
+    def counting(pairs, *rest):
+        counts.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(minhash_forest, "confirmed", counting)
+    check_forest(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(counts) == 3 and max(counts) < 10 * len(rows), counts
+
+
 def test_best_pairs_of_their_right_ends():
     left, right, agree = (np.array(x) for x in ([0, 1, 2, 3, 3], [3, 3, 3, 4, 5], [9, 9, 5, 1, 1]))
     assert minhash_forest.best_before(left, right, agree).tolist() == [False, True, False, True, True]
