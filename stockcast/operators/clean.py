@@ -149,9 +149,14 @@ def checked(raw: DataFrame, kind: str) -> DataFrame:
     return check_skus(type_skus(distinct)) if kind == "sku" else check_sales(type_sales(distinct))
 
 
+def with_failures(raw: DataFrame, kind: str, *others: str) -> DataFrame:
+    """Typed columns of all rows, the rules each one breaks and some others, such as the file they are from."""
+    return (check_skus if kind == "sku" else check_sales)(_typed_once(raw, kind, *others))
+
+
 def quarantine(raw: DataFrame, kind: str, *others: str) -> DataFrame:
-    """Rows that break rules, with the rules, the typed columns and some others, such as the file they are from."""
-    return rejected((check_skus if kind == "sku" else check_sales)(_typed_once(raw, kind, *others)))
+    """Those of them that break rules."""
+    return rejected(with_failures(raw, kind, *others))
 
 
 def valid_unknown(raw: DataFrame, skus: DataFrame, *others: str) -> DataFrame:
@@ -165,8 +170,11 @@ def _last_valid(raw: DataFrame, kind: str, keys: Sequence[str], columns: Sequenc
     The last row of a key is the same whether exact duplicates are dropped
     first (last copy kept) or not, so they need no step of their own here.
     """
+    return _last(_typed_once(raw, kind, ROW_ORDER).filter(_passes(sku_rules() if kind == "sku" else sales_rules())), keys, columns)
+
+
+def _last(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     rest = [c for c in columns if c not in keys]
-    rows = _typed_once(raw, kind, ROW_ORDER).filter(_passes(sku_rules() if kind == "sku" else sales_rules()))
     if len(rest) == 1:  # one number by a number: a hash aggregate
         return rows.groupBy(*keys).agg(F.max_by(rest[0], ROW_ORDER).alias(rest[0]))
     best = rows.groupBy(*keys).agg(F.max(F.struct(ROW_ORDER, *rest)).alias("best"))
@@ -181,7 +189,12 @@ def clean_skus(raw: DataFrame) -> DataFrame:
 
 def clean_sales(raw: DataFrame, skus: DataFrame) -> DataFrame:
     """Valid sales rows of known items, one per (date, sku_id)."""
-    last = _last_valid(raw, "sales", ["date", "sku_id"], SALES_COLUMNS)
+    return last_sales(_typed_once(raw, "sales", ROW_ORDER).filter(_passes(sales_rules())), skus)
+
+
+def last_sales(rows: DataFrame, skus: DataFrame) -> DataFrame:
+    """The same from typed rows that break no rule."""
+    last = _last(rows, ["date", "sku_id"], SALES_COLUMNS)
     typed = last.withColumn("units_sold", F.col("units_sold").cast("bigint"))
     return known_items(typed, skus).select(*SALES_COLUMNS)
 

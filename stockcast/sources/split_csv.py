@@ -144,17 +144,23 @@ def joined_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def split_starts(lines: DataFrame) -> DataFrame:
-    """(p, b, starts_inside, opener) for the splits that start inside quotes, with the split where that row begins; the driver folds three flags per split."""
-    flags = lines.select("t", "p", "b", "out_open", "in_open").mapInArrow(fold, FLAGS)
-    ends = flags.select("p", "b", "from_out", "from_in", "closes").orderBy("p", "b").collect()
+    """(p, b, starts_inside, opener) for the splits that start inside quotes, with the split where that row begins; the driver folds three flags per split.
+
+    Lines that leave either state as it is are not folded. Where no split ends
+    inside quotes none starts there, and the other splits need not be listed.
+    """
+    changing = lines.filter("out_open OR NOT in_open").select("t", "p", "b", "out_open", "in_open")
+    ends = {(p, b): flags for p, b, *flags in changing.mapInArrow(fold, FLAGS).drop("t").collect()}
     inside, file, opener, found = False, None, None, []
-    for r in ends:
-        inside = inside and r["p"] == file
+    splits = lines.select("p", "b").distinct().collect() if any(from_out for from_out, _, _ in ends.values()) else []
+    for p, b in sorted(splits):
+        from_out, from_in, closes = ends.get((p, b), (False, True, False))
+        inside = inside and p == file
         if inside:
-            found.append((r["p"], r["b"], True, opener))
-        if not inside or r["closes"]:
-            opener = r["b"]
-        inside, file = r["from_in"] if inside else r["from_out"], r["p"]
+            found.append((p, b, True, opener))
+        if not inside or closes:
+            opener = b
+        inside, file = from_in if inside else from_out, p
     return lines.sparkSession.createDataFrame(found, "p string, b long, starts_inside boolean, opener long")
 
 

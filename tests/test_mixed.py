@@ -150,3 +150,19 @@ def test_models_follow_files_and_moved_items(spark, tmp_path, festivals):
     assert [(c, v) for c, _, v in rows] == [("Snacks", 12), ("Toys", 22), ("Toys", 34)]
     kept = changes.read(spark, tables.moments, ["category"], moments.schema(tables.read_daily(spark)))
     assert {r["category"]: r["n_samples"] for r in kept.collect()} == {"Snacks": 0, "Toys": 23}
+
+
+def test_rows_do_not_meet_by_their_file(spark):
+    rows = [(None, "a", 0, 0, "SKU_id,x,Date,units_sold", True), (None, "a", 0, 1, "s1,9,2024-01-02,3", False), (None, "b", 0, 5, "date", True), (None, "b", 0, 6, "1,2", False)]
+    lines = spark.createDataFrame(rows, "t timestamp, p string, b long, i long, text string, is_first boolean")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        data = mixed.fields_by_name(lines, mixed.headers(lines))
+        plan = data._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan
+        found = data.orderBy("path").select("path", "kind", "line", "sku_id", "date", "units_sold", "mrp", mixed.VERSION).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert list(map(tuple, found)) == [
+        ("a", "sales", "s1,9,2024-01-02,3", "s1", "2024-01-02", "3", None, None), ("b", None, "1,2", None, "1", None, None, None)]

@@ -1,6 +1,6 @@
 """Files read by many tasks: what a task holds, and how often lines are read."""
 
-from stockcast.sources import upload
+from stockcast.sources import split_csv, upload
 
 
 def test_rows_are_cut_once_and_not_gathered_by_file(spark, tmp_path):
@@ -39,3 +39,12 @@ def test_rows_do_not_meet_by_file_or_split(spark, tmp_path):
     plan = rows._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
     assert [(r["sku_id"], r["day_first"]) for r in rows.orderBy("row_order").collect()] == [("A", True), ("B", True)]
+
+
+def test_splits_without_quotes_keep_the_state_they_start_in(spark):
+    rows = [("f", 0, 'a,"b'), ("f", 10, "c"), ("f", 10, "d"), ("f", 20, 'e",1'), ("f", 20, "g,2"), ("f", 30, "h,3"), ("g", 0, "i,4"), ("g", 10, "j,5")]
+    lines = spark.createDataFrame([(None, *r) for r in rows], "t timestamp, p string, b long, value string").coalesce(1)
+    found = split_csv.split_starts(split_csv.marked_lines(lines)).collect()
+    assert sorted(map(tuple, found)) == [("f", 10, True, 0), ("f", 20, True, 0)]
+    plain = split_csv.split_starts(split_csv.marked_lines(lines.filter("p = 'g'")))
+    assert plain.collect() == []
