@@ -530,7 +530,7 @@ ONE_FILE = 128 << 20  # bytes of text that one task writes
 
 @query("csv_split_round_trip", ORACLES["csv_dialect_round_trip"])
 def _(t):
-    """The same texts in one file for each 128 MB of them, which is read by one task per 256 KB although rows hold line breaks."""
+    """The same texts in one file for each 128 MB of them, which is read in splits of 256 KB although rows hold line breaks."""
     from stockcast.session import cut, scratch_path
 
     docs = t.table("documents")

@@ -48,3 +48,40 @@ def test_splits_without_quotes_keep_the_state_they_start_in(spark):
     assert sorted(map(tuple, found)) == [("f", 10, True, 0), ("f", 20, True, 0)]
     plain = split_csv.split_starts(split_csv.marked_lines(lines.filter("p = 'g'")))
     assert plain.collect() == []
+
+
+def test_lines_are_read_once_and_guesses_of_splits_that_start_inside_are_joined_anew(spark):
+    """Splits that start inside quotes, that never tell how they start, and that hold no end of a row."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [
+        ("f", 0, "id,text"), ("f", 0, 'a,"b'), ("f", 10, "c"), ("f", 10, ""), ("f", 20, 'e",1'), ("f", 20, "g,2"), ("f", 20, 'h,"i'), ("f", 20, 'j"'), ("f", 30, "k,3"),
+        ("f", 30, 'l,"""'), ("f", 40, '"""'), ("g", 0, 'id,"text"'), ("g", 10, '"x","y"'), ("g", 10, '"z","'), ("g", 20, '"'), ("g", 20, 'o,"p'),
+    ]
+    schema = "t timestamp, p string, b long, value string"
+    lines = spark.createDataFrame([(None, *r) for r in rows], schema).coalesce(1).mapInArrow(counted, schema)
+    found = [(r["p"], r["b"], r["text"], r["is_first"]) for r in split_csv.rows_of(split_csv.marked_lines(lines)).orderBy("p", "b", "i").collect()]
+    assert found == [
+        ("f", 0, "id,text", True), ("f", 0, 'a,"b\nc\n\ne",1', False), ("f", 20, "g,2", False), ("f", 20, 'h,"i\nj"', False), ("f", 30, "k,3", False),
+        ("f", 30, 'l,"""\n"""', False), ("g", 0, 'id,"text"', True), ("g", 10, '"x","y"', False), ("g", 10, '"z","\n"', False), ("g", 20, 'o,"p', False),
+    ]
+    assert seen.value == len(rows)
+
+
+def test_small_splits_share_a_task(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,text\n" + '1,"x\n\ny"\n2,z\n' * 400)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 16)
+    try:
+        lines = split_csv.lines_of(spark, str(tmp_path), False)
+        splits, rows = lines.rdd.getNumPartitions(), split_csv.rows_of(lines)
+        assert splits > 300 and len(rows.inputFiles()) <= 2 * split_csv.TASKS_A_CORE * spark.sparkContext.defaultParallelism + 8
+        assert rows.count() == 801
+    finally:
+        spark.conf.set(key, before)
