@@ -23,6 +23,12 @@ NAMED_FORMS = (
     (r"^([0-9]{1,2})[ -]([A-Za-z]{3})[a-z]*\.?,?[ -]([0-9]{4})$", (3, 2, 1)),
     (r"^([A-Za-z]{3})[a-z]*\.? ([0-9]{1,2}),? ([0-9]{4})$", (3, 1, 2)),
 )
+# the commonest forms, told without trimming
+QUICK_SKU = r"^[!-~]*+\z"
+QUICK_NUMBER = r"^[0-9]{1,15}\z"
+QUICK_YEAR_FIRST = r"^[0-9]{4}/[0-9]{2}/[0-9]{2}\z"
+QUICK_YEAR_LAST = r"^[0-9]{2}[/-][0-9]{2}[/-][0-9]{4}\z"
+QUICK_TIMED = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}\z"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 BLOCKED_TOKENS = ("<system>", "</system>", "<|", "|>", "\\n\\nHuman:", "\\n\\nAssistant:")
 CATEGORY_PREFIXES = {
@@ -40,8 +46,8 @@ def strip(c: Column) -> Column:
 
 
 def norm_sku(c: Column) -> Column:
-    """Item id without control or zero-width characters, trimmed, upper case."""
-    return F.upper(strip(F.regexp_replace(c, HIDDEN_CHARS, "")))
+    """Item id without control or zero-width characters, trimmed, upper case. Visible ASCII alone needs no such care."""
+    return F.when(c.rlike(QUICK_SKU), F.upper(c)).otherwise(F.upper(strip(F.regexp_replace(c, HIDDEN_CHARS, ""))))
 
 
 def norm_text(c: Column) -> Column:
@@ -64,11 +70,13 @@ def to_number(c: Column) -> Column:
     """Text to double; anything that is no finite decimal number becomes null.
 
     The remainder by infinity leaves finite numbers as they are and turns
-    infinities into NaN, so the value is worked out once.
+    infinities into NaN, so the value is worked out once. A few digits alone
+    are cast as they are.
     """
-    text = strip(c.cast("string"))
+    raw = c.cast("string")
+    text = strip(raw)
     value = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.nanvl(value % F.lit(float("inf")), F.lit(None).cast("double"))
+    return F.when(raw.rlike(QUICK_NUMBER), raw.try_cast("double")).otherwise(F.nanvl(value % F.lit(float("inf")), F.lit(None).cast("double")))
 
 
 def to_day(c: Column, day_first: bool = False, order: Column | None = None) -> Column:
@@ -81,10 +89,19 @@ def to_day(c: Column, day_first: bool = False, order: Column | None = None) -> C
 
     The text is matched and cast: format parsers signal a misfit by an
     exception per row, which costs far more than the parsing itself. The common
-    form is told by its length and dashes, before any pattern is tried.
+    forms are told by their length and marks, before any other pattern is tried.
     """
     raw = c.cast("string")
-    plain = (F.length(raw) == 10) & (F.substring(raw, 5, 1) == "-") & (F.substring(raw, 8, 1) == "-")
+    ten = F.length(raw) == 10
+    quick = (
+        F.when(ten & (F.substring(raw, 5, 1) == "-") & (F.substring(raw, 8, 1) == "-"), raw.try_cast("date"))
+        .when(ten & raw.rlike(QUICK_YEAR_FIRST), F.translate(raw, "/", "-").try_cast("date"))
+        .when((F.length(raw) == 19) & raw.rlike(QUICK_TIMED), F.substring(raw, 1, 10).try_cast("date"))
+    )
+    if order is not None:
+        first, second = F.substring(raw, 1, 2), F.substring(raw, 4, 2)
+        iso = F.concat(F.substring(raw, 7, 4), F.lit("-"), F.when(order, second).otherwise(first), F.lit("-"), F.when(order, first).otherwise(second))
+        quick = quick.when(ten & raw.rlike(QUICK_YEAR_LAST), iso.try_cast("date"))
     text = strip(raw)
 
     def made(pattern: str, iso: str) -> Column:
@@ -105,7 +122,7 @@ def to_day(c: Column, day_first: bool = False, order: Column | None = None) -> C
         number = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(text, pattern, month)))
         iso = F.concat_ws("-", F.regexp_extract(text, pattern, year), number.cast("string"), F.regexp_extract(text, pattern, day))
         found = found.when(text.rlike(pattern), iso.try_cast("date"))
-    return F.coalesce(F.when(plain, raw.try_cast("date")), found)
+    return F.coalesce(quick, found)
 
 
 def comma_items(c: Column) -> Column:

@@ -21,6 +21,7 @@ OUTLIER_SPREAD = 3.0
 OUTLIER_MIN_ROWS = 4
 CELLS = 4096
 DEALT = 8
+TAKEN = "good > 0 AND known"
 
 
 def drop_exact_duplicates(raw: DataFrame, order: str = ROW_ORDER) -> DataFrame:
@@ -212,22 +213,39 @@ def ingestion_metrics(raw: DataFrame, kind: str, skus: DataFrame | None = None)
     with the value of its last valid row, then per value. That last table, of
     distinct values, is cut to the shared folder, and all metrics come from it.
     """
+    counted = rows_per_key(raw, kind)
+    return metrics_of(counted.withColumn("known", F.lit(True)) if skus is None or kind == "sku" else with_items(counted, skus), kind)
+
+
+def rows_per_key(raw: DataFrame, kind: str) -> DataFrame:
+    """Per key the rows received, the distinct ones, those of them that break no rule, and the value of the last of these."""
     keys = ["sku_id"] if kind == "sku" else ["date", "sku_id"]
     data = [c for c in raw.columns if c != ROW_ORDER]
     copies = raw.groupBy(*data).agg(F.max(ROW_ORDER).alias(ROW_ORDER), F.count("*").alias("copies"))
     ok = _passes(sku_rules() if kind == "sku" else sales_rules())
     value = F.col("units_sold") if kind == "sales" else F.lit(None).cast("double")
     rows = _typed_once(copies, kind, ROW_ORDER, "copies").select(*keys, ROW_ORDER, "copies", ok.alias("ok"), value.alias("value"))
-    per_key = rows.groupBy(*keys).agg(
+    return rows.groupBy(*keys).agg(
         F.sum("copies").alias("received"), F.count("*").alias("rows"), F.count_if("ok").alias("good"),
         F.max_by("value", F.when(F.col("ok"), F.col(ROW_ORDER))).alias("value"),
     )
-    if skus is None or kind == "sku":
-        per_key = per_key.withColumn("known", F.lit(True))
-    else:
-        marks = skus.select("sku_id", F.lit(True).alias("known"))
-        per_key = per_key.join(marks, "sku_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    taken = (F.col("good") > 0) & F.col("known")
+
+
+def with_items(per_key: DataFrame, skus: DataFrame) -> DataFrame:
+    """Counted sales keys, whether their item is known, and its category."""
+    marks = skus.select("sku_id", "category", F.lit(True).alias("known")) if "category" in skus.columns else skus.select("sku_id", F.lit(True).alias("known"))
+    # the items of a partition are few beside its keys: hashed, neither side is sorted
+    return per_key.join(marks.hint("shuffle_hash"), "sku_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def sales_of(per_key: DataFrame) -> DataFrame:
+    """The rows of ``clean_sales`` with the category of their item, from counted keys with their items."""
+    return per_key.filter(TAKEN).select("date", "sku_id", F.col("value").cast("bigint").alias("units_sold"), "category")
+
+
+def metrics_of(per_key: DataFrame, kind: str) -> DataFrame:
+    """``ingestion_metrics`` from counted keys."""
+    taken = F.expr(TAKEN)
     per_value = cut(per_key.groupBy(F.when(taken, F.col("value")).alias("v")).agg(
         F.sum("received").alias("received"), F.sum("rows").alias("rows"), F.sum("good").alias("good"),
         F.count_if(taken).alias("n"), F.count_if(F.col("good") > 0).alias("keys"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from stockcast.operators import clean, demand
-from stockcast.schemas import DAILY, SALES, SKUS
+from stockcast.schemas import DAILY, SALES, SALES_COLUMNS, SKUS
 from stockcast.session import cut, scratch
 from stockcast.sources import store, upload
 
@@ -102,8 +102,11 @@ def ingest(
         upload.detect_kind([c for c in raw.columns if c != upload.ROW_ORDER])
         kind, staged = upload.accept(cut(raw))
         ordered = isinstance(staged.schema[upload.ROW_ORDER].dataType, StructType)
-        rows = upload.with_date_order(staged) if ordered and kind == "sales" else staged
-        rows = upload.number_rows(rows) if ordered else rows
+        orders = None
+        if ordered and kind == "sales":
+            rows, orders = upload.number_dated_rows(staged)
+        else:
+            rows = upload.number_rows(staged) if ordered else staged
         error = archived(staged, kind, file_name, as_of, tables.archive) if archive else None
         skus = tables.read_skus(spark)
         if kind == "sku":
@@ -113,14 +116,17 @@ def ingest(
             store.upsert_skus(spark, tables.skus, changes, SKUS)
             refresh_categories(spark, tables, moved)
         else:
-            changes = clean.require_valid(cut(clean.clean_sales(rows, skus)), "No valid Sales rows reference known SKU IDs")
-            metrics = clean.ingestion_metrics(rows, kind, skus)
+            # rows are typed and counted once: the keys of the upload are all that the tables and the metrics need
+            keys = cut(clean.with_items(clean.rows_per_key(rows, kind), skus))
+            dated = clean.require_valid(clean.sales_of(keys), "No valid Sales rows reference known SKU IDs")
+            changes = dated.select(*SALES_COLUMNS)
+            metrics = clean.metrics_of(keys, kind)
             store.upsert_sales(spark, tables.sales, changes, SALES, is_cut=True)
-            store.upsert_months(spark, tables.daily, touched_days(changes, skus, tables.scan_sales(spark)), ["category", "date"], DAILY)
-        store.append(store.touched_categories(changes, skus, as_of), tables.events)
+            store.upsert_months(spark, tables.daily, touched_days(dated, skus, tables.scan_sales(spark)), ["category", "date"], DAILY)
+        touched = store.touched_categories(changes, skus, as_of) if kind == "sku" else dated.select("category").distinct().withColumn("uploaded_at", as_of)
+        store.append(touched, tables.events)
         metrics = metrics.withColumn("archive_error", F.lit(error).cast("string"))
-        orders = upload.date_orders(staged, F.col(f"{upload.ROW_ORDER}.p")).filter("date_order IN ('ambiguous', 'mixed')") if ordered and kind == "sales" else None
-        unclear = F.lit(0).cast("bigint") if orders is None else orders.agg(F.count("*")).scalar()
+        unclear = F.lit(0).cast("bigint") if orders is None else orders.filter("date_order IN ('ambiguous', 'mixed')").agg(F.count("*")).scalar()
         metrics = metrics.withColumn("files_of_unclear_date_order", unclear)
         return kind, spark.createDataFrame(metrics.collect(), metrics.schema)  # one row
 
@@ -138,8 +144,10 @@ def touched_days(changes: DataFrame, skus: DataFrame, sales: DataFrame) -> DataF
     """New daily totals of the (category, date) pairs that changed sales touch.
 
     ``sales`` has its month column: the join on it prunes the months read.
+    ``changes`` may have the categories of their items.
     """
-    pairs = changes.join(skus.select("sku_id", "category"), "sku_id").select("category", "date").distinct()
+    named = changes if "category" in changes.columns else changes.join(skus.select("sku_id", "category"), "sku_id")
+    pairs = named.select("category", "date").distinct()
     days = store.with_month(changes.select("date").distinct())
     sales = sales if store.MONTH in sales.columns else store.with_month(sales)
     current = demand.daily_demand(sales.join(days, [store.MONTH, "date"], "left_semi"), skus)

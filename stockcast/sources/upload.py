@@ -8,8 +8,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.utils import AnalysisException
 
-from stockcast.functions.text import CATEGORY_PREFIXES, YEAR_LAST, file_stem, slug, strip, to_day, to_number
+from stockcast.functions.text import CATEGORY_PREFIXES, QUICK_YEAR_LAST, YEAR_LAST, file_stem, slug, strip, to_day, to_number
 from stockcast.schemas import SALES_COLUMNS, SCHEMA_VERSION, SKU_COLUMNS
+from stockcast.session import cut
 from stockcast.sources import split_csv
 
 ROW_ORDER = "row_order"
@@ -100,20 +101,40 @@ def date_orders(rows: DataFrame, file: Column, column: str = "date") -> DataFram
     12th decides it, ``ambiguous`` where both fit every row, ``mixed`` where
     neither does, and ``none`` where no date has that form.
     """
-    text = strip(F.col(column).cast("string"))
-    first, second = (F.when(text.rlike(YEAR_LAST), F.regexp_extract(text, YEAR_LAST, i).cast("int")) for i in (1, 2))
+    first, second = _year_last_numbers(column)
     seen = rows.select(file.alias("file"), first.alias("first"), second.alias("second"))
     # one row per file and pair of numbers leaves a task, whatever the number of its rows
     pairs = seen.groupBy("file", "first", "second").agg(F.lit(1).alias("one"))
-    is_day = (F.col("first") > 12) & (F.col("first") <= 31) & F.col("second").between(1, 12)
-    is_month = (F.col("second") > 12) & (F.col("second") <= 31) & F.col("first").between(1, 12)
-    either = F.col("first").between(1, 12) & F.col("second").between(1, 12)
-    totals = pairs.groupBy("file").agg(F.count_if(is_day).alias("d"), F.count_if(is_month).alias("m"), F.count_if(either).alias("e"))
+    return _orders_of(pairs.groupBy("file").agg(*_order_flags(F.col("first"), F.col("second"))))
+
+
+def _year_last_numbers(column: str) -> list[Column]:
+    """First and second number of a date that ends with its year, else null."""
+    raw = F.col(column).cast("string")
+    text = strip(raw)
+
+    def number(group: int) -> Column:
+        # dates that begin with their year and those of the commonest form are told first, before any is trimmed
+        found = F.when((F.length(raw) == 10) & raw.rlike(QUICK_YEAR_LAST), F.substring(raw, 3 * group - 2, 2).cast("int"))
+        return F.when(~raw.rlike("^[0-9]{4}"), found.when(text.rlike(YEAR_LAST), F.regexp_extract(text, YEAR_LAST, group).cast("int")))
+
+    return [number(1), number(2)]
+
+
+def _order_flags(first: Column, second: Column) -> list[Column]:
+    """Aggregates: whether some date fits day first only, month first only, both."""
+    is_day = (first > 12) & (first <= 31) & second.between(1, 12)
+    is_month = (second > 12) & (second <= 31) & first.between(1, 12)
+    either = first.between(1, 12) & second.between(1, 12)
+    return [F.max(F.coalesce(flag, F.lit(False))).alias(name) for name, flag in (("d", is_day), ("m", is_month), ("e", either))]
+
+
+def _orders_of(totals: DataFrame) -> DataFrame:
     order = (
-        F.when((F.col("d") > 0) & (F.col("m") > 0), "mixed").when(F.col("d") > 0, "day_first").when(F.col("m") > 0, "month_first")
-        .when(F.col("e") > 0, "ambiguous").otherwise("none")
+        F.when(F.col("d") & F.col("m"), "mixed").when(F.col("d"), "day_first").when(F.col("m"), "month_first")
+        .when(F.col("e"), "ambiguous").otherwise("none")
     )
-    return totals.select("file", order.alias("date_order"), (F.col("d") > 0).alias("day_only"), (F.col("m") > 0).alias("month_only"))
+    return totals.select("file", order.alias("date_order"), F.col("d").alias("day_only"), F.col("m").alias("month_only"))
 
 
 def with_date_order(rows: DataFrame, file: Column | None = None, column: str = "date") -> DataFrame:
@@ -135,13 +156,31 @@ def number_rows(rows: DataFrame) -> DataFrame:
     in the order of the files, make its first number. There are as many splits
     as reading tasks at least, so that table is small.
     """
+    return _numbered(rows, _splits_of(rows))
+
+
+def number_dated_rows(rows: DataFrame, column: str = "date") -> tuple[DataFrame, DataFrame]:
+    """``number_rows`` of rows with the order of their file, and the orders as ``date_orders`` has them, from one look at the rows for both."""
+    first, second = _year_last_numbers(column)
+    splits = cut(_splits_of(rows.withColumns({"_first": first, "_second": second}), *_order_flags(F.col("_first"), F.col("_second"))))
+    orders = _orders_of(splits.groupBy(F.col("p").alias("file")).agg(*[F.max(c).alias(c) for c in ("d", "m", "e")]))
+    day_first = orders.select(F.col("file").alias("p"), (F.col("date_order") == "day_first").alias(DAY_FIRST))
+    return _numbered(rows, splits.join(day_first, "p"), DAY_FIRST), orders
+
+
+def _splits_of(rows: DataFrame, *more: Column) -> DataFrame:
+    """(t, p, b, low, n) and other aggregates of the rows of each split."""
     place = [F.col(f"{ROW_ORDER}.{part}").alias(part) for part in ("t", "p", "b")]
-    splits = rows.select(*place, F.col(f"{ROW_ORDER}.i").alias("i")).groupBy("t", "p", "b").agg(F.min("i").alias("low"), (F.max("i") - F.min("i") + 1).alias("n"))
+    i = F.col(f"{ROW_ORDER}.i")
+    return rows.groupBy(*place).agg(F.min(i).alias("low"), (F.max(i) - F.min(i) + 1).alias("n"), *more)
+
+
+def _numbered(rows: DataFrame, splits: DataFrame, *names: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.orderBy("t", "p", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = splits.select("t", "p", "b", (before - F.col("low")).alias("shift"))
+    starts = splits.select("t", "p", "b", (before - F.col("low")).alias("shift"), *names)
     same = " AND ".join(f"{ROW_ORDER}.{part} <=> s.{part}" for part in ("t", "p", "b"))
     joined = rows.join(F.broadcast(starts).alias("s"), F.expr(same), "left")  # hashed by split, a split's rows would meet in one task
-    return joined.select(*[c for c in rows.columns if c != ROW_ORDER], (F.col(f"{ROW_ORDER}.i") + F.col("shift")).alias(ROW_ORDER))
+    return joined.select(*[c for c in rows.columns if c != ROW_ORDER], *names, (F.col(f"{ROW_ORDER}.i") + F.col("shift")).alias(ROW_ORDER))
 
 
 def require_rows(df: DataFrame) -> DataFrame:

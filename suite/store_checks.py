@@ -12,9 +12,10 @@ from stockcast.schemas import SALES, SKUS
 from stockcast.session import ROWS_A_TASK, scratch_path
 from stockcast.sources import changes, store, upload
 from suite.base import AS_OF, Domain, as_of, query, register_cte
-from suite.ingest_checks import known, raw_sales
+from suite.ingest_checks import known, raw_sales_in_order
 from suite.plain import plain
 
+ROWS_A_FILE = 250_000
 TTL = 86_400 * 20  # the test log spans thirty days
 
 register_cte(
@@ -341,8 +342,8 @@ def _(t):
     """Write the dirty rows as CSV, ingest them twice, read the sales table."""
     spark = t.spark
     folder = scratch_path(spark, "upload")
-    ordered = raw_sales(t).orderBy("row_order").drop("row_order")
-    ordered.coalesce(4).write.option("header", True).option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option(
+    files = max(4, -(-t.table("lineitem").count() // ROWS_A_FILE))
+    raw_sales_in_order(t, files).write.option("header", True).option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False
     ).csv(folder + "/sales")
     tables = Tables(folder + "/tables")
